@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, packing, substring_dedup
+from . import chat_format, mixing, ngram_join, packing, revisit, substring_dedup
 
-_MODULES = [mixing, ngram_join, packing, substring_dedup]
+_MODULES = [ngram_join, mixing, packing, revisit, substring_dedup, chat_format]
 
 QUERIES = {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
