@@ -95,7 +95,7 @@ def route(h: np.ndarray, groups: int) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """The bytes of an integer array, all first bytes, then all second bytes: high zero bytes meet and compress."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
 
 
 def unplanes(data: bytes, kind: str) -> np.ndarray:
