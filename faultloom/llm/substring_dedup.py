@@ -31,19 +31,30 @@ from pyspark.sql import functions as F
 from .common import byte_texts, groups_for, mixed, planes, route, row_key, table, unplanes, window_hashes, word_hashes
 
 _FLUSH = 1 << 21
+#: Windows go to groups by the least hash of their runs of so many words, which neighbours mostly share.
+_GRAM = 8
 _BLOCK = "part int, hashes binary, ask binary, ask_key binary, ask_start binary, known_key binary, known_start binary"
 _LOW = np.uint64((1 << 40) - 1)
 
 
-def _packed(h: np.ndarray, ask: np.ndarray, key: np.ndarray, start: np.ndarray, groups: int, width: int) -> Iterator[pa.RecordBatch]:
+def _least(h: np.ndarray, k: int) -> np.ndarray:
+    """The least of h[p:p+k] for each p."""
+    width, out = 1, h
+    while 2 * width <= k:
+        out = np.minimum(out[:-width], out[width:])
+        width *= 2
+    return np.minimum(out[: len(h) - k + 1], out[k - width :]) if width < k else out
+
+
+def _packed(h: np.ndarray, ask: np.ndarray, key: np.ndarray, start: np.ndarray, by: np.ndarray, groups: int, width: int) -> Iterator[pa.RecordBatch]:
     """Rows of _BLOCK for one task's share: distinct hashes; of places that ask, those already known to repeat apart."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h, kind="stable") if width == 5 else np.lexsort((h, by))
     ordered = h[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     unique, count = ordered[first], np.diff(np.append(first, len(ordered)))
     place = np.empty(len(h), np.int64)
     place[order] = np.repeat(np.arange(len(first)), count)
-    part = route(unique, groups)
+    part = route(by[order][first], groups)
     edges = np.searchsorted(part, np.arange(groups + 1))
     asking = np.flatnonzero(ask)
     asking = asking[np.argsort(place[asking], kind="stable")]
@@ -93,7 +104,7 @@ def _emit(anchors: bool, length: int, groups: int):
             if anchors:
                 h = window_hashes(words, block)
                 start = np.arange(len(h))
-                ask = start % block == 0
+                ask, by = start % block == 0, h
             else:
                 found = np.concatenate([unplanes(x, "<u4") for x in hits]).astype(np.int64)
                 mark = np.zeros(len(words) + 1, np.int64)
@@ -101,8 +112,9 @@ def _emit(anchors: bool, length: int, groups: int):
                 np.add.at(mark, np.minimum(found, len(words) - length) + 1, -1)
                 start = np.flatnonzero(np.cumsum(mark)[: len(words) - length + 1])
                 h = window_hashes(words, length)[start]
+                by = _least(window_hashes(words, _GRAM), length - _GRAM + 1)[start]
                 ask = np.ones(len(h), bool)
-            held.append((h, ask, np.full(len(h), key, np.int64), start))
+            held.append((h, ask, np.full(len(h), key, np.int64), start, by))
             n += len(h)
             if n >= _FLUSH:
                 yield from _packed(*map(np.concatenate, zip(*held, strict=True)), groups, 5 if anchors else 8)
@@ -137,13 +149,14 @@ def _answers(width: int):
 
 
 def repeated_windows(docs: DataFrame, length: int = 35) -> DataFrame:
-    """(doc_id, key, starts: array of packed window starts) of documents with a window that starts anywhere else too."""
-    texts = docs.select("doc_id", row_key().alias("key"), "text")
+    """(key, hits: array of packed window starts) of documents with a window that starts anywhere else too. length: 16 words at least."""
+    texts = docs.withColumn("key", row_key())
     # About 6 bytes a word: some 2.5 million probes, 20 MB, for each group.
     groups = groups_for(docs, F.octet_length("text"), 16 << 20)
     place = lambda df, width: df.groupBy("part").applyInPandas(_answers(width), "key long, starts binary").groupBy("key").agg(F.collect_list("starts").alias("hits"))
-    anchors = place(texts.mapInArrow(_emit(True, length, groups), _BLOCK), 5)
-    near = texts.join(anchors, "key").select("key", "text", "hits")
+    anchors = place(texts.select("key", "text").mapInArrow(_emit(True, length, groups), _BLOCK), 5)
+    # All columns stay, so that the texts are dealt out once, for this join and for the caller's.
+    near = texts.join(anchors, "key")
     return place(near.mapInArrow(_emit(False, length, groups), _BLOCK), 8)
 
 
