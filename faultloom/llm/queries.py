@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, mixing, ngram_join, packing, quality, revisit, substring_dedup
+from . import ann, chat_format, html_text, language_id, mixing, ngram_join, packing, quality, revisit, substring_dedup
 
-_MODULES = [ngram_join, mixing, packing, revisit, substring_dedup, quality, language_id, chat_format]
+_MODULES = [ngram_join, mixing, packing, revisit, substring_dedup, ann, quality, language_id, html_text, chat_format]
 
 QUERIES = {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
