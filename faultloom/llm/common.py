@@ -21,17 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names in spark.checkpoint.dir.
 
-    The cluster names it in spark.checkpoint.dir; only a session without one, as in tests, gets a
-    folder of this process.
+    Only a session without it, as in tests, gets a folder of this process.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

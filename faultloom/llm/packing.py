@@ -108,14 +108,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048,
     return packed.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
-def _word_bpe() -> str:
+def word_bpe() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), _word_bpe(), tokens=False)
+    return pack(table(spark, sf_dir, "documents"), word_bpe(), tokens=False)
 
 
 SQL: dict[str, str] = {}
