@@ -7,7 +7,7 @@ block is hit. The hits are then extended: the windows around hit blocks are coun
 runs of repeated windows join to the maximal exact repeats that are cut out.
 
 How it is dealt out: hashes go to groups by their upper bits, packed in columns of bytes, each
-distinct hash once for a task's share of about two million, so a passage that a third of all documents holds arrives as one entry
+distinct hash once for a task's share of half a million, so a passage that a third of all documents holds arrives as one entry
 from each. Only blocks (later windows) that want an answer carry their place. A probe is five bytes; a
 block is hit wrongly about once in 2**40 / (blocks of a group) and the second step corrects it. Windows are
 compared by 64 bits of a hash of 64-bit word hashes.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, groups_for, mixed, planes, route, row_key, table, unplanes, window_hashes, word_hashes
 
-_FLUSH = 1 << 21
+_FLUSH = 1 << 19
 #: Windows go to groups by the least hash of their runs of so many words, which neighbours mostly share.
 _GRAM = 8
 _BLOCK = "part int, hashes binary, ask binary, ask_key binary, ask_start binary, known_key binary, known_start binary"
