@@ -51,7 +51,7 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def byte_texts(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def byte_texts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as bytes) in slices of about `most` bytes; a null text is empty."""
     texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
     size = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1 + texts.offset)[texts.offset :]) if len(texts) else []
