@@ -41,9 +41,8 @@ def java_name(descriptor: Column) -> Column:
     """A descriptor's type in Java source: [Ljava/lang/String; is java.lang.String[]."""
     bare = F.regexp_replace(descriptor, r"^\[+", "")
     dims = F.repeat(F.lit("[]"), F.length(descriptor) - F.length(bare))
-    named = F.when(bare.startswith("L"), F.translate(F.substring(bare, 2, 10_000), "/$;", ".."))
-    for letter, word in PRIMITIVES.items():
-        named = F.when(bare == letter, F.lit(word)).otherwise(named)
+    primitive = F.create_map(*(F.lit(x) for pair in PRIMITIVES.items() for x in pair))
+    named = F.coalesce(F.element_at(primitive, bare), F.when(bare.startswith("L"), F.translate(F.substring(bare, 2, 10_000), "/$;", "..")))
     return F.concat(named, dims)
 
 
