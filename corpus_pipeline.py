@@ -20,8 +20,9 @@ LEAST_SHARE = 0.35
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled texts and rejects documents without a language: those without letters, or a mixture without a leading one."""
-    found = language_id.predict(docs, language_id.learn(docs.where(~language_id.held_out(F.col("doc_id")))))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    model = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(docs, model, ("pipeline_lang", "pipeline_share"))
+    return found.where((F.col("pipeline_lang") != "und") & (F.col("pipeline_share") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +47,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    mixed = mixing.mixed_documents(docs, mixing.words_in(F.col("text")))
-    copies = F.when(F.col("mix_size") > 0, F.expr("taken div mix_size")).otherwise(0)
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)).cast("int")))).where(copies > 0).select(*docs.columns)
+    rows = docs.select("doc_id", "source", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
+    mixed = mixing.mixed_documents(rows, mixing.words_in(F.col("text")))
+    copies = F.when(F.col("mix_size") > 0, F.expr("taken div mix_size")).otherwise(0).cast("int")
+    taken = mixed.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    return taken.select(*("text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

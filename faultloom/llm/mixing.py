@@ -150,6 +150,7 @@ def words_in(text):
 
 def mixed_documents(docs: DataFrame, size, seed: int = 0) -> DataFrame:
     """The documents with mix_size, source_size, target and taken, mixed by source under the default weights."""
+    docs = docs.drop("source_size", "target", "taken")
     sizes, targets = source_weights(docs, size)
     out = mix(docs, size, F.array("source"), targets, copies=2, seed=seed)
     # One row a source, as many as the flow's patterns, which `mix` has bounded.
