@@ -1,3 +1,3 @@
 import os, sys
 
-sys.path.insert(0, os.path.dirname(__file__))
+sys.path[:0] = [os.path.dirname(__file__), os.path.dirname(os.path.dirname(__file__))]
