@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, trace
 from ..sources import traces
+from ..streaming.sessions import stream_sessions
 from .domain import table, view, with_views
 
 #: Events as probes: a user is a test, an error an exit, all others enters of a method named by type and k.
@@ -62,6 +63,18 @@ def t6_sessions(spark, sf_dir):
     return trace.sessions(view(spark, sf_dir, _LOG), _LIMIT_S).select("case_id", "test_id", "session", "outcome", "reason")
 
 
+def t6_stream_sessions(spark, sf_dir):
+    """The sessions as a stream of the events' file, until all of it is read."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = table(spark, sf_dir, "events").schema
+    log = spark.sql(_LOG, events=spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    folder = traces.report_folder(spark)
+    q = stream_sessions(log, _LIMIT_S).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(f"{folder}/out").select("case_id", "test_id", "session", "outcome", "reason", "hits")
+
+
 def t7_late_events(spark, sf_dir):
     return trace.sessions(view(spark, sf_dir, _LOG), 1e9).select("case_id", "test_id", "session", "hits")
 
@@ -175,6 +188,10 @@ SQL = {
     "t4_method_numbers": with_views(f"WITH {_NUM} SELECT * FROM num", **_P),
     "t5_outcomes": with_views("SELECT case_id, test_id, CASE WHEN error THEN 'ERROR' WHEN failed THEN 'FAIL' ELSE 'PASS' END AS outcome, coalesce(runtime_ms, finished_ms - started_ms) / 1000 AS seconds FROM runs", runs=_RUNS.replace("cast(o_totalprice AS bigint)", "cast(trunc(o_totalprice) AS bigint)")),
     "t6_sessions": with_views(f"WITH {_SES} SELECT case_id, test_id, session::BIGINT AS session, CASE WHEN reason <> 'finished' THEN 'ERROR' WHEN cf THEN 'FAIL' ELSE 'PASS' END AS outcome, reason FROM se".replace("LIMIT_S", str(_LIMIT_S)), **_L),
+    "t6_stream_sessions": with_views(f"""WITH {_SES}, mx AS (SELECT max(ts) AS m FROM log),
+st AS (SELECT *, CASE WHEN reason = 'still open' THEN 'timed out' ELSE reason END AS r2 FROM se, mx WHERE reason <> 'still open' OR lim < m - INTERVAL 10 MINUTE),
+h2 AS (SELECT n.case_id, n.test_id, n.session, count(*) AS hits FROM n JOIN st USING (case_id, test_id, session) WHERE kind = 'enter' AND (cs IS NULL OR seq < cs) AND ts <= coalesce(ended, lim) GROUP BY ALL)
+SELECT st.case_id, st.test_id, st.session::INT AS session, CASE WHEN r2 <> 'finished' THEN 'ERROR' WHEN cf THEN 'FAIL' ELSE 'PASS' END AS outcome, r2 AS reason, coalesce(hits, 0) AS hits FROM st LEFT JOIN h2 USING (case_id, test_id, session)""".replace("LIMIT_S", str(_LIMIT_S)), **_L),
     "t7_late_events": with_views(f"WITH {_SES} SELECT se.case_id, se.test_id, se.session::BIGINT AS session, coalesce(hits, 0) AS hits FROM se LEFT JOIN hi USING (case_id, test_id, session)".replace("LIMIT_S", "1000000000"), **_L),
     "t8_timeouts": with_views(f"WITH {_SES} SELECT se.case_id, reason, count(*) AS sessions, sum(coalesce(hits, 0))::BIGINT AS hits, max(ended) AS last_end FROM se LEFT JOIN hi USING (case_id, test_id, session) GROUP BY ALL".replace("LIMIT_S", str(_LIMIT_S)), **_L),
     "t9_validation": with_views(f"""WITH {_REPORT} SELECT rep.case_id, rep.test_id, CASE WHEN outcome = 'PASS' THEN 'did not fail' WHEN test_id::INT % 7 = 0 THEN 'bad count' WHEN test_id::INT % 11 = 0 THEN 'call end not executed' WHEN counts = '' THEN 'no method' END AS problem FROM rep JOIN o USING (case_id, test_id)""", **_P),

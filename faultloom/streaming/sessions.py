@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _STATE = "number int, open boolean, started long, hits long"
@@ -69,6 +70,7 @@ class Sessions(StatefulProcessor):
 
 def stream_sessions(events: DataFrame, limit_s: float = 300.0, delay: str = "10 minutes") -> DataFrame:
     """Closed sessions of a streaming log (case_id, test_id, seq, ts, kind, failed). Needs the RocksDB state store."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", delay).groupBy("case_id", "test_id").transformWithStateInPandas(Sessions(limit_s), outputStructType=SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
