@@ -95,18 +95,19 @@ def r5_method_ids(spark, sf_dir):
     return symbols.method_ids(m, params)
 
 
-def _found(spark, sf_dir):
-    return symbols.lookup(_sites(spark, sf_dir).drop("a0", "a1", "caller_id"), _lineage(spark, sf_dir), _methods(spark, sf_dir), _types(spark, sf_dir))
+def _found(spark, sf_dir, lineage):
+    return symbols.lookup(_sites(spark, sf_dir).drop("a0", "a1", "caller_id"), lineage, _methods(spark, sf_dir), _types(spark, sf_dir))
 
 
 def r6_method_lookup(spark, sf_dir):
-    return _found(spark, sf_dir).select("case_id", "site_id", "declared_in", "method_id")
+    return _found(spark, sf_dir, _lineage(spark, sf_dir)).select("case_id", "site_id", "declared_in", "method_id")
 
 
 def _chosen(spark, sf_dir):
     s = _sites(spark, sf_dir)
     args = s.select("case_id", "site_id", F.posexplode(F.slice(F.array("a0", "a1"), F.lit(1), F.col("arity"))).alias("pos", "type"))
-    return symbols.best_overloads(_found(spark, sf_dir), args, _lineage(spark, sf_dir))
+    lineage = _lineage(spark, sf_dir)
+    return symbols.best_overloads(_found(spark, sf_dir, lineage), args, lineage)
 
 
 def r7_overloads(spark, sf_dir):
@@ -114,7 +115,8 @@ def r7_overloads(spark, sf_dir):
 
 
 def r8_dispatch(spark, sf_dir):
-    return symbols.dispatch(_found(spark, sf_dir), _methods(spark, sf_dir), _lineage(spark, sf_dir))
+    lineage = _lineage(spark, sf_dir)
+    return symbols.dispatch(_found(spark, sf_dir, lineage), _methods(spark, sf_dir), lineage)
 
 
 _VARS = f"SELECT 'j' AS case_id, 'u' || cast(user_id AS string) AS method_id, event_type AS name, event_id AS starts, event_id + 300 AS ends, event_id AS declared, {_tid('event_id % 100')} AS type FROM {{events}} WHERE event_type IN ('click', 'view')"
