@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, table
 
-#: So many distinct words are kept with their ids in each task; beyond it the store starts anew.
-_STORE = 200_000
+#: So many distinct words are kept with their ids in each Python worker; beyond it the store starts anew.
+_STORE = 800_000
+_MARKS = frozenset(b".,;:!?")
 
 
 def piece_lengths(n: int, longest: int) -> list[int]:
@@ -38,7 +39,8 @@ class _Ids:
     """Token ids of texts, word by word.
 
     The tokenizer's pre-tokenizer never joins characters across white space and drops the white space
-    itself, so a text's ids are its words' ids one after another.
+    itself, so a text's ids are its words' ids one after another. It lowers letters and parts them from marks, so
+    a word is looked up without its ASCII capitals and, if the rest is letters, without its last mark.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -47,19 +49,40 @@ class _Ids:
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.store: dict[bytes, bytes] = {}
 
-    def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        store = self.store
-        split = [t.split() for t in texts]
-        fresh = list({w for words in split for w in words if w not in store})
-        if len(store) + len(fresh) > _STORE:
-            store.clear()
-            fresh = list({w for words in split for w in words})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
+    def _learn(self, fresh: set[bytes]) -> None:
+        store, cut, wanted = self.store, {}, set()
+        for w in fresh:
+            low = w if b"<|" in w else w.lower()
+            parts = (low[:-1], low[-1:]) if len(low) > 1 and low[-1] in _MARKS and low[:-1].decode().isalpha() else (low,)
+            cut[w] = parts
+            wanted.update(p for p in parts if p not in store)
+        new = list(wanted)
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 store[w] = np.array(e.ids, "<u4").tobytes()
+        for w, parts in cut.items():
+            store[w] = store[parts[0]] if len(parts) == 1 else store[parts[0]] + store[parts[1]]
+
+    def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        split = [t.split() for t in texts]
+        distinct = {w for words in split for w in words}
+        if len(self.store) > _STORE:
+            self.store.clear()
+        self._learn({w for w in distinct if w not in self.store})
+        get = self.store.__getitem__
         for words in split:
-            yield b"".join([store[w] for w in words])
+            yield b"".join(map(get, words))
+
+
+_KNOWN: dict[str, _Ids] = {}
+
+
+def _ids(tokenizer: str) -> _Ids:
+    """One store for all tasks of a Python worker."""
+    if tokenizer not in _KNOWN:
+        _KNOWN[tokenizer] = _Ids(tokenizer)
+    return _KNOWN[tokenizer]
 
 
 def _pack(tokenizer: str, end_id: int, longest: int, tokens: bool):
@@ -67,7 +90,7 @@ def _pack(tokenizer: str, end_id: int, longest: int, tokens: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, end = _Ids(tokenizer), np.uint32(end_id).tobytes()
+        ids, end = _ids(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
             doc = batch.column(batch.schema.get_field_index("doc_id"))
             for at, texts in byte_texts(batch):
