@@ -52,7 +52,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def unified(path: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series(["".join(difflib.unified_diff(b.splitlines(True), a.splitlines(True), f"a/{p}", f"b/{p}")) for p, b, a in zip(path, before, after, strict=True)], dtype=object)
+        whole = lambda x: x if x.endswith("\n") else f"{x}\n\\ No newline at end of file\n"
+        return pd.Series(["".join(map(whole, difflib.unified_diff(b.splitlines(True), a.splitlines(True), f"a/{p}", f"b/{p}"))) for p, b, a in zip(path, before, after, strict=True)], dtype=object)
 
     digest = lambda df: df.select("case_id", "path", F.sha2("text", 256).alias("sha256"))
     changed = changed_files(digest(old), digest(new)).where("change <> 'unchanged'").select("case_id", "path")

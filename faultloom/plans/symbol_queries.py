@@ -305,6 +305,8 @@ SELECT 'i' AS case_id, id AS source_id, id AS runtime_id, 'exact' AS status FROM
     "r15_invented_ids": with_views(f"""WITH {_FP}, s AS (SELECT * FROM f WHERE src = 's'), r AS (SELECT * FROM f WHERE src = 'r'),
 a AS (SELECT s.id AS asked, CASE WHEN EXISTS (FROM r WHERE r.id = s.id) THEN s.id ELSE (SELECT arg_max(r.id, (len(r.id) - len(replace(r.id, '/', '')), len(r.id), r.id)) FROM r WHERE r.class_name = s.class_name AND r.name = s.name AND len(r.args) = len(s.args)) END AS method_id, EXISTS (FROM r WHERE r.id = s.id) AS ex FROM s)
 SELECT 'i' AS case_id, asked, method_id, CASE WHEN ex THEN 'exact' WHEN method_id IS NOT NULL THEN 'fingerprint' ELSE 'unknown' END AS how FROM a UNION ALL SELECT DISTINCT 'i', 'x.m' || (p_partkey % 7), NULL, 'unknown' FROM part""", **_IDSQL),
+    "r16_overload_selection": with_views("""
+SELECT case_id, 'q' || method_id AS ask_id, CASE WHEN k % 5 <> 2 THEN method_id END AS method_id, CASE k % 5 WHEN 0 THEN 'compatible' WHEN 1 THEN 'arity' WHEN 2 THEN 'none' ELSE 'exact' END AS how FROM methods WHERE k % 3 > 0""", methods=_METHODS),
     "r17_prefixes": with_views("SELECT case_id, path FROM d WHERE NOT EXISTS (FROM d e WHERE starts_with(d.path, e.path || '.'))", d=_DOTTED),
     "r17_include_list": with_views("""
 WITH u AS (SELECT path AS value, 0 AS s FROM d WHERE NOT EXISTS (FROM d e WHERE starts_with(d.path, e.path || '.')) UNION ALL SELECT p_type, 1 FROM part UNION ALL SELECT p_brand, 2 FROM part), f AS (SELECT value, min(s) AS s FROM u GROUP BY value)
