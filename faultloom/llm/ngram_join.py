@@ -4,11 +4,12 @@ Two sets with a similarity of t or more differ in at most H = (|R| + |S|) (1 - t
 the universe into m segments; if R and S differ in at most H elements, and the segments of R get allowances
 v in {0, 1, 2} that sum to H + 1 or more, then some segment differs in at most v - 1 elements: it is equal (v = 1), or
 equal after one deletion (v = 2). So equal signatures of segments, and of their one-deletion neighbourhoods,
-find every pair that an exact count of the intersection then verifies.
+find every pair; parities of the elements by class, which bound the difference from below, rule most others
+out, and an exact count of the intersection verifies the rest.
 
 Size bands: sizes fall into bands of ratio 1 / t, so a partner lies in the same band or the next one. Band k has its
-own m, a little above the H of its largest sizes. A set indexes all segments under its own band, and probes
-under its own and the one below, where it sends only the segments it needs.
+own m, a quarter above the H of its largest sizes. A set indexes all segments under its own band, and probes
+under its own and the one below, where it sends only the largest segments, a few more than it needs.
 
 Allocation by cost: an empty segment would meet every other empty one, so it gets 0. Each other one gets 1, and if the
 sum falls short of H + 1, all get 2 by way of their deletion neighbourhoods (which only sets that fall short send, as
@@ -37,8 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, checkpointed, components, groups_for, mixed, planes, route, row_key, table, unplanes, window_hashes, word_hashes
 
-_FLUSH = 1 << 21
+_FLUSH = 1 << 19
 _SETS = 60_000
+#: The longest list of keys that is broadcast.
+_SENT = 1_000_000
 _BLOCK = "part int, sigs binary, who binary, names binary, sizes binary, out binary"
 _OUT = "hot boolean, a long, b long"
 
@@ -52,7 +55,7 @@ class Bands:
         while low[-1] < 1 << 40:
             low.append(max(low[-1] + 1, -(-low[-1] * 100 // percent)))
         self.low = np.array(low)
-        self.segments = [int(self.apart(u - 1, (u - 1) * 100 // percent) * 1.15) + 4 for u in low[1:]]
+        self.segments = [int(self.apart(u - 1, (u - 1) * 100 // percent) * 1.25) + 4 for u in low[1:]]
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.low, n, side="right")) - 1
@@ -80,6 +83,16 @@ def name(own: np.ndarray) -> int:
     return int(mixed(mixed(mixed(sums[:1]) + sums[1:2]) * np.uint64(3) + mixed(sums[2:3]) + sums[3:])[0].astype(np.int64))
 
 
+def sketch(own: np.ndarray, least: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of a set's elements in 1024 classes, and in two to four classes an element: sets that differ in d elements differ in at most d bits.
+
+    Classes are low bits of the element, so the second half of the wide parities folds onto the first to halve their number.
+    """
+    wide = max(least, 1 << (2 * len(own) - 1).bit_length())
+    pack = lambda n: np.packbits((np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8)).view(np.int64)
+    return pack(least), pack(wide)
+
+
 def segments(own: np.ndarray, bands: Bands, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a set's segments that aren't empty: number, signature, size. A signature is the sum of mixed elements."""
     m = bands.segments[band]
@@ -98,8 +111,9 @@ def signatures(own: np.ndarray, bands: Bands, band: int) -> tuple[np.ndarray, bo
     key = mixed(at.astype(np.uint64) + salt)
     sigs = mixed(total + key)
     if len(at) >= need:
-        if bands.of(len(own)) != band and len(at) > need:
-            sigs = sigs[np.sort(np.argsort(-size, kind="stable")[:need])]
+        if bands.of(len(own)) != band:
+            # The largest segments, and an eighth more of them than needed: they are the rarest, and some may be hot.
+            sigs = sigs[np.sort(np.argsort(-size, kind="stable")[: need + need // 8 + 2])]
         return sigs, False
     # One deletion from each segment, and the segment itself, in a space of their own.
     where = route(mixed(own ^ np.uint64(0x5851F42D4C957F2D)), bands.segments[band])
@@ -133,16 +147,17 @@ def _statistics(n: int, percent: int):
             rows = []
             for _, own in _sets(iter([batch]), n):
                 if not len(own):
-                    rows.append((0, None, False))
+                    rows.append((0, None, False, None, None))
                     continue
                 k = bands.of(len(own))
                 rest = False
                 for band in {k, max(k - 1, 0)}:
                     _, _, size = segments(own, bands, band)
                     rest |= len(size) < (need := bands.need(len(own), band)) and _doubled(size) < need
-                rows.append((len(own), name(own), rest))
-            sizes, names, rest = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(rest, pa.bool_())], ["doc_id", "key", "n_shingles", "name", "rest"])
+                rows.append((len(own), name(own), rest, *sketch(own)))
+            sizes, names, rest, small, wide = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            columns = [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(rest, pa.bool_()), *(pa.array(x, pa.list_(pa.int64())) for x in (small, wide))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "key", "n_shingles", "name", "rest", "small", "wide"])
 
     return run
 
@@ -258,14 +273,49 @@ def _verify(percent: int):
     return run
 
 
+def _near_pairs(stats: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the parities do not rule out, before any text is read; a < b."""
+    for column in ("small", "wide"):
+        first = stats.where("name IS NOT NULL").groupBy("name").agg(F.first("n_shingles").alias("size"), F.first(column).alias("bits"))
+        of = lambda c: first.select(F.col("name").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))  # noqa: B023, E731
+        half = F.least(F.size("bits_a"), F.size("bits_b"))
+        # Sizes differ by a third at most, so one side may have twice the classes.
+        fold = lambda c: F.when(F.size(c) > half, F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))  # noqa: B023, E731
+        apart = F.aggregate(F.zip_with(fold("bits_a"), fold("bits_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        near = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= F.floor((F.col("size_a") + F.col("size_b")) * (100 - percent) / (100 + percent)))
+        pairs = checkpointed(near.select("a", "b"))
+    return pairs
+
+
 def _links(texts: DataFrame, stats: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of names whose sets are similar enough, counted exactly."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    first = stats.where("name IS NOT NULL").groupBy("name").agg(F.min("key").alias("key")).join(wanted, "name")
-    sets = texts.join(first, "key").select("key", "name", "text").mapInArrow(_set_rows(n), "name long, own binary")
+    wanted = stats.where("name IS NOT NULL").groupBy("name").agg(F.min("key").alias("key")).join(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "name")
+    wanted = checkpointed(wanted)
+    if wanted.count() <= _SENT:
+        # 16 bytes each, counted just before; a longer list meets the texts in a shuffle.
+        wanted = F.broadcast(wanted)
+    sets = texts.join(wanted, "key").select("key", "name", "text").mapInArrow(_set_rows(n), "name long, own binary")
     one = pairs.join(sets.withColumnsRenamed({"name": "a", "own": "x"}), "a")
     both = one.join(sets.withColumnsRenamed({"name": "b", "own": "y"}), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_verify(percent), "a long, b long")
+    return checkpointed(both.mapInArrow(_verify(percent), "a long, b long"))
+
+
+def _linked(texts: DataFrame, stats: DataFrame, pairs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links that connect what any of the pairs connects, and the components (id, component) of them.
+
+    Sets are large and pairs many, so each set is first counted against the least of its partners; then only
+    the pairs that lie in different components still matter.
+    """
+    near = _near_pairs(stats, pairs, percent)
+    links = _links(texts, stats, near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), n, percent)
+    part = components(links)
+    known = lambda c: part.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}"))
+    rest = near.join(known("a"), "a", "left").join(known("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+    rest = checkpointed(rest)
+    if rest.isEmpty():
+        return links, part
+    links = links.unionByName(_links(texts, stats, rest, n, percent))
+    return links, components(links)
 
 
 def _uncovered(n: int, percent: int):
@@ -295,7 +345,10 @@ def _rest_pairs(texts: DataFrame, stats: DataFrame, hot: DataFrame, part: DataFr
     """Pairs among the sets that neither side's signatures are sure to find: those in different components that share one of their rarest elements."""
     first = stats.where("name IS NOT NULL").groupBy("name").agg(F.min("key").alias("key"), F.max("rest").alias("rest"))
     gone = hot.groupBy(F.col("b").alias("name")).agg(F.collect_set("a").alias("hot"))
-    some = first.join(gone, "name", "left").where("rest OR hot IS NOT NULL")
+    some = checkpointed(first.join(gone, "name", "left").where("rest OR hot IS NOT NULL"))
+    if (some.select(F.sum(2 + F.coalesce(F.size("hot"), F.lit(0)))).first()[0] or 0) <= 2 * _SENT:
+        # 8 bytes each, counted just before; a longer list meets the texts in a shuffle.
+        some = F.broadcast(some)
     held = checkpointed(texts.join(some, "key").select("key", "name", "text", "hot").mapInArrow(_uncovered(n, percent), "name long, size long, element long"))
     often = held.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
     counted = held.join(often, "element", "left").fillna(1, ["n"])
@@ -310,25 +363,24 @@ def _rest_pairs(texts: DataFrame, stats: DataFrame, hot: DataFrame, part: DataFr
     return x.join(y, on).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
 
 
-def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, most: int = 8) -> DataFrame:
+def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, most: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, key) of every document: the size of its set and its class under the links.
 
     percent: the least similarity in hundredths; most: sets that may share a signature before a pivot stands for them.
     """
     texts = docs.select("doc_id", row_key().alias("key"), "text")
-    stats = checkpointed(texts.mapInArrow(_statistics(n, percent), "doc_id long, key long, n_shingles long, name long, rest boolean"))
+    stats = checkpointed(texts.mapInArrow(_statistics(n, percent), "doc_id long, key long, n_shingles long, name long, rest boolean, small array<long>, wide array<long>"))
     groups = groups_for(stats, F.col("n_shingles"), 2_500_000)
     met = texts.mapInArrow(_emit(n, percent, groups, most), _BLOCK).groupBy("part").applyInPandas(_meet(percent, most), _OUT)
     met = checkpointed(met.distinct())
-    links = checkpointed(_links(texts, stats, met.where("NOT hot").select("a", "b"), n, percent))
-    part = components(links)
+    links, part = _linked(texts, stats, met.where("NOT hot").select("a", "b"), n, percent)
     hot = met.where("hot").select("a", "b")
     # Signatures whose sets are not all in one component by now; a set without links is its own.
     own = hot.join(part.withColumnRenamed("id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     mixed_up = own.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a")
     unclear = checkpointed(hot.join(mixed_up, "a"))
     if not unclear.isEmpty() or not stats.where("rest").isEmpty():
-        more = _links(texts, stats, checkpointed(_rest_pairs(texts, stats, unclear, part, n, percent)), n, percent)
+        more, _ = _linked(texts, stats, checkpointed(_rest_pairs(texts, stats, unclear, part, n, percent)), n, percent)
         part = components(links.unionByName(more))
     # Classes, not rows, meet here: the least id of each name, then of each component.
     least = stats.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"))

@@ -115,8 +115,10 @@ def test_parities_bound_the_difference():
     rng = np.random.default_rng(2)
     x = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))
     y = np.concatenate([x[40:], rng.integers(0, 1 << 63, 10).astype(np.uint64)])
-    bits = sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(ngram_join.sketch(x).view(np.uint64), ngram_join.sketch(y).view(np.uint64), strict=True))
-    assert bits <= 50
+    for a, b in zip(ngram_join.sketch(x), ngram_join.sketch(y), strict=True):
+        assert sum(bin(int(p) ^ int(q)).count("1") for p, q in zip(a.view(np.uint64), b.view(np.uint64), strict=True)) <= 50
+    small, wide = ngram_join.sketch(np.unique(rng.integers(0, 1 << 63, 900).astype(np.uint64)))
+    assert len(wide) == 2 * len(small) and (wide[: len(small)] ^ wide[len(small) :] == small).all()
 
 
 def test_substring_dedup_equals_brute_force(docs):
