@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import byte_texts, table
 
 #: So many distinct words are kept with their ids in each Python worker; beyond it the store starts anew.
-_STORE = 800_000
+_STORE = 1_200_000
 _MARKS = frozenset(b".,;:!?")
 
 
@@ -66,10 +66,10 @@ class _Ids:
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [t.split() for t in texts]
-        distinct = {w for words in split for w in words}
         if len(self.store) > _STORE:
             self.store.clear()
-        self._learn({w for w in distinct if w not in self.store})
+        if fresh := set().union(*split).difference(self.store):
+            self._learn(fresh)
         get = self.store.__getitem__
         for words in split:
             yield b"".join(map(get, words))
