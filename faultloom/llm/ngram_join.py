@@ -16,7 +16,7 @@ sum falls short of H + 1, all get 2 by way of their deletion neighbourhoods (whi
 a pair is lost only if both do). A signature that more than `most` sets of a group share costs too much as well: its
 sets are linked to one pivot of theirs. If after verification one component holds all of them, nothing is
 missing; else it gets 0, and the sets that fall short by that (as those whose doubled sum falls short) are joined among each other
-on their rarest elements (`_rest_pairs`), which is exact for every size. No signature emits all its pairs.
+on their rarest elements (`_rest_pairs`), which is exact for every size: pairs without a rare element in common must have enough common ones. No signature emits all its pairs.
 
 How it is dealt out: signatures travel as packed blocks, a task's share at a time, to groups by their upper bits; a signature that is
 hot within a share keeps only `most` of its sets there. Equal sets are one class from the start, by a 128-bit sum of
@@ -40,6 +40,8 @@ from .common import byte_texts, checkpointed, components, groups_for, mixed, pla
 
 _FLUSH = 1 << 19
 _SETS = 60_000
+#: Among the sets that fall short, an element that more of them hold is common.
+_COMMON = 16
 #: The longest list of keys that is broadcast.
 _SENT = 1_000_000
 _BLOCK = "part int, sigs binary, who binary, names binary, sizes binary, out binary"
@@ -352,18 +354,24 @@ def _rest_pairs(texts: DataFrame, stats: DataFrame, hot: DataFrame, part: DataFr
     held = checkpointed(texts.join(some, "key").select("key", "name", "text", "hot").mapInArrow(_uncovered(n, percent), "name long, size long, element long"))
     often = held.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
     counted = held.join(often, "element", "left").fillna(1, ["n"])
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("n", "element"))
-    prefix = counted.withColumn("r", rank).where((F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1) & (F.col("n") > 1))
+    # An element that many sets hold is common. Sets without a rarer one in common share no more than their common ones,
+    # so a pair that meets on a common element only matters if both have enough of these.
+    own = Window.partitionBy("name")
+    rank = F.row_number().over(own.orderBy("n", "element"))
+    counted = counted.withColumns({"r": rank, "common": F.count_if(F.col("n") > _COMMON).over(own)})
+    prefix = counted.where((F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1) & (F.col("n") > 1))
+    prefix = prefix.where((F.col("n") <= _COMMON) | (100 * F.col("common") >= percent * F.col("size")))
     prefix = prefix.join(part.select(F.col("id").alias("name"), "component"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     several = prefix.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("element")
-    prefix = checkpointed(prefix.join(several, "element").select("element", "name", "size", "component"))
+    prefix = checkpointed(prefix.join(several, "element").select("element", "name", "size", "component", "common", (F.col("n") > _COMMON).alias("often")))
     x, y = prefix.alias("x"), prefix.alias("y")
     on = (F.col("x.element") == F.col("y.element")) & (F.col("x.name") < F.col("y.name")) & (F.col("x.component") != F.col("y.component"))
     on &= 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
+    on &= ~F.col("x.often") | ((100 + percent) * F.least("x.common", "y.common") >= percent * (F.col("x.size") + F.col("y.size")))
     return x.join(y, on).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
 
 
-def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, most: int = 32) -> DataFrame:
+def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, most: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, key) of every document: the size of its set and its class under the links.
 
     percent: the least similarity in hundredths; most: sets that may share a signature before a pivot stands for them.
