@@ -20,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import table
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -199,11 +199,11 @@ def _search(k: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["asks"].to_numpy()
         if not asks.any() or asks.all():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "scores": [], "ids": []})
         x = np.stack(rows["embedding"].to_numpy())
         ids = rows["vec_id"].to_numpy()
         found = list(rerank(ids[asks], x[asks], ids[~asks], x[~asks], k))
-        return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
+        return pd.DataFrame({"query_id": [q for q, _, _ in found], "scores": [s for _, _, s in found], "ids": [i for _, i, _ in found]})
 
     return run
 
@@ -216,7 +216,6 @@ def nearest(vectors: DataFrame, k: int = 20, share: int = 20, recall: float = 0.
     good &= F.exists("embedding", lambda e: e != 0)
     usable = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(good).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     widths = usable.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
     spark = vectors.sparkSession
     if not widths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -233,10 +232,12 @@ def nearest(vectors: DataFrame, k: int = 20, share: int = 20, recall: float = 0.
     sizes = {r["part"]: r["count"] for r in plain.groupBy("part").count().collect()}
     slices = np.array([-(-sizes.get(p, 0) // slice_rows) or 1 for p in range(parts)], np.int64)
     dealt = usable.mapInArrow(_route(context.broadcast((router, mass, slices, share))), "part int, slot int, asks boolean, vec_id long, embedding array<float>")
-    found = dealt.groupBy("part", "slot").applyInPandas(_search(k), schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    # One row for a query's visit to a slice; at most k neighbours of each visit meet at the query.
+    found = dealt.groupBy("part", "slot").applyInPandas(_search(k), "query_id long, scores array<double>, ids array<long>")
+    every = found.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("scores", "ids"))).alias("all"))
+    best = F.slice(F.array_sort(F.transform("all", lambda x: F.struct((-x["scores"]).alias("less"), x["ids"].alias("vec_id"), x["scores"].alias("score")))), 1, k)
+    ranked = every.select("query_id", F.posexplode(best).alias("pos", "b"))
+    return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), "b.vec_id", "b.score")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
