@@ -1,6 +1,7 @@
 """Chat formatting of event-sourced conversations, in DataFrame functions only.
 
-A conversation is a log of events. `fold_events` rebuilds the turns from it: events are put in order by
+A conversation is a log of events. The tables hold final turns only, so the query makes a log of them with `logged_events`
+and takes its turns from the fold. `fold_events` rebuilds the turns from it: events are put in order by
 sequence number within (conversation, turn), an edit or a regeneration starts the turn's text anew, and deltas
 add to it. `render` writes the turns with a template and gives the spans under the loss mask, and
 `read_back` parses a rendered text to turns again.
@@ -39,23 +40,44 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-def fold_events(events: DataFrame) -> DataFrame:
+def logged_events(turns: DataFrame) -> DataFrame:
+    """A log (conv_id, row, seq, turn, role, kind, text) whose fold by (conv_id, turn, row) gives the turns (conv_id, turn, role, text).
+
+    A text comes in three deltas. Of three turns, by a hash, one has a draft that a regeneration drops and one a draft that an edit
+    replaces. `row` keeps turns of the same number apart. A turn's events are logged last first, so that only seq orders them.
+    """
+    text = F.coalesce("text", F.lit(""))
+    third = F.ceil(F.length(text) / 3).cast("int")
+    how = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(3))
+    event = lambda seq, kind, text: F.struct(F.lit(seq).alias("seq"), (F.col("role") if seq == 0 else F.lit(None).cast("string")).alias("role"), F.lit(kind).alias("kind"), text.alias("text"))
+    first, second, rest = F.substr(text, F.lit(1), third), F.substr(text, third + 1, third), F.substr(text, 2 * third + 1)
+    draft, tail = event(0, "delta", F.concat(rest, F.lit("..."))), [event(4, "delta", rest), event(3, "delta", second)]
+    log = F.when(how == 0, F.array(*tail, event(0, "delta", first)))
+    log = log.when(how == 1, F.array(*tail, event(2, "delta", first), event(1, "regenerate", F.lit(None).cast("string")), draft))
+    log = log.otherwise(F.array(*tail, event(2, "edit", first), draft))
+    keyed = turns.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("row"))
+    return keyed.select("conv_id", "row", "turn", F.explode(log).alias("e")).select("conv_id", "row", "e.seq", "turn", "e.role", "e.kind", "e.text")
+
+
+def fold_events(events: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
     """Final turns (conv_id, turn, role, text) of a log (conv_id, seq, turn, role, kind, text).
 
     kind: "edit" replaces the turn's text, "regenerate" starts it anew, "delta" adds to it and "delete" removes the turn; any
-    other kind counts as a delta. The role is the last one that is not null.
+    other kind counts as a delta. The role is the last one that is not null. apart: columns of the log that tell turns of the same
+    number in a conversation apart.
     """
-    own = Window.partitionBy("conv_id", "turn").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    key = ("conv_id", "turn", *apart)
+    own = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     starts = F.sum(F.when(F.col("kind").isin("edit", "regenerate", "delete"), 1).otherwise(0)).over(own)
     held = events.withColumn("version", starts)
-    last = held.groupBy("conv_id", "turn", "version").agg(
+    last = held.groupBy(*key, "version").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))), lambda e: e["text"]), "").alias("text"),
         F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"),
         F.max(F.coalesce(F.col("kind") == "delete", F.lit(False))).alias("gone"),
         F.max("seq").alias("seq"),
     )
     by = F.when(F.col("role").isNotNull(), F.col("version"))
-    final = last.groupBy("conv_id", "turn").agg(F.max_by(F.struct("text", "gone"), "version").alias("v"), F.max_by("role", by).alias("role"))
+    final = last.groupBy(*key).agg(F.max_by(F.struct("text", "gone"), "version").alias("v"), F.max_by("role", by).alias("role"))
     return final.where("NOT v.gone").select("conv_id", "turn", "role", F.col("v.text").alias("text"))
 
 
@@ -96,7 +118,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = r"SELECT -7L AS conv_id, turn, role, r'\### Assistant: </turn> ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)"
     logged = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(own))
-    back = read_back(render(logged))
+    back = read_back(render(fold_events(logged_events(logged), ("row",))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -33,6 +33,22 @@ def test_events_fold_to_final_turns(spark):
     assert sorted(tuple(r) for r in chat_format.fold_events(df).collect()) == [(1, 0, "user", "Hi"), (1, 1, "assistant", "good!")]
 
 
+def test_op10_takes_its_turns_from_the_fold(spark, tmp_path, monkeypatch):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} é {t}" * (t + 1)) for c in range(6) for t in range(4)]
+    rows += [(1, 1, "assistant", "text 1 é 1" * 2), (1, 1, "tool", "ab"), (2, 2, None, None), (None, None, "user", ""), (9, 0, "user", "#")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat_format.logged_events(turns)
+    kinds = {r["kind"] for r in log.select("kind").distinct().collect()}
+    assert kinds == {"delta", "edit", "regenerate"} and log.count() >= 3 * len(rows)
+    folded = chat_format.fold_events(log, ("row",)).collect()
+    assert sorted(map(tuple, folded), key=repr) == sorted(((c, t, role, text or "") for c, t, role, text in rows), key=repr)
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    fold, seen = chat_format.fold_events, []
+    monkeypatch.setattr(chat_format, "fold_events", lambda events, *a: seen.append(events.count()) or fold(events, *a))
+    out = {r.conv_id: r.n_turns for r in chat_format.op10_chat_formatting(spark, str(tmp_path)).collect()}
+    assert seen and seen[0] >= 3 * (len(rows) + 2) and out == {0: 4, 1: 6, 2: 5, 3: 4, 4: 4, 5: 4, None: 1, 9: 1, -7: 2}
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://WWW.a.com:80/x/?b=2&a=1#f", "2024-01-01 10:00:00", "response", "ETag: \"1\"\nServer: s\nDate: d1", "body1"), (2, "https://a.com/x?a=1&b=2", "2024-01-03 10:00:00", "revisit", "ETag: W/\"1\"\nServer: t\nDate: d2", None),
