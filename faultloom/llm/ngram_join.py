@@ -351,7 +351,9 @@ def _rest_pairs(texts: DataFrame, stats: DataFrame, hot: DataFrame, part: DataFr
     if (some.select(F.sum(2 + F.coalesce(F.size("hot"), F.lit(0)))).first()[0] or 0) <= 2 * _SENT:
         # 8 bytes each, counted just before; a longer list meets the texts in a shuffle.
         some = F.broadcast(some)
-    held = checkpointed(texts.join(some, "key").select("key", "name", "text", "hot").mapInArrow(_uncovered(n, percent), "name long, size long, element long"))
+    # One row for each set: the ranks below count a set's elements, so repeated rows must not repeat them.
+    alone = texts.join(some, "key").select("key", "name", "text", "hot").dropDuplicates(["name"])
+    held = checkpointed(alone.mapInArrow(_uncovered(n, percent), "name long, size long, element long"))
     often = held.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
     counted = held.join(often, "element", "left").fillna(1, ["n"])
     # An element that many sets hold is common. Sets without a rarer one in common share no more than their common ones,

@@ -111,6 +111,21 @@ def test_signatures_meet_whenever_sets_are_similar():
         assert met or all(rest)
 
 
+def test_rest_pairs_finds_the_partner_of_a_repeated_row(spark):
+    one = [f"w{i}" for i in range(120)]
+    other = one[:105] + [f"v{i}" for i in range(15)]
+    docs = spark.createDataFrame([(1, " ".join(one))] * 6 + [(2, " ".join(other))], "doc_id long, text string")
+    texts = docs.select("doc_id", ngram_join.row_key().alias("key"), "text")
+    stats = texts.mapInArrow(ngram_join._statistics(5, 75), "doc_id long, key long, n_shingles long, name long, rest boolean, small array<long>, wide array<long>")
+    bands, hot = ngram_join.Bands(75), []
+    for _, own in ngram_join._sets(iter(texts.toArrow().to_batches()), 5):
+        k = bands.of(len(own))
+        hot += [(int(s.view(np.int64)), ngram_join.name(own)) for band in {k, max(k - 1, 0)} for s in ngram_join.signatures(own, bands, band)[0]]
+    part = spark.createDataFrame([], "id long, component long")
+    found = ngram_join._rest_pairs(texts, stats, spark.createDataFrame(hot, "a long, b long"), part, 5, 75).collect()
+    assert [{r.a, r.b} for r in found] == [{b for _, b in hot}]
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(2)
     x = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))
