@@ -1,6 +1,6 @@
 """Removal of word passages that occur anywhere else, by fixed-block anchors.
 
-A window of `length` words holds exactly one whole block of `length // 2 + 1` words that starts at a
+A window of `length` words holds at least one whole block of `(length + 1) // 2` words that starts at a
 multiple of the block's width in its document (35 words: blocks of 18). So the index takes only those
 non-overlapping blocks, every rolling block probes it, and a window can only repeat where its own
 block is hit. The hits are then extended: the windows around hit blocks are counted themselves, and
@@ -93,7 +93,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndar
 
 
 def _emit(anchors: bool, length: int, groups: int):
-    block = length // 2 + 1
+    block = (length + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

@@ -158,6 +158,19 @@ def test_substring_dedup_equals_brute_force(docs):
             assert by[9].n_chars == len(by[9].text)
 
 
+@pytest.mark.parametrize("length", [20, 21])
+def test_repeats_are_found_at_every_offset(spark, length):
+    rows, expected = [], []
+    for at in range(length + 2):
+        passage = [f"p{at}x{i}" for i in range(length)]
+        for side, before in ((0, at), (1, 3)):
+            own = [f"o{at}s{side}x{i}" for i in range(before + 4)]
+            rows.append((2 * at + side, " ".join(own[:before] + passage + own[before:])))
+            expected.append((2 * at + side, length))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substring_dedup.repeat_digest(df, length).collect()) == expected
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
