@@ -1,20 +1,23 @@
 """Quality rules with a language-model verdict: perplexity under modified Kneser-Ney n-grams, in bands of each language.
 
-The model is of characters, order 3. Code points fall into 128 classes (lower case; the letters and marks of
-ASCII each their own, all others by hash), so a language has at most 128**3 n-grams: that bounds the model for any
-corpus. Spark counts the n-grams of every whole text by language; continuation counts, the three discounts of each order
-(modified Kneser-Ney) and the interpolated probabilities are DataFrame aggregations of these counts. The
-model reaches the tasks as sorted arrays: hashes of (language, order, n-gram) and the log probabilities or back-off weights.
+The model is of lower-case code points, order 3, each a class of its own, and every language has its own model, so it grows
+with the corpus. Spark counts the n-grams of every whole text by language into a written table; continuation counts, the
+three discounts of each order (modified Kneser-Ney) and the interpolated probabilities are DataFrame aggregations of it.
+As every text is counted, each of its n-grams has a probability there and scoring needs no back-off.
 
-A document passes if its mean negative log probability lies within its language's band: the quartiles over all documents of
-the language, widened by `spread` interquartile ranges to each side, more for short texts, whose means vary more.
-Both sides reject: above lies noise, below lies repetition.
+A document passes if its surprise, the negative log probability of its text for each letter, lies within its language's band: the quartiles
+over all documents of the language, widened by `spread` interquartile ranges to each side, more for short texts, which vary more.
+Both sides reject: above lies noise, below lies repetition. Marks add to the sum and not to the letters, so litter counts in
+full however regular it is.
 
-How it is dealt out: counting adds up within tasks and then by (language, n-gram); scoring is a pass over rows;
-the quartiles come from mergeable sketches. Nothing grows with a hot key.
+How it is dealt out: counting adds up within tasks and then by (language, n-gram). N-grams that make up a millionth of the corpus
+each, so at most a million, reach the tasks as sorted arrays; each document's other distinct n-grams, which are
+rare, meet the table in a join by (language, n-gram). The quartiles come from mergeable sketches. Nothing grows with a hot key.
 
-Edge cases: a null or empty text has no words and fails the base rules; a null language is one of its own; languages
-beyond the `most_langs` with most documents share one model and band; repeated rows are scored each.
+Edge cases: a null or empty text has no words and fails the base rules; a null language is one of its own; a text without
+letters counts as one letter; repeated rows are scored each.
+
+`character_classes`, `grams` and `Model` are a form of the model on 128 classes that fits in memory, with back-off; the query does not use it.
 """
 
 from __future__ import annotations
@@ -27,8 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import byte_texts, checkpointed, mixed, table, window_hashes, word_hashes
+from .language_id import letters
 
 _V = 128
+#: Above every code point.
+_POINTS = 1 << 21
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -53,38 +59,61 @@ def grams(text: bytes, classes: np.ndarray) -> np.ndarray:
     return (own[:-2] * _V + own[1:-1]) * _V + own[2:]
 
 
+def lower_points() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: its lower-case one, all white space being a space; and whether it is a letter."""
+    letter = letters()
+    out = np.where(letter != 32, letter, np.arange(0x110000, dtype=np.uint32))
+    out[[c for c in range(0x3001) if chr(c).isspace()]] = 32
+    return out, letter != 32
+
+
+def point_grams(text: bytes, lower: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, int]:
+    """Codes of the n-grams of three code points of a text that has two spaces before it and one after, and its number of letters."""
+    own = np.frombuffer(text.decode().encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.concatenate([[32, 32], lower[own], [32]]).astype(np.int64)
+    return (points[:-2] * _POINTS + points[1:-1]) * _POINTS + points[2:], int(letter[own].sum())
+
+
 def _index(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(batch.schema.get_field_index("lang_no")).to_numpy()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    classes, sums, n = character_classes(), {}, 0
+    points = lower_points()
+    held: dict[int, list] = {}
+    n = 0
+
+    def added(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        codes, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return codes, np.bincount(back, np.concatenate([x for _, x in parts])).astype(np.int64)
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for no, own in sums.items():
-            codes = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), no, np.int32)), pa.array(codes.astype(np.int32)), pa.array(own[codes].astype(np.int64))], ["lang_no", "code", "n"])
+        for no, parts in held.items():
+            codes, times = added(parts)
+            for i in range(0, len(codes), 1 << 16):
+                j = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes[j]), no, np.int64)), pa.array(codes[j]), pa.array(times[j])], ["lang_no", "code", "n"])
 
     for batch in batches:
         numbers = _index(batch)
         for at, texts in byte_texts(batch):
             for no in np.unique(numbers[at : at + len(texts)]):
-                own = [grams(t, classes) for t, x in zip(texts, numbers[at : at + len(texts)], strict=True) if x == no and t]
+                own = [point_grams(t, *points)[0] for t, x in zip(texts, numbers[at : at + len(texts)], strict=True) if x == no and t]
                 if own:
-                    every = np.concatenate(own)
-                    n += len(every)
-                    sums[no] = sums.get(no, 0) + np.bincount(every, minlength=_V**3).astype(np.int32)
-            if n > 1 << 30:
-                yield from flush()
-                sums, n = {}, 0
+                    held.setdefault(int(no), []).append(np.unique(np.concatenate(own), return_counts=True))
+                    n += len(held[int(no)][-1][0])
+            if n > 1 << 20:
+                # What many slices share adds up here; only if that is not enough is it handed on.
+                held = {no: [added(parts)] for no, parts in held.items()}
+                n = sum(len(parts[0][0]) for parts in held.values())
+                if n > 1 << 19:
+                    yield from flush()
+                    held, n = {}, 0
     yield from flush()
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang_no, ord, code, value) from n-gram counts (lang_no, code, n).
-
-    ord 3, 2, 1: the log of the interpolated probability of an n-gram's last class; 13, 12: the log of the back-off weight of its context.
-    """
+def probabilities(counts: DataFrame, v: int) -> list[DataFrame]:
+    """With n and the interpolated probability p of an n-gram's last class, (lang_no, code) of orders 3, 2 and 1, from counts (lang_no, code, n) on v classes."""
 
     def discounts(df: DataFrame) -> DataFrame:
         n = [F.count_if(F.col("n") == i).cast("double") for i in (1, 2, 3, 4)]
@@ -95,20 +124,27 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
     def layer(df: DataFrame, lower: DataFrame, order: int) -> DataFrame:
         """With p: each n-gram's probability, interpolated with that of the n-gram without its first class."""
-        own = df.withColumn("context", F.expr(f"code div {_V}")).join(F.broadcast(discounts(df)), "lang_no")
+        own = df.withColumn("context", F.expr(f"code div {v}")).join(F.broadcast(discounts(df)), "lang_no")
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         context = own.groupBy("lang_no", "context").agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("back"))
-        own = own.join(context, ["lang_no", "context"]).withColumn("suffix", F.expr(f"code % {_V ** (order - 1)}"))
+        own = own.join(context, ["lang_no", "context"]).withColumn("suffix", F.expr(f"code % {v ** (order - 1)}"))
         joined = own.join(lower.select("lang_no", F.col("code").alias("suffix"), F.col("p").alias("q")), ["lang_no", "suffix"])
-        return joined.select("lang_no", "code", "context", "back", ((F.col("n") - cut) / F.col("total") + F.col("back") * F.col("q")).alias("p"))
+        return joined.select("lang_no", "code", "n", "context", "back", ((F.col("n") - cut) / F.col("total") + F.col("back") * F.col("q")).alias("p"))
 
-    two = counts.groupBy("lang_no", F.expr(f"code % {_V**2}").alias("code")).agg(F.count("*").alias("n"))
-    one = two.groupBy("lang_no", F.expr(f"code % {_V}").alias("code")).agg(F.count("*").alias("n"))
+    two = counts.groupBy("lang_no", F.expr(f"code % {v**2}").alias("code")).agg(F.count("*").alias("n"))
+    one = two.groupBy("lang_no", F.expr(f"code % {v}").alias("code")).agg(F.count("*").alias("n"))
     every = F.sum("n").over(Window.partitionBy("lang_no"))
-    first = one.withColumn("p", 0.95 * F.col("n") / every + 0.05 / _V)
+    first = one.withColumn("p", 0.95 * F.col("n") / every + 0.05 / v)
     second = checkpointed(layer(two, first, 2))
-    third = layer(counts, second, 3)
-    third = checkpointed(third)
+    return [checkpointed(layer(counts, second, 3)), second, first]
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang_no, ord, code, value) from n-gram counts (lang_no, code, n) on 128 classes.
+
+    ord 3, 2, 1: the log of the interpolated probability of an n-gram's last class; 13, 12: the log of the back-off weight of its context.
+    """
+    third, second, first = probabilities(counts, _V)
     value = lambda df, order: df.select("lang_no", F.lit(order).alias("ord"), F.col("code").cast("long").alias("code"), F.log("p").alias("value"))
     back = lambda df, order: df.select("lang_no", F.lit(order).alias("ord"), F.col("context").cast("long").alias("code"), F.log("back").alias("value")).distinct()
     return value(third, 3).unionByName(value(second, 2)).unionByName(value(first, 1)).unionByName(back(third, 13)).unionByName(back(second, 12))
@@ -162,56 +198,79 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(text.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")), len(lines) - len(set(lines)), repeated
 
 
-def _score(model):
+def _key(no: int, code: np.ndarray) -> np.ndarray:
+    return mixed(mixed(np.array([no], np.int64).view(np.uint64)) + code.view(np.uint64))
+
+
+_SCORED = "doc_id long, lang_no long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, known double, letters long, n_bytes long, rare array<long>, times array<long>"
+
+
+def _score(often):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, own = character_classes(), model.value
-        scratch = np.zeros(_V**3, np.float32)
+        points, (keys, values) = lower_points(), often.value
         for batch in batches:
-            numbers, rows = _index(batch), []
+            numbers = _index(batch)
             for at, texts in byte_texts(batch):
-                mean = np.full(len(texts), np.nan)
-                for no in np.unique(numbers[at : at + len(texts)]):
-                    mine = [i for i, t in enumerate(texts) if t and numbers[at + i] == no]
+                own = numbers[at : at + len(texts)]
+                known, letter, rare, times = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [[]] * len(texts), [[]] * len(texts)
+                for no in np.unique(own):
+                    mine = [i for i, t in enumerate(texts) if t and own[i] == no]
                     if not mine:
                         continue
-                    codes = [grams(texts[i], classes) for i in mine]
-                    every = np.concatenate(codes)
-                    distinct = np.flatnonzero(np.bincount(every, minlength=1))
-                    scratch[distinct] = own.log_p(int(no), distinct)
+                    codes, letter[mine] = zip(*(point_grams(texts[i], *points) for i in mine), strict=True)
                     sizes = np.array([len(c) for c in codes])
-                    sums = np.add.reduceat(scratch[every].astype(np.float64), np.cumsum(sizes) - sizes)
-                    mean[mine] = -sums / sizes
-                rows += [(*base_counts(t), None if np.isnan(m) else float(m), len(t)) for t, m in zip(texts, mean, strict=True)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            arrays = [pa.array(c, pa.float64() if i == 5 else pa.int64()) for i, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "lang_no", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise", "n_bytes"])
+                    distinct, back = np.unique(np.concatenate(codes), return_inverse=True)
+                    key = _key(int(no), distinct)
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    there = keys[place] == key if len(keys) else np.zeros(len(key), bool)
+                    value = np.where(there, values[place], 0.0) if len(keys) else np.zeros(len(key))
+                    known[mine] = np.add.reduceat(value[back], np.cumsum(sizes) - sizes)
+                    # Of a document's other n-grams, each once with its count.
+                    left = np.flatnonzero(~there[back])
+                    pair, n = np.unique(np.repeat(np.arange(len(mine)), sizes)[left] * len(distinct) + back[left], return_counts=True)
+                    which = pair // len(distinct)
+                    for w in np.unique(which):
+                        j = slice(*np.searchsorted(which, [w, w + 1]))
+                        rare[mine[w]], times[mine[w]] = distinct[pair[j] % len(distinct)], n[j]
+                rows = list(zip(*(base_counts(t) for t in texts), strict=True))
+                columns = [*(pa.array(c, pa.int64()) for c in rows), pa.array(known), pa.array(letter), pa.array([len(t) for t in texts], pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), *columns], [f.split()[0] for f in _SCORED.split(", ")])
 
     return run
 
 
-def score_quality(docs: DataFrame, spread: float = 6.0, most_langs: int = 32) -> DataFrame:
-    """Counts, base_failed, surprise (mean negative log probability) and kept of every document."""
-    spark = docs.sparkSession
-    often = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs - 1).collect()]
-    number = F.lit(len(often))
-    for i, name in enumerate(often):
-        number = F.when(F.col("lang").eqNullSafe(F.lit(name)), F.lit(i)).otherwise(number)
-    texts = docs.select("doc_id", number.cast("int").alias("lang_no"), "text")
-    counts = checkpointed(texts.mapInArrow(_count, "lang_no int, code int, n long").groupBy("lang_no", "code").agg(F.sum("n").alias("n")))
-    # At most 128**3 n-grams a language, for most_langs languages.
-    rows = kneser_ney(counts).toPandas()
-    model = Model(*(rows[c].to_numpy() for c in ("lang_no", "ord", "code", "value"))) if len(rows) else Model(*([np.zeros(1)] * 4))
-    scored = texts.mapInArrow(_score(spark.sparkContext.broadcast(model)), "doc_id long, lang_no int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, surprise double, n_bytes long")
-    scored = checkpointed(scored)
+def score_quality(docs: DataFrame, spread: float = 6.0, sent: int = 1_000_000) -> DataFrame:
+    """Counts, base_failed, surprise (negative log probability for each letter) and kept of every document.
+
+    sent: the most n-grams that are broadcast; all others are joined.
+    """
+    texts = docs.select("doc_id", F.xxhash64("lang").alias("lang_no"), "text")
+    counts = checkpointed(texts.mapInArrow(_count, "lang_no long, code long, n long").groupBy("lang_no", "code").agg(F.sum("n").alias("n")))
+    model = probabilities(counts, _POINTS)[0].select("lang_no", "code", "n", (-F.log("p")).alias("cost"))
+    total = counts.select(F.sum("n")).first()[0] or 0
+    # At most `sent` n-grams have this share of all.
+    share = F.col("n") * sent >= F.lit(total)
+    rows = model.where(share).toPandas()
+    keys = np.concatenate([_key(int(no), own["code"].to_numpy()) for no, own in rows.groupby("lang_no")]) if len(rows) else np.empty(0, np.uint64)
+    values = np.concatenate([own["cost"].to_numpy() for _, own in rows.groupby("lang_no")]) if len(rows) else np.empty(0)
+    order = np.argsort(keys)
+    often = docs.sparkSession.sparkContext.broadcast((keys[order], values[order]))
+    # Written, so the row numbers stay.
+    scored = checkpointed(texts.mapInArrow(_score(often), _SCORED).withColumn("row", F.monotonically_increasing_id()))
+    rare = scored.select("row", "lang_no", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", "lang_no", F.col("e.rare").alias("code"), "e.times")
+    rest = rare.join(model.where(~share), ["lang_no", "code"]).groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("rest"))
+    surprise = (F.col("known") + F.coalesce("rest", F.lit(0.0))) / F.greatest("letters", F.lit(1))
+    scored = scored.drop("rare", "times").join(rest, "row", "left").withColumn("surprise", F.when(F.col("n_bytes") > 0, surprise)).drop("row", "rest", "known", "letters")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scored = scored.withColumn("base_failed", base)
+    scored = checkpointed(scored.withColumn("base_failed", base))
     quartiles = scored.where("NOT base_failed").groupBy("lang_no").agg(F.percentile_approx("surprise", [0.25, 0.75], 10_000).alias("q"))
     near = F.col("q")[1] - F.col("q")[0] + 0.02
     room = spread * near * F.sqrt(1 + 400 / F.greatest(F.col("n_bytes"), F.lit(1)))
     inside = F.col("surprise").between(F.col("q")[0] - room, F.col("q")[1] + room)
     # One row a language.
     out = scored.join(F.broadcast(quartiles), "lang_no", "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("q", "lang_no", "n_bytes")
+    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise", "base_failed", "kept")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,29 @@ def test_perplexity_model_is_a_distribution_and_rejects_noise(spark):
     assert np.exp(model.log_p(0, context * 128 + np.arange(128)).astype(float)).sum() == pytest.approx(1, abs=0.02)
 
 
+def test_every_language_has_its_own_model_and_rare_grams_are_joined(spark):
+    rng = random.Random(5)
+    alphabets = ["".join(chr(0x400 + 24 * k + i) for i in range(24)) for k in range(40)]
+    text = lambda k: " ".join("".join(rng.choice(alphabets[k][:6]) for _ in range(4)) for _ in range(40))
+    rows = [(10 * k + i, text(k), f"l{k}") for k in range(40) for i in range(8)]
+    # In the last language, a text in another one's letters.
+    rows.append((1000, text(3), "l39"))
+    df = spark.createDataFrame([*rows, (1000, text(3), "l39")], "doc_id long, text string, lang string")
+    every, none = ({(r.doc_id, round(r.surprise, 6)): r for r in quality.score_quality(df, sent=sent).collect()} for sent in (1_000_000, 1))
+    assert every.keys() == none.keys() and len(every) == 322
+    assert sum(r.kept for r in every.values() if r.doc_id < 390) >= 290
+    assert not any(r.kept for r in every.values() if r.doc_id == 1000)
+    counts: dict = {}
+    points = quality.lower_points()
+    for _, t, _ in rows[:8]:
+        for c in quality.point_grams(t.encode(), *points)[0].tolist():
+            counts[c] = counts.get(c, 0) + 1
+    third = quality.probabilities(spark.createDataFrame([(0, c, n) for c, n in counts.items()], "lang_no long, code long, n long"), 1 << 21)[0]
+    p = {r.code: r.p for r in third.collect()}
+    expected = -sum(np.log(p[c]) for c in quality.point_grams(rows[0][1].encode(), *points)[0].tolist()) / sum(c.isalpha() for c in rows[0][1])
+    assert next(r.surprise for r in every.values() if r.doc_id == 0) == pytest.approx(expected, abs=1e-6)
+
+
 def test_language_id_finds_held_out_languages_and_mixtures(spark):
     rng = random.Random(0)
     parts = {"en": ["the", "ing", "and", "er"], "fr": ["eau", "été", "que", "ion"], "de": ["sch", "ung", "über", "ein"]}
