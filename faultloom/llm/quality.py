@@ -39,13 +39,13 @@ _SPACE = b" \t\n\r\x0b\x0c"
 
 
 def character_classes() -> np.ndarray:
-    """The class of each code point; classes 1 to 63 are ASCII's after lowering, 64 to 127 those of all others."""
+    """The class of each code point; classes 1 to 69 are ASCII's after lowering, 70 to 127 those of all others."""
     points = np.arange(0x110000, dtype=np.uint32)
-    out = (64 + (mixed(points.astype(np.uint64)) >> np.uint64(58))).astype(np.uint8)
+    out = (70 + (mixed(points.astype(np.uint64)) >> np.uint64(32)) % np.uint64(58)).astype(np.uint8)
     low = np.arange(128)
     low[65:91] += 32
-    # 33..64 and 91..126 are marks and digits, 97..122 letters; all white space is class 1.
-    out[:128] = np.where(low <= 32, 1, np.where(low >= 97, np.minimum(low - 95, 40), 41 + low % 23))
+    # 33..64 and 91..126 are marks, digits and letters, each a class of its own; all white space is class 1.
+    out[:128] = np.where((low <= 32) | (low == 127), 1, np.where(low <= 64, low - 31, low - 57))
     upper = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(128, 0x600)])
     out[128:0x600] = out[upper]
     out[[0x85, 0xA0, 0x2028, 0x2029, 0x3000]] = 1
@@ -239,7 +239,7 @@ def _score(often):
     return run
 
 
-def score_quality(docs: DataFrame, spread: float = 6.0, sent: int = 1_000_000) -> DataFrame:
+def score_quality(docs: DataFrame, spread: float = 3.0, sent: int = 1_000_000) -> DataFrame:
     """Counts, base_failed, surprise (negative log probability for each letter) and kept of every document.
 
     sent: the most n-grams that are broadcast; all others are joined.
@@ -264,7 +264,7 @@ def score_quality(docs: DataFrame, spread: float = 6.0, sent: int = 1_000_000) -
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = checkpointed(scored.withColumn("base_failed", base))
     quartiles = scored.where("NOT base_failed").groupBy("lang_no").agg(F.percentile_approx("surprise", [0.25, 0.75], 10_000).alias("q"))
-    near = F.col("q")[1] - F.col("q")[0] + 0.02
+    near = F.col("q")[1] - F.col("q")[0] + 0.01
     room = spread * near * F.sqrt(1 + 400 / F.greatest(F.col("n_bytes"), F.lit(1)))
     inside = F.col("surprise").between(F.col("q")[0] - room, F.col("q")[1] + room)
     # One row a language.

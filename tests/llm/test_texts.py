@@ -246,6 +246,28 @@ def test_perplexity_model_is_a_distribution_and_rejects_noise(spark):
     assert np.exp(model.log_p(0, context * 128 + np.arange(128)).astype(float)).sum() == pytest.approx(1, abs=0.02)
 
 
+def litter_and_prose():
+    """Clean texts of two languages, then as many words with marks after them or bars between them."""
+    rng = random.Random(4)
+    syllables = {"en": ["the", "ing", "and", "er", "on", "ti", "ea", "sh"], "xx": ["мы", "ого", "ни", "ста", "жё", "ра"]}
+    prose = lambda lang: ["".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(60, 400))]
+    langs = ["en", "xx"]
+    rows = [(i, " ".join(w + ("." if k % 9 == 8 else "") for k, w in enumerate(prose(langs[i % 2]))), langs[i % 2]) for i in range(300)]
+    for i in range(300, 324):
+        words_ = prose(langs[i % 2])
+        rows.append((i, " | ".join(words_) if i % 4 < 2 else " ".join(w + rng.choice(["***", "$$$", "&&&", "###", "%%%"]) for w in words_), langs[i % 2]))
+    return rows
+
+
+def test_littered_and_menu_like_texts_are_rejected(spark):
+    classes = quality.character_classes()
+    assert len(set(classes[33:65].tolist() + classes[91:127].tolist())) == 68
+    df = spark.createDataFrame(litter_and_prose(), "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in quality.score_quality(df).collect()}
+    assert not any(out[i].base_failed or out[i].kept for i in range(300, 324))
+    assert sum(out[i].kept for i in range(300)) >= 294
+
+
 def test_every_language_has_its_own_model_and_rare_grams_are_joined(spark):
     rng = random.Random(5)
     alphabets = ["".join(chr(0x400 + 24 * k + i) for i in range(24)) for k in range(40)]
