@@ -16,13 +16,15 @@ from faultloom.llm.common import checkpointed, shared_folder
 
 #: A document goes if no language has this share of it; clean texts in one language have nearly all.
 LEAST_SHARE = 0.35
+#: And if its n-grams are so many spreads of its languages' own less likely than these: gibberish and code are.
+LEAST_FIT = -1.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled texts and rejects documents without a language: those without letters, or a mixture without a leading one."""
+    """Learns from the labelled texts and rejects documents without a language: those without letters, a mixture without a leading one, or text unlike any."""
     model = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.predict(docs, model, ("pipeline_lang", "pipeline_share"))
-    return found.where((F.col("pipeline_lang") != "und") & (F.col("pipeline_share") >= LEAST_SHARE)).select(*docs.columns)
+    return found.where((F.col("pipeline_lang") != "und") & (F.col("pipeline_share") >= LEAST_SHARE) & (F.col("pipeline_lang_fit") >= LEAST_FIT)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -307,6 +307,25 @@ def test_language_id_finds_held_out_languages_and_mixtures(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_mixtures_of_many_languages_and_gibberish_show(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    parts = {f"l{k}": ["".join(chr(0x430 + 5 * k + rng.randrange(5)) for _ in range(3)) for _ in range(6)] for k in range(6)}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(2)) for _ in range(n))
+    rows = [(i, text(f"l{i % 6}", 60), f"l{i % 6}") for i in range(300)]
+    rows.append((900, " ".join(text(f"l{k}", n) for k, n in enumerate((50, 40, 30, 20, 10))), None))
+    rows.append((901, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(80)), None))
+    rows.append((902, text("l1", 60) + " " + text("l2", 20), None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in language_id.predict(df, language_id.learn(df.where("doc_id < 900"))).collect()}
+    assert out[900].lang_pred_set == ["l0", "l1", "l2", "l3", "l4"] and out[900].score < 0.4
+    assert out[900].lang_pred_shares == pytest.approx([1 / 3, 4 / 15, 1 / 5, 2 / 15, 1 / 15], abs=0.05)
+    assert out[902].lang_pred_set == ["l1", "l2"] and out[7].lang_pred_set == ["l1"]
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, df, str(tmp_path)).collect()}
+    assert kept == {*range(300), 902}
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert ngram_join.similar_documents(empty).count() == 0
