@@ -62,18 +62,24 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def byte_texts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts as bytes) in slices of about `most` bytes; a null text is empty."""
-    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+def sliced(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, the column's values) in slices of about `most` bytes."""
+    texts = batch.column(batch.schema.get_field_index(column))
     size = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1 + texts.offset)[texts.offset :]) if len(texts) else []
     start, held = 0, 0
     for i, n in enumerate(size):
         held += int(n)
         if held >= most:
-            yield start, [t or b"" for t in texts.slice(start, i + 1 - start).to_pylist()]
+            yield start, texts.slice(start, i + 1 - start)
             start, held = i + 1, 0
     if start < len(texts):
-        yield start, [t or b"" for t in texts.slice(start).to_pylist()]
+        yield start, texts.slice(start)
+
+
+def byte_texts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts as bytes) in slices of about `most` bytes; a null text is empty."""
+    for start, texts in sliced(batch, column, most):
+        yield start, [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

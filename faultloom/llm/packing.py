@@ -15,15 +15,17 @@ repeated rows are packed each on its own.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, table
+from .common import sliced, table
 
 #: So many distinct words are kept with their ids in each Python worker; beyond it the store starts anew.
 _STORE = 1_200_000
@@ -40,39 +42,78 @@ class _Ids:
 
     The tokenizer's pre-tokenizer never joins characters across white space and drops the white space
     itself, so a text's ids are its words' ids one after another. It lowers letters and parts them from marks, so
-    a word is looked up without its ASCII capitals and, if the rest is letters, without its last mark.
+    a word is looked up without its ASCII capitals and, if its lower-case composed form is letters before it, without its last mark.
     """
 
     def __init__(self, tokenizer: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.store: dict[bytes, bytes] = {}
-
-    def _learn(self, fresh: set[bytes]) -> None:
-        store, cut, wanted = self.store, {}, set()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {m: self._one(bytes([m])) for m in _MARKS}
+        self.store: dict[bytes, bytes] = {b"": b""}
+
+    def _one(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encoded(self, words: list[bytes], together: int) -> Iterator[bytes]:
+        """Ids of each word. Words go in lines: every word has at least one token that ends a word, so as many ends as words are one each."""
+        step = 16384
+        for i in range(0, len(words), step):
+            lines = [words[j : j + together] for j in range(i, min(i + step, len(words)), together)]
+            found = self.tokenizer.encode_batch_fast([b" ".join(line).decode() for line in lines], add_special_tokens=False)
+            for line, e in zip(lines, found, strict=True):
+                ids = np.array(e.ids, "<u4")
+                if together == 1:
+                    yield ids.tobytes()
+                    continue
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) != len(line):
+                    yield from map(self._one, line)
+                    continue
+                data, to = ids.tobytes(), (4 * (last + 1)).tolist()
+                yield from (data[x:y] for x, y in zip([0, *to[:-1]], to, strict=True))
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        store, whole, parted = self.store, [], []
         for w in fresh:
+            # A special token's string counts as it is written.
             low = w if b"<|" in w else w.lower()
-            parts = (low[:-1], low[-1:]) if len(low) > 1 and low[-1] in _MARKS and low[:-1].decode().isalpha() else (low,)
-            cut[w] = parts
-            wanted.update(p for p in parts if p not in store)
-        new = list(wanted)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                store[w] = np.array(e.ids, "<u4").tobytes()
-        for w, parts in cut.items():
-            store[w] = store[parts[0]] if len(parts) == 1 else store[parts[0]] + store[parts[1]]
-
-    def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
+            stem = low[:-1]
+            if low[-1] in _MARKS and stem and (stem.isalpha() or not stem.isascii() and unicodedata.normalize("NFC", stem.decode()).lower().isalpha()):
+                parted.append((w, stem, low[-1]))
+            else:
+                whole.append((w, low))
+        wanted = {stem for _, stem, _ in parted}.union(low for _, low in whole).difference(store)
+        # Letters alone go in lines, as they have one end each.
+        plain = [w for w in wanted if w.isalpha() or not w.isascii() and w.decode().isalpha()]
+        store.update(zip(plain, self._encoded(plain, 256), strict=True))
+        other = list(wanted.difference(plain))
+        store.update(zip(other, self._encoded(other, 1), strict=True))
+        store.update((w, store[low]) for w, low in whole)
+        store.update((w, store[stem] + self.marks[m]) for w, stem, m in parted)
+
+    def of(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, as little-endian 32-bit numbers. Of equal words of a slice one is looked up."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = lists.flatten().dictionary_encode()
+        at, distinct = words.indices.to_numpy(), words.dictionary.cast(pa.binary()).to_pylist()
         if len(self.store) > _STORE:
-            self.store.clear()
-        if fresh := set().union(*split).difference(self.store):
+            self.store = {b"": b""}
+        if fresh := [w for w in distinct if w not in self.store]:
             self._learn(fresh)
-        get = self.store.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        own = list(map(self.store.__getitem__, distinct))
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat, begin = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            mine = at[lo:hi]
+            n = size[mine]
+            ends = np.cumsum(n)
+            yield flat[np.repeat(begin[mine] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)].tobytes()
 
 
 _KNOWN: dict[str, _Ids] = {}
@@ -93,7 +134,7 @@ def _pack(tokenizer: str, end_id: int, longest: int, tokens: bool):
         ids, end = _ids(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
             doc = batch.column(batch.schema.get_field_index("doc_id"))
-            for at, texts in byte_texts(batch):
+            for at, texts in sliced(batch, most=1 << 21):
                 rows, start, length, crc, total, own = [], [], [], [], [], []
                 for i, data in enumerate(ids.of(texts)):
                     data += end

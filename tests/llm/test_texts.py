@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,34 @@ def test_packing_round_trip(docs):
         assert all(p.doc_tokens == sum(q.length for q in own) for p in own)
 
 
+def test_ids_equal_the_tokenizers():
+    import pyarrow as pa
+
+    ids = packing._Ids(packing.word_bpe())
+    rng = random.Random(5)
+    alphabet = "abcXYZéÉßİıŞΣσςЖ1٣.,;:!?'\"#|<>-_\u0301\u094d\u0915\u093cﬁǅ中\xa0\u2028\x85\x1c\x00😀 \t\n\x0b"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    texts += ["KREDİ. ", "it's don't I'LL. x's.", "<|endoftext|> <|STARTOFTEXT|>. a<|endoftext|>b", "a.b.c. ..", "1.2,3!", "", None]
+    for i in range(0, len(texts), 500):
+        for text, data in zip(texts[i : i + 500], ids.of(pa.array(texts[i : i + 500], pa.string())), strict=True):
+            assert np.frombuffer(data, "<u4").tolist() == ids.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_windows_are_dealt_out_evenly():
+    """No group of one share takes more than its part, and a repeat within the share asks nobody."""
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    by = substring_dedup.mixed(substring_dedup._least(h, 28))
+    n = len(by)
+    h = h[:n]
+    rows = pd.concat(b.to_pandas() for b in substring_dedup._packed(h, np.ones(n, bool), np.zeros(n, np.int64), np.arange(n), by, 31, 8))
+    assert rows.part.nunique() == 31 and rows.hashes.map(len).max() < 3 * 8 * n / 31
+    twice = np.concatenate([h, h])
+    key = np.repeat(np.arange(200), n // 100 + 1)[: 2 * n]
+    rows = pd.concat(b.to_pandas() for b in substring_dedup._packed(twice, np.ones(2 * n, bool), key, np.arange(2 * n), np.concatenate([by, by]), 31, 8))
+    assert rows.ask.map(len).sum() == 0 and rows.known_key.map(len).sum() == 8 * 2 * n and rows.known_key.map(len).max() < 4 * 8 * 2 * n / 31
+
+
 def test_mixing_meets_targets(docs):
     size = mixing.words_in(F.col("text"))
     out = mixing.mixed_documents(docs, size, seed=1).collect()
