@@ -6,15 +6,17 @@ non-overlapping blocks, every rolling block probes it, and a window can only rep
 block is hit. The hits are then extended: the windows around hit blocks are counted themselves, and
 runs of repeated windows join to the maximal exact repeats that are cut out.
 
-How it is dealt out: hashes go to groups by their upper bits, packed in columns of bytes, each
-distinct hash once for a task's share of half a million, so a passage that a third of all documents holds arrives as one entry
-from each. Only blocks (later windows) that want an answer carry their place. A probe is five bytes; a
-block is hit wrongly about once in 2**40 / (blocks of a group) and the second step corrects it. Windows are
-compared by 64 bits of a hash of 64-bit word hashes.
+How it is dealt out: block hashes go to groups by their upper bits, windows by the least hash of their runs of eight words, spread
+again, so that neighbours mostly share a group and groups are even. They travel packed in columns of bytes, each distinct hash once
+for a task's share of a quarter million, so a passage that a third of all documents holds arrives as one entry from each. Only blocks (later
+windows) that want an answer carry their place; those that repeat within the share need none and go straight to a group of their document.
+A probe is five bytes; a block is hit wrongly about once in 2**40 / (blocks of a group) and the second step corrects it. Windows are
+compared by 64 bits of a hash of 64-bit word hashes within their group, whose choice is by another hash: at 10**13 windows in
+10**7 groups a false repeat is expected about once in ten runs.
 
 Edge cases: a null or empty text has no words and stays so; texts shorter than `length` words keep all
-words; rows with the same id and text are separate places, so they repeat each other; more columns than
-doc_id and text pass through `remove_repeats`.
+words; rows with the same id and text are separate places, so they repeat each other; a very long text is held whole with its word hashes
+by one task, some ten times its size; an empty table gives an empty result; more columns than doc_id and text pass through `remove_repeats`, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, groups_for, mixed, planes, route, row_key, table, unplanes, window_hashes, word_hashes
 
-_FLUSH = 1 << 19
+_FLUSH = 1 << 18
 #: Windows go to groups by the least hash of their runs of so many words, which neighbours mostly share.
 _GRAM = 8
 _BLOCK = "part int, hashes binary, ask binary, ask_key binary, ask_start binary, known_key binary, known_start binary"
@@ -57,21 +59,29 @@ def _packed(h: np.ndarray, ask: np.ndarray, key: np.ndarray, start: np.ndarray,
     part = route(by[order][first], groups)
     edges = np.searchsorted(part, np.arange(groups + 1))
     asking = np.flatnonzero(ask)
+    known = asking[count[place[asking]] > 1]
+    asking = asking[count[place[asking]] == 1]
     asking = asking[np.argsort(place[asking], kind="stable")]
     at = place[asking]
     bounds = np.searchsorted(at, edges)
+    # Places that are already known to repeat need no answer: they go to a group of their document.
+    home = route(mixed(key[known].view(np.uint64)), groups)
+    order = np.lexsort((start[known], key[known], home))
+    known, home = known[order], home[order]
+    again = np.concatenate([[False], (key[known][1:] == key[known][:-1]) & (start[known][1:] == start[known][:-1])])
+    known, home = known[~again[: len(known)]], home[~again[: len(home)]]
+    told = np.searchsorted(home, np.arange(groups + 1))
     rows = []
-    for g in np.flatnonzero(np.diff(edges)):
+    for g in np.flatnonzero(np.diff(edges) + np.diff(told)):
         mine, where = asking[bounds[g] : bounds[g + 1]], at[bounds[g] : bounds[g + 1]]
-        known = count[where] > 1
-        own = unique[edges[g] : edges[g + 1]]
+        own, other = unique[edges[g] : edges[g + 1]], known[told[g] : told[g + 1]]
         values = np.diff(np.sort(own & _LOW), prepend=np.uint64(0)) if width == 5 else own
-        rank = where[~known] - edges[g]
+        rank = where - edges[g]
         if width == 5:
             rank = np.argsort(np.argsort(own & _LOW, kind="stable"), kind="stable")[rank]
         rows.append((
-            int(g), planes(values), planes(rank.astype(np.uint32)), key[mine][~known].tobytes(), planes(start[mine][~known].astype(np.uint32)),
-            key[mine][known].tobytes(), planes(start[mine][known].astype(np.uint32)),
+            int(g), planes(values), planes(rank.astype(np.uint32)), key[mine].tobytes(), planes(start[mine].astype(np.uint32)),
+            key[other].tobytes(), planes(start[other].astype(np.uint32)),
         ))
     for i in range(0, len(rows), 256):
         columns = list(zip(*rows[i : i + 256], strict=True))
@@ -112,7 +122,8 @@ def _emit(anchors: bool, length: int, groups: int):
                 np.add.at(mark, np.minimum(found, len(words) - length) + 1, -1)
                 start = np.flatnonzero(np.cumsum(mark)[: len(words) - length + 1])
                 h = window_hashes(words, length)[start]
-                by = _least(window_hashes(words, _GRAM), length - _GRAM + 1)[start]
+                # Least hashes are small ones, so they are spread before they are dealt out.
+                by = mixed(_least(window_hashes(words, _GRAM), length - _GRAM + 1))[start]
                 ask = np.ones(len(h), bool)
             held.append((h, ask, np.full(len(h), key, np.int64), start, by))
             n += len(h)
@@ -151,8 +162,8 @@ def _answers(width: int):
 def repeated_windows(docs: DataFrame, length: int = 35) -> DataFrame:
     """(key, hits: array of packed window starts) of documents with a window that starts anywhere else too. length: 16 words at least."""
     texts = docs.withColumn("key", row_key())
-    # About 6 bytes a word: some 2.5 million probes, 20 MB, for each group.
-    groups = groups_for(docs, F.octet_length("text"), 16 << 20)
+    # About 6 bytes a word: some 1.3 million probes, 10 MB, for each group.
+    groups = groups_for(docs, F.octet_length("text"), 8 << 20)
     place = lambda df, width: df.groupBy("part").applyInPandas(_answers(width), "key long, starts binary").groupBy("key").agg(F.collect_list("starts").alias("hits"))
     anchors = place(texts.select("key", "text").mapInArrow(_emit(True, length, groups), _BLOCK), 5)
     # All columns stay, so that the texts are dealt out once, for this join and for the caller's.
