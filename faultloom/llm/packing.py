@@ -15,7 +15,6 @@ repeated rows are packed each on its own.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +28,6 @@ from .common import sliced, table
 
 #: So many distinct words are kept with their ids in each Python worker; beyond it the store starts anew.
 _STORE = 1_200_000
-_MARKS = frozenset(b".,;:!?")
 
 
 def piece_lengths(n: int, longest: int) -> list[int]:
@@ -41,8 +39,9 @@ class _Ids:
     """Token ids of texts, word by word.
 
     The tokenizer's pre-tokenizer never joins characters across white space and drops the white space
-    itself, so a text's ids are its words' ids one after another. It lowers letters and parts them from marks, so
-    a word is looked up without its ASCII capitals and, if its lower-case composed form is letters before it, without its last mark.
+    itself, so a text's ids are its words' ids one after another. It also lowers letters and parts a letter from a mark after it, so
+    ASCII capitals are lowered and a space is put between an ASCII letter and an ASCII mark before words are looked up,
+    but in texts that may hold a special token.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -52,52 +51,34 @@ class _Ids:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {m: self._one(bytes([m])) for m in _MARKS}
         self.store: dict[bytes, bytes] = {b"": b""}
 
-    def _one(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _encoded(self, words: list[bytes], together: int) -> Iterator[bytes]:
-        """Ids of each word. Words go in lines: every word has at least one token that ends a word, so as many ends as words are one each."""
-        step = 16384
-        for i in range(0, len(words), step):
-            lines = [words[j : j + together] for j in range(i, min(i + step, len(words)), together)]
-            found = self.tokenizer.encode_batch_fast([b" ".join(line).decode() for line in lines], add_special_tokens=False)
-            for line, e in zip(lines, found, strict=True):
+    def _encoded(self, lines: list[list[bytes]]) -> Iterator[bytes]:
+        """Ids of each word. Every word has at least one token that ends a word, so a line with as many ends as words has one for each."""
+        for i in range(0, len(lines), 4096):
+            part = lines[i : i + 4096]
+            found = self.tokenizer.encode_batch_fast([b" ".join(line).decode() for line in part], add_special_tokens=False)
+            for line, e in zip(part, found, strict=True):
                 ids = np.array(e.ids, "<u4")
-                if together == 1:
-                    yield ids.tobytes()
-                    continue
-                last = np.flatnonzero(self.ends[ids])
+                last = np.flatnonzero(self.ends[ids]) if len(line) > 1 else [len(ids) - 1]
                 if len(last) != len(line):
-                    yield from map(self._one, line)
+                    yield from self._encoded([[w] for w in line])
                     continue
-                data, to = ids.tobytes(), (4 * (last + 1)).tolist()
+                data, to = ids.tobytes(), [4 * (k + 1) for k in last]
                 yield from (data[x:y] for x, y in zip([0, *to[:-1]], to, strict=True))
 
     def _learn(self, fresh: list[bytes]) -> None:
-        store, whole, parted = self.store, [], []
-        for w in fresh:
-            # A special token's string counts as it is written.
-            low = w if b"<|" in w else w.lower()
-            stem = low[:-1]
-            if low[-1] in _MARKS and stem and (stem.isalpha() or not stem.isascii() and unicodedata.normalize("NFC", stem.decode()).lower().isalpha()):
-                parted.append((w, stem, low[-1]))
-            else:
-                whole.append((w, low))
-        wanted = {stem for _, stem, _ in parted}.union(low for _, low in whole).difference(store)
         # Letters alone go in lines, as they have one end each.
-        plain = [w for w in wanted if w.isalpha() or not w.isascii() and w.decode().isalpha()]
-        store.update(zip(plain, self._encoded(plain, 256), strict=True))
-        other = list(wanted.difference(plain))
-        store.update(zip(other, self._encoded(other, 1), strict=True))
-        store.update((w, store[low]) for w, low in whole)
-        store.update((w, store[stem] + self.marks[m]) for w, stem, m in parted)
+        plain = [w for w in fresh if w.isalpha() or not w.isascii() and w.decode().isalpha()]
+        other = list(set(fresh).difference(plain))
+        self.store.update(zip(plain, self._encoded([plain[i : i + 256] for i in range(0, len(plain), 256)]), strict=True))
+        self.store.update(zip(other, self._encoded([[w] for w in other]), strict=True))
 
     def of(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text, as little-endian 32-bit numbers. Of equal words of a slice one is looked up."""
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        texts = texts.fill_null("")
+        parted = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([!-/:-@\[-`{-~])", r"\1 \2")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, parted))
         words = lists.flatten().dictionary_encode()
         at, distinct = words.indices.to_numpy(), words.dictionary.cast(pa.binary()).to_pylist()
         if len(self.store) > _STORE:
