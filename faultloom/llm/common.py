@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +35,22 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go at once, and Python gets small batches, as rows may be long texts.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table written to the shared folder; the shuffle files of its making go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -89,8 +92,56 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+_SPACES = np.zeros(256, bool)
+_SPACES[[32, 9, 10, 11, 12, 13]] = True
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_A))
+_LOW_BYTES = _BYTES[np.where((np.arange(256) > 64) & (np.arange(256) < 91), np.arange(256) + 32, np.arange(256))]
+#: Bytes that are hashed at once; a longer text is cut between words.
+_STRETCH = 1 << 20
+_LONG = 256
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """The powers of _A, and of its inverse, by position."""
+    if not _POWERS:
+        for base in (_A, pow(_A, -1, 1 << 64)):
+            each = np.full(_STRETCH + 1, base, np.uint64)
+            each[0] = 1
+            _POWERS.append(np.multiply.accumulate(each))
+    return _POWERS
+
+
+def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts in order, number of words of each text). lower: A-Z count as a-z.
+
+    A word's hash is a polynomial in its bytes' random values, taken from running sums of the whole stretch, and its length, mixed.
+    Words of 256 bytes or more, for which polynomials have known collisions, are hashed by xxh3.
+    """
+    data = b"\n".join([b"", *texts, b""])
+    raw = np.frombuffer(data, np.uint8)
+    space = _SPACES[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(size + 1) - size
+    number = np.searchsorted(start, begin + size) - np.searchsorted(start, begin)
+    power, inverse = _powers()
+    values, out, at = _LOW_BYTES if lower else _BYTES, np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        lo = int(start[at])
+        to = max(int(np.searchsorted(end, lo + _STRETCH, side="right")), at + 1)
+        s, e = start[at:to] - lo, np.minimum(end[at:to] - lo, _STRETCH)
+        n = int(e[-1])
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(values[raw[lo : lo + n]] * power[:n], out=total[1:])
+        out[at:to] = mixed((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = to
+    for i in np.flatnonzero(end - start >= _LONG):
+        word = data[start[i] : end[i]]
+        out[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+    return out, number
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:

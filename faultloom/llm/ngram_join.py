@@ -8,22 +8,26 @@ find every pair; parities of the elements by class, which bound the difference f
 out, and an exact count of the intersection verifies the rest.
 
 Size bands: sizes fall into bands of ratio 1 / t, so a partner lies in the same band or the next one. Band k has its
-own m, a quarter above the H of its largest sizes. A set indexes all segments under its own band, and probes
-under its own and the one below, where it sends only the largest segments, a few more than it needs.
+own m, a quarter above the H of its largest sizes. A set sends its segments under its own band and under the one below.
 
-Allocation by cost: an empty segment would meet every other empty one, so it gets 0. Each other one gets 1, and if the
-sum falls short of H + 1, all get 2 by way of their deletion neighbourhoods (which only sets that fall short send, as
-a pair is lost only if both do). A signature that more than `most` sets of a group share costs too much as well: its
-sets are linked to one pivot of theirs. If after verification one component holds all of them, nothing is
-missing; else it gets 0, and the sets that fall short by that (as those whose doubled sum falls short) are joined among each other
-on their rarest elements (`_rest_pairs`), which is exact for every size: pairs without a rare element in common must have enough common ones. No signature emits all its pairs.
+Allocation by cost: what a signature costs is the number of sets that share it, which is counted in groups of signatures. A segment whose
+signature more than `most` sets share, in several components still, costs too much and gets 0; so does an empty one, which is never sent. Each
+other one gets 1. Sets whose sum falls short of H + 1 then send the one-deletion neighbourhoods of their segments as well (a pair
+is lost only if both fall short), and segments whose neighbourhood no more than `most` share get 2. Sets of a signature that is too
+common are linked to one pivot of theirs, so it never emits all its pairs; if after verification one component holds all of them, nothing is
+missing and it is no longer too common.
+
+What still falls short, sets that consist of common segments nearly whole, meets by elements in one order, rare ones first: only on an element so
+early in both sets that what follows can still be similar enough, only across components, and after each set was
+tried against one set of another component for several of its elements. This is exact for every size.
 
 How it is dealt out: signatures travel as packed blocks, a task's share at a time, to groups by their upper bits; a signature that is
-hot within a share keeps only `most` of its sets there. Equal sets are one class from the start, by a 128-bit sum of
-their elements folded to 64 bits. Elements are 64-bit hashes, n-grams of word hashes.
+hot within a share keeps only `most` of its sets there. Equal sets are one class from the start, by 64 bits of the sums of their elements and of
+the squares of these: at 10**10 different texts about three pairs are expected to be taken for equal. Elements are 64-bit hashes, n-grams of word hashes.
 
 Edge cases: null and empty texts have no element and link with nothing; texts with fewer words than n are
-one element, their whole sequence; repeated rows and ids are rows of their own.
+one element, their whole sequence; a very long text is held whole by one task, some twenty times its size; repeated rows and ids are rows of
+their own; an empty table gives an empty result; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,15 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, checkpointed, components, groups_for, mixed, planes, route, row_key, table, unplanes, window_hashes, word_hashes
+from .common import byte_texts, checkpointed, components, groups_for, hashed_words, mixed, route, row_key, table, window_hashes
 
-_FLUSH = 1 << 19
+_FLUSH = 1 << 18
 _SETS = 60_000
-#: Among the sets that fall short, an element that more of them hold is common.
-_COMMON = 16
 #: The longest list of keys that is broadcast.
 _SENT = 1_000_000
 _BLOCK = "part int, sigs binary, who binary, names binary, sizes binary, out binary"
+_STATS = "doc_id long, key long, n_shingles long, name long, spare0 int, spare1 int, small array<long>, wide array<long>"
 _OUT = "hot boolean, a long, b long"
 
 
@@ -75,14 +78,22 @@ def elements(words: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct n-grams of word hashes; fewer words are one element."""
     if len(words) < n:
         return mixed(window_hashes(words, len(words)) + np.uint64(len(words))) if len(words) else words
-    return np.unique(window_hashes(words, n))
+    return _distinct(window_hashes(words, n))
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    new = np.empty(len(h), bool)
+    new[:1] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 def name(own: np.ndarray) -> int:
-    """64 bits that name a set."""
-    low, high = own & np.uint64(0xFFFFFFFF), own >> np.uint64(32)
-    sums = np.array([low.sum(), high.sum(), mixed(own).sum(), len(own)], np.uint64)
-    return int(mixed(mixed(mixed(sums[:1]) + sums[1:2]) * np.uint64(3) + mixed(sums[2:3]) + sums[3:])[0].astype(np.int64))
+    """64 bits that name a set: of the sums of its elements and of their squares, and of its size."""
+    out = np.array([own.sum(), (own * own).sum(), len(own)], np.uint64)
+    out = mixed(out)
+    return int(mixed(out[:1] * np.uint64(3) + out[1:2] * np.uint64(5) + out[2:] * np.uint64(7))[0].astype(np.int64))
 
 
 def sketch(own: np.ndarray, least: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -96,50 +107,64 @@ def sketch(own: np.ndarray, least: int = 1024) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(own: np.ndarray, bands: Bands, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a set's segments that aren't empty: number, signature, size. A signature is the sum of mixed elements."""
-    m = bands.segments[band]
-    at = route(mixed(own ^ np.uint64(0x5851F42D4C957F2D)), m)
-    order = np.argsort(at, kind="stable")
-    at = at[order]
+    """Of a set's segments that aren't empty: number, first element, size. Segments are ranges of elements, which are hashes and sorted."""
+    at = route(own, bands.segments[band])
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[first], np.add.reduceat(own[order], first), np.diff(np.append(first, len(at)))
-
-
-def signatures(own: np.ndarray, bands: Bands, band: int) -> tuple[np.ndarray, bool]:
-    """What a set sends under a band, and whether it falls short even after doubling."""
-    at, total, size = segments(own, bands, band)
-    need = bands.need(len(own), band)
-    salt = np.uint64((band << 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)
-    key = mixed(at.astype(np.uint64) + salt)
-    sigs = mixed(total + key)
-    if len(at) >= need:
-        if bands.of(len(own)) != band:
-            # The largest segments, and an eighth more of them than needed: they are the rarest, and some may be hot.
-            sigs = sigs[np.sort(np.argsort(-size, kind="stable")[: need + need // 8 + 2])]
-        return sigs, False
-    # One deletion from each segment, and the segment itself, in a space of their own.
-    where = route(mixed(own ^ np.uint64(0x5851F42D4C957F2D)), bands.segments[band])
-    place = np.searchsorted(at, where)
-    cut = mixed((total[place] - own) + mixed(key[place] + np.uint64(1)))
-    # Deleting the only element would leave an empty segment, which anyone has.
-    cut = cut[size[place] > 1]
-    return np.concatenate([sigs, mixed(total + mixed(key + np.uint64(1))), cut]), _doubled(size) < need
-
-
-def _doubled(size: np.ndarray) -> int:
-    """The allowances a set reaches by one-deletion neighbourhoods; a single element cannot lose one, so it counts 1."""
-    return int(np.where(size > 1, 2, 1).sum())
+    return at[first], first, np.diff(np.append(first, len(at)))
+
+
+def _bands_of(own: np.ndarray, bands: Bands) -> tuple[int, ...]:
+    k = bands.of(len(own))
+    return (k, k - 1) if k else (0,)
+
+
+def _marked(h: np.ndarray, band: int) -> np.ndarray:
+    """Signatures whose last bit tells apart the two bands that a set sends under."""
+    return h & ~np.uint64(1) | np.uint64(band & 1)
+
+
+def _keys(at: np.ndarray, band: int) -> np.ndarray:
+    return mixed(at.astype(np.uint64) + np.uint64((band << 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+
+
+def signatures(own: np.ndarray, bands: Bands, band: int) -> np.ndarray:
+    """One signature for each segment that isn't empty: two sets have the same if the segments are equal."""
+    at, first, _ = segments(own, bands, band)
+    return _marked(mixed(np.add.reduceat(own, first) + _keys(at, band)), band)
+
+
+def neighbourhoods(own: np.ndarray, bands: Bands, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, segment of each): of every segment itself, in a space of their own, and of it without one of its elements.
+
+    Two sets have one in common if the segments differ in one element at most, but that a segment of one element isn't emptied,
+    as anyone has the empty one.
+    """
+    at, first, size = segments(own, bands, band)
+    total, key = np.add.reduceat(own, first), mixed(_keys(at, band) + np.uint64(1))
+    place = np.repeat(np.arange(len(at)), size)
+    cut = size[place] > 1
+    sums = np.concatenate([total, (total[place] - own)[cut]])
+    which = np.concatenate([np.arange(len(at)), place[cut]])
+    return _marked(mixed(sums + key[which]), band), which
+
+
+def allowances(own: np.ndarray, bands: Bands, band: int, hot: np.ndarray, hot_near: np.ndarray) -> int:
+    """The sum of a set's allowances: 0 for a segment whose signature is hot, 2 if its neighbourhood isn't hot either, else 1."""
+    cold = ~np.isin(signatures(own, bands, band), hot)
+    near, which = neighbourhoods(own, bands, band)
+    far = cold & (segments(own, bands, band)[2] > 1)
+    far[which[np.isin(near, hot_near)]] = False
+    return int(cold.sum() + far.sum())
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of its batch, elements) of each text."""
     for batch in batches:
-        keys = batch.column(batch.schema.get_field_index("key")).to_numpy()
         for at, texts in byte_texts(batch):
-            split = [t.lower().split() for t in texts]
-            ends = np.cumsum([len(w) for w in split])
-            h = word_hashes((w for words in split for w in words), int(ends[-1]))
-            for i, (hi, words) in enumerate(zip(ends, split, strict=True)):
-                yield int(keys[at + i]), elements(h[hi - len(words) : hi], n)
+            h, number = hashed_words(texts, lower=True)
+            grams, end = window_hashes(h, n), np.cumsum(number)
+            for i, (lo, hi) in enumerate(zip((end - number).tolist(), end.tolist(), strict=True)):
+                yield at + i, _distinct(grams[lo : hi - n + 1]) if hi - lo >= n else elements(h[lo:hi], n)
 
 
 def _statistics(n: int, percent: int):
@@ -149,17 +174,15 @@ def _statistics(n: int, percent: int):
             rows = []
             for _, own in _sets(iter([batch]), n):
                 if not len(own):
-                    rows.append((0, None, False, None, None))
+                    rows.append((0, None, None, None, None, None))
                     continue
-                k = bands.of(len(own))
-                rest = False
-                for band in {k, max(k - 1, 0)}:
-                    _, _, size = segments(own, bands, band)
-                    rest |= len(size) < (need := bands.need(len(own), band)) and _doubled(size) < need
-                rows.append((len(own), name(own), rest, *sketch(own)))
-            sizes, names, rest, small, wide = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            columns = [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(rest, pa.bool_()), *(pa.array(x, pa.list_(pa.int64())) for x in (small, wide))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "key", "n_shingles", "name", "rest", "small", "wide"])
+                spare = [None, None]
+                for band in _bands_of(own, bands):
+                    spare[band & 1] = len(segments(own, bands, band)[0]) - bands.need(len(own), band)
+                rows.append((len(own), name(own), *spare, *sketch(own)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [f.split()[0] for f in _STATS.split(", ")])
 
     return run
 
@@ -198,7 +221,9 @@ def _ordered(sigs: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> tuple[np
     return sigs[new], names[new], sizes[new]
 
 
-def _emit(n: int, percent: int, groups: int, most: int):
+def _emit(n: int, percent: int, groups: int, most: int, near: bool = False):
+    """Packed signatures of sets, or with `near` of their one-deletion neighbourhoods."""
+
     def flush(held: list[np.ndarray], who: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
         counts = [len(x) for x in held]
         sigs, names, size = _ordered(np.concatenate(held), np.repeat(np.array(who, np.int64), counts), np.repeat(np.array(sizes, np.int64), counts))
@@ -221,8 +246,7 @@ def _emit(n: int, percent: int, groups: int, most: int):
         for _, own in _sets(batches, n):
             if not len(own) or (own_name := name(own)) in held:
                 continue
-            k = bands.of(len(own))
-            parts = [signatures(own, bands, band)[0] for band in {k, max(k - 1, 0)}]
+            parts = [neighbourhoods(own, bands, band)[0] if near else signatures(own, bands, band) for band in _bands_of(own, bands)]
             held[own_name] = (np.concatenate(parts), len(own))
             total += len(held[own_name][0])
             if total >= _FLUSH or len(held) >= _SETS:
@@ -275,11 +299,20 @@ def _verify(percent: int):
     return run
 
 
-def _near_pairs(stats: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _some(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of sets, one for each name, that pairs (a, b) name."""
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
+    if wanted.count() <= _SENT:
+        # 8 bytes each, counted just before; a longer list meets the sets in a shuffle.
+        wanted = F.broadcast(wanted)
+    return checkpointed(sets.join(wanted, "name"))
+
+
+def _near_pairs(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the parities do not rule out, before any text is read; a < b."""
     for column in ("small", "wide"):
-        first = stats.where("name IS NOT NULL").groupBy("name").agg(F.first("n_shingles").alias("size"), F.first(column).alias("bits"))
-        of = lambda c: first.select(F.col("name").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))  # noqa: B023, E731
+        own = _some(sets.select("name", F.col("n_shingles").alias("size"), F.col(column).alias("bits")), pairs)
+        of = lambda c: own.select(F.col("name").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))  # noqa: B023, E731
         half = F.least(F.size("bits_a"), F.size("bits_b"))
         # Sizes differ by a third at most, so one side may have twice the classes.
         fold = lambda c: F.when(F.size(c) > half, F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))  # noqa: B023, E731
@@ -289,119 +322,158 @@ def _near_pairs(stats: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
-def _links(texts: DataFrame, stats: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _links(texts: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of names whose sets are similar enough, counted exactly."""
-    wanted = stats.where("name IS NOT NULL").groupBy("name").agg(F.min("key").alias("key")).join(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "name")
-    wanted = checkpointed(wanted)
+    wanted = _some(sets.select("name", "key"), pairs)
     if wanted.count() <= _SENT:
         # 16 bytes each, counted just before; a longer list meets the texts in a shuffle.
         wanted = F.broadcast(wanted)
-    sets = texts.join(wanted, "key").select("key", "name", "text").mapInArrow(_set_rows(n), "name long, own binary")
-    one = pairs.join(sets.withColumnsRenamed({"name": "a", "own": "x"}), "a")
-    both = one.join(sets.withColumnsRenamed({"name": "b", "own": "y"}), "b").select("a", "b", "x", "y")
+    own = texts.join(wanted, "key").select("key", "name", "text").mapInArrow(_set_rows(n), "name long, own binary")
+    one = pairs.join(own.withColumnsRenamed({"name": "a", "own": "x"}), "a")
+    both = one.join(own.withColumnsRenamed({"name": "b", "own": "y"}), "b").select("a", "b", "x", "y")
     return checkpointed(both.mapInArrow(_verify(percent), "a long, b long"))
 
 
-def _linked(texts: DataFrame, stats: DataFrame, pairs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links that connect what any of the pairs connects, and the components (id, component) of them.
+def _placed(rows: DataFrame, part: DataFrame, column: str) -> DataFrame:
+    """The rows with `component` of the name in `column`; a set without links is its own."""
+    return rows.join(part.withColumnRenamed("id", column), column, "left").withColumn("component", F.coalesce("component", column))
+
+
+def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """The pairs that lie in different components."""
+    one = _placed(pairs, part, "a").withColumnRenamed("component", "part_a")
+    return _placed(one, part, "b").where("part_a <> component").select("a", "b")
+
+
+def _linked(texts: DataFrame, sets: DataFrame, pairs: DataFrame, links: DataFrame, part: DataFrame, n: int, percent: int, steps: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The links with further ones that connect what any of the pairs connects, and the components (id, component) of them.
 
-    Sets are large and pairs many, so each set is first counted against the least of its partners; then only
+    Sets are large and pairs many, so in the first of two steps each set is only counted against the least of its partners; then only
     the pairs that lie in different components still matter.
     """
-    near = _near_pairs(stats, pairs, percent)
-    links = _links(texts, stats, near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), n, percent)
-    part = components(links)
-    known = lambda c: part.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}"))
-    rest = near.join(known("a"), "a", "left").join(known("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
-    rest = checkpointed(rest)
-    if rest.isEmpty():
-        return links, part
-    links = links.unionByName(_links(texts, stats, rest, n, percent))
-    return links, components(links)
+    near = _near_pairs(sets, pairs, percent)
+    for step in range(steps):
+        if near.isEmpty():
+            break
+        found = _links(texts, sets, near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if step < steps - 1 else near, n, percent)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            part = components(links)
+        if step < steps - 1:
+            near = checkpointed(_apart(near, part))
+    return links, part
+
+
+def _unclear(hot: DataFrame, part: DataFrame) -> DataFrame:
+    """The rows (a: what sets share, b: name, ...) whose sets of one a are not all in one component by now, with `component`."""
+    own = _placed(hot, part, "b")
+    several = own.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a")
+    return checkpointed(own.join(several, "a"))
+
+
+def _bridges(unclear: DataFrame, each: int = 8) -> DataFrame:
+    """Pairs of every set of unclear rows with sets of other components, for `each` of its rows: what links them soon need not be paired with all.
+
+    They only save work; whether a pair is found does not depend on them.
+    """
+    by = F.xxhash64("a", "b")
+    some = unclear.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(by))).where(F.col("r") <= each).drop("r")
+    one = unclear.groupBy("a").agg(F.min_by(F.struct("b", "component"), by).alias("p"))
+    two = unclear.join(one, "a").where(F.col("p.component") != F.col("component")).groupBy("a").agg(F.min_by("b", by).alias("q"))
+    held = some.join(one, "a").join(two, "a")
+    other = F.when(F.col("p.component") != F.col("component"), F.col("p.b")).otherwise(F.col("q"))
+    return checkpointed(held.select(F.least("b", other).alias("a"), F.greatest("b", other).alias("b")).distinct())
 
 
-def _uncovered(n: int, percent: int):
-    """(name, size, element) of the sets that fall short once the signatures in `hot` get no allowance."""
+def _short(n: int, percent: int):
+    """(name, size, element) of the sets whose allowances sum up to too little."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            hot = batch.column(batch.schema.get_field_index("hot"))
-            names = batch.column(batch.schema.get_field_index("name"))
-            for i, (_, own) in enumerate(_sets(iter([batch]), n)):
-                k, gone = bands.of(len(own)), np.array(hot[i].as_py() or [], np.int64).view(np.uint64)
-                short = False
-                for band in {k, max(k - 1, 0)}:
-                    sent, rest = signatures(own, bands, band)
-                    need = bands.need(len(own), band)
-                    at = segments(own, bands, band)[0]
-                    # A set that doubled is only safe while none of its signatures is hot.
-                    short |= rest or (np.isin(sent, gone).any() if len(at) < need else int((~np.isin(sent, gone)).sum()) < need)
-                if short:
+            hot, near, names = (batch.column(batch.schema.get_field_index(c)) for c in ("hot", "hot_near", "name"))
+            for i, own in _sets(iter([batch]), n):
+                gone, gone_near = (np.array(x[i].as_py() or [], np.int64).view(np.uint64) for x in (hot, near))
+                if any(allowances(own, bands, band, gone, gone_near) < bands.need(len(own), band) for band in _bands_of(own, bands)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), names[i].as_py())), pa.array(np.full(len(own), len(own))), pa.array(own.view(np.int64))], ["name", "size", "element"])
 
     return run
 
 
-def _rest_pairs(texts: DataFrame, stats: DataFrame, hot: DataFrame, part: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs among the sets that neither side's signatures are sure to find: those in different components that share one of their rarest elements."""
-    first = stats.where("name IS NOT NULL").groupBy("name").agg(F.min("key").alias("key"), F.max("rest").alias("rest"))
-    gone = hot.groupBy(F.col("b").alias("name")).agg(F.collect_set("a").alias("hot"))
-    some = checkpointed(first.join(gone, "name", "left").where("rest OR hot IS NOT NULL"))
-    if (some.select(F.sum(2 + F.coalesce(F.size("hot"), F.lit(0)))).first()[0] or 0) <= 2 * _SENT:
-        # 8 bytes each, counted just before; a longer list meets the texts in a shuffle.
-        some = F.broadcast(some)
-    # One row for each set: the ranks below count a set's elements, so repeated rows must not repeat them.
-    alone = texts.join(some, "key").select("key", "name", "text", "hot").dropDuplicates(["name"])
-    held = checkpointed(alone.mapInArrow(_uncovered(n, percent), "name long, size long, element long"))
+def _prefixes(held: DataFrame, percent: int) -> DataFrame:
+    """Of sets (name, size, element) the elements (element, name, size, left) that a similar set may meet them on.
+
+    Elements are put in one order, rare ones first; left is what follows one, itself included.
+    """
     often = held.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
     counted = held.join(often, "element", "left").fillna(1, ["n"])
-    # An element that many sets hold is common. Sets without a rarer one in common share no more than their common ones,
-    # so a pair that meets on a common element only matters if both have enough of these.
-    own = Window.partitionBy("name")
-    rank = F.row_number().over(own.orderBy("n", "element"))
-    counted = counted.withColumns({"r": rank, "common": F.count_if(F.col("n") > _COMMON).over(own)})
-    prefix = counted.where((F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1) & (F.col("n") > 1))
-    prefix = prefix.where((F.col("n") <= _COMMON) | (100 * F.col("common") >= percent * F.col("size")))
-    prefix = prefix.join(part.select(F.col("id").alias("name"), "component"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    several = prefix.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("element")
-    prefix = checkpointed(prefix.join(several, "element").select("element", "name", "size", "component", "common", (F.col("n") > _COMMON).alias("often")))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    on = (F.col("x.element") == F.col("y.element")) & (F.col("x.name") < F.col("y.name")) & (F.col("x.component") != F.col("y.component"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("n", "element"))
+    counted = counted.withColumn("left", F.col("size") - rank + 1)
+    return checkpointed(counted.where((100 * F.col("left") >= percent * F.col("size")) & (F.col("n") > 1)).select("element", "name", "size", "left"))
+
+
+def _rest_pairs(prefixes: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that may be similar by the elements they share.
+
+    Two similar sets share an element so early in both that what is left there can still fill the intersection they need: the
+    first one they share. So they meet on it.
+    """
+    own = _unclear(prefixes.select(F.col("element").alias("a"), F.col("name").alias("b"), "size", "left"), part)
+    x, y = own.alias("x"), own.alias("y")
+    on = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.component") != F.col("y.component"))
     on &= 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
-    on &= ~F.col("x.often") | ((100 + percent) * F.least("x.common", "y.common") >= percent * (F.col("x.size") + F.col("y.size")))
-    return x.join(y, on).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
+    on &= (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.size") + F.col("y.size"))
+    return checkpointed(x.join(y, on).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct())
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, most: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id, key) of every document: the size of its set and its class under the links.
+    """(doc_id, n_shingles, component_id, key, class) of every document: the size of its set, the least id of its class under the links, its row key and a number of the class.
+
+    The number is null without words; classes of rows with the same id differ in it.
 
     percent: the least similarity in hundredths; most: sets that may share a signature before a pivot stands for them.
     """
     texts = docs.select("doc_id", row_key().alias("key"), "text")
-    stats = checkpointed(texts.mapInArrow(_statistics(n, percent), "doc_id long, key long, n_shingles long, name long, rest boolean, small array<long>, wide array<long>"))
-    groups = groups_for(stats, F.col("n_shingles"), 2_500_000)
-    met = texts.mapInArrow(_emit(n, percent, groups, most), _BLOCK).groupBy("part").applyInPandas(_meet(percent, most), _OUT)
-    met = checkpointed(met.distinct())
-    links, part = _linked(texts, stats, met.where("NOT hot").select("a", "b"), n, percent)
-    hot = met.where("hot").select("a", "b")
-    # Signatures whose sets are not all in one component by now; a set without links is its own.
-    own = hot.join(part.withColumnRenamed("id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    mixed_up = own.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a")
-    unclear = checkpointed(hot.join(mixed_up, "a"))
-    if not unclear.isEmpty() or not stats.where("rest").isEmpty():
-        more, _ = _linked(texts, stats, checkpointed(_rest_pairs(texts, stats, unclear, part, n, percent)), n, percent)
-        part = components(links.unionByName(more))
+    stats = checkpointed(texts.mapInArrow(_statistics(n, percent), _STATS))
+    # One row for each set.
+    sets = checkpointed(stats.where("name IS NOT NULL").dropDuplicates(["name"]))
+    groups = groups_for(sets, F.col("n_shingles"), 1_200_000)
+    links = sets.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
+    part = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+    def linked(some: DataFrame, near: bool, groups: int) -> DataFrame:
+        """Links what meets by signatures; (a: signature, b: name) of the hot ones."""
+        nonlocal links, part
+        met = checkpointed(some.mapInArrow(_emit(n, percent, groups, most, near), _BLOCK).groupBy("part").applyInPandas(_meet(percent, most), _OUT).distinct())
+        links, part = _linked(texts, sets, met.where("NOT hot").select("a", "b"), links, part, n, percent)
+        return met.where("hot").select("a", "b")
+
+    unclear = _unclear(linked(texts, False, groups), part)
+    # By the number of its signatures that got no allowance a set falls short or not; no text is read for that.
+    gone = unclear.groupBy(F.col("b").alias("name")).agg(F.collect_list("a").alias("hot"), *(F.count_if(F.col("a") % 2 == 0 if i == 0 else F.col("a") % 2 != 0).alias(f"hot{i}") for i in (0, 1)))
+    short = " OR ".join(f"coalesce(hot{i}, 0) > spare{i}" for i in (0, 1))
+    some = checkpointed(sets.join(gone, "name", "left").where(short).select("key", "name", "hot"))
+    weight = some.select(F.sum(2 + F.coalesce(F.size("hot"), F.lit(0)))).first()[0] or 0
+    if weight:
+        # 8 bytes each, counted just before; a longer list meets the texts in a shuffle. One row for each set.
+        some = F.broadcast(some) if weight <= 2 * _SENT else some
+        short = checkpointed(texts.join(some, "key").select("name", "text", "hot").dropDuplicates(["name"]))
+        near = linked(short, True, groups_for(short, F.octet_length("text"), 4 << 20))
+        near = near.groupBy(F.col("b").alias("name")).agg(F.collect_list("a").alias("hot_near"))
+        held = checkpointed(short.join(near, "name", "left").mapInArrow(_short(n, percent), "name long, size long, element long"))
+        prefixes = _prefixes(held, percent)
+        for pairs in (lambda: _bridges(_unclear(prefixes.select(F.col("element").alias("a"), F.col("name").alias("b")), part)), lambda: _rest_pairs(prefixes, part, percent)):
+            links, part = _linked(texts, sets, pairs(), links, part, n, percent, 1)
     # Classes, not rows, meet here: the least id of each name, then of each component.
     least = stats.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"))
-    known = least.join(part.withColumnRenamed("id", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    known = _placed(least, part, "name")
     whole = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = known.join(whole, "component").select("name", "component_id")
-    return stats.join(classes, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key")
+    classes = known.join(whole, "component").select("name", "component", "component_id")
+    return stats.join(classes, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key", F.col("component").alias("class"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents")).drop("key")
+    return similar_documents(table(spark, sf_dir, "documents")).drop("key", "class")
 
 
 SQL = {

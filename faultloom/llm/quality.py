@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, checkpointed, mixed, table, window_hashes, word_hashes
+from .common import byte_texts, checkpointed, hashed_words, mixed, table, window_hashes
 from .language_id import letters
 
 _V = 128
@@ -187,7 +187,7 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     repeated = 0
     if len(words) > 5:
-        h = window_hashes(word_hashes(words, len(words)), 5)
+        h = window_hashes(hashed_words([text])[0], 5)
         _, back, count = np.unique(h, return_inverse=True, return_counts=True)
         at = np.flatnonzero(count[back] > 1)
         if len(at):

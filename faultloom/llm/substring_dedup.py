@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, groups_for, mixed, planes, route, row_key, table, unplanes, window_hashes, word_hashes
+from .common import byte_texts, groups_for, hashed_words, mixed, planes, route, row_key, table, unplanes, window_hashes
 
 _FLUSH = 1 << 18
 #: Windows go to groups by the least hash of their runs of so many words, which neighbours mostly share.
@@ -94,9 +94,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndar
         keys = batch.column(batch.schema.get_field_index("key")).to_numpy()
         has = batch.schema.get_field_index("hits")
         for at, texts in byte_texts(batch):
-            split = [t.split() for t in texts]
-            sizes = np.array([len(w) for w in split])
-            h = word_hashes((w for words in split for w in words), int(sizes.sum()))
+            h, sizes = hashed_words(texts)
             ends = np.cumsum(sizes)
             for i, (lo, hi) in enumerate(zip(ends - sizes, ends, strict=True)):
                 yield keys[at + i], h[lo:hi], None if has < 0 else batch.column(has)[at + i].as_py()

@@ -114,6 +114,27 @@ def test_balanced_partition_is_balanced():
     assert part.min() == 0 and np.bincount(part, minlength=8).max() <= 56
 
 
+def test_near_copies_keep_one_of_each_class_by_brute_force(spark):
+    import corpus_pipeline
+    from test_texts import corpus, shingles
+
+    rows = [(i, t) for i, t in corpus(n=40) if i is not None]
+    other = " ".join(f"z{k}" for k in range(30))
+    rows += [(3, "a b c d e f g"), (5, "A b c d e f g"), (5, other), (7, "q r s t u v"), (900, ""), (900, None), (7, "q r s t u v"), (None, "Q r s t u v"), (None, "alone here and nowhere else")]
+    sets = [shingles(t) for _, t in rows]
+    least = list(range(len(rows)))
+    same = lambda i, j: rows[i] == rows[j] or sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    for _ in rows:
+        least = [min(least[j] for j in range(len(rows)) if same(i, j) or i == j) for i in range(len(rows))]
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert len(kept) == len(set(kept)) == len(set(least)) and set(kept) <= set(rows)
+    for c in set(least):
+        own = [rows[i] for i in range(len(rows)) if least[i] == c]
+        ids = [i for i, _ in own if i is not None]
+        assert len([r for r in own if r in kept and (not ids or r[0] == min(ids))]) >= 1
+    assert {(3, "a b c d e f g"), (5, other), (900, ""), (900, None)} <= set(kept) and (None, "Q r s t u v") not in kept
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
     from test_texts import SCHEMA, corpus

@@ -69,7 +69,7 @@ def test_window_hashes_depend_on_the_window_only():
     assert len(window_hashes(h[:3], 5)) == 0
 
 
-@pytest.mark.parametrize("most", [2, 32])
+@pytest.mark.parametrize("most", [2, 4, 32])
 def test_jaccard_join_equals_brute_force(spark, docs, most):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     sets = [shingles(t) for _, t in rows]
@@ -93,38 +93,80 @@ def test_jaccard_join_equals_brute_force(spark, docs, most):
 
 
 def test_signatures_meet_whenever_sets_are_similar():
+    """Of two similar sets with enough allowances under a band they share, a signature or a neighbourhood is common, whatever is hot."""
     rng = np.random.default_rng(1)
-    bands = ngram_join.Bands(75)
-    for _ in range(300):
+    bands, none, seen = ngram_join.Bands(75), np.empty(0, np.uint64), 0
+    for _ in range(600):
         n = int(rng.integers(1, 120))
-        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
         drop = int(rng.integers(0, max(len(base) // 7, 1) + 1))
-        other = np.unique(np.concatenate([base[drop:], rng.integers(0, 1 << 63, drop).astype(np.uint64)]))
+        other = np.unique(np.concatenate([base[drop:], rng.integers(0, 1 << 63, drop).astype(np.uint64) * np.uint64(2)]))
         inter = len(np.intersect1d(base, other))
         if 100 * inter < 75 * (len(base) + len(other) - inter):
             continue
-        met, rest = set(), []
-        for s in (base, other):
-            k = bands.of(len(s))
-            sent = [ngram_join.signatures(s, bands, band) for band in {k, max(k - 1, 0)}]
-            met = {int(x) for p, _ in sent for x in p} & met if rest else {int(x) for p, _ in sent for x in p}
-            rest.append(any(r for _, r in sent))
-        assert met or all(rest)
-
-
-def test_rest_pairs_finds_the_partner_of_a_repeated_row(spark):
-    one = [f"w{i}" for i in range(120)]
-    other = one[:105] + [f"v{i}" for i in range(15)]
-    docs = spark.createDataFrame([(1, " ".join(one))] * 6 + [(2, " ".join(other))], "doc_id long, text string")
-    texts = docs.select("doc_id", ngram_join.row_key().alias("key"), "text")
-    stats = texts.mapInArrow(ngram_join._statistics(5, 75), "doc_id long, key long, n_shingles long, name long, rest boolean, small array<long>, wide array<long>")
-    bands, hot = ngram_join.Bands(75), []
-    for _, own in ngram_join._sets(iter(texts.toArrow().to_batches()), 5):
-        k = bands.of(len(own))
-        hot += [(int(s.view(np.int64)), ngram_join.name(own)) for band in {k, max(k - 1, 0)} for s in ngram_join.signatures(own, bands, band)[0]]
-    part = spark.createDataFrame([], "id long, component long")
-    found = ngram_join._rest_pairs(texts, stats, spark.createDataFrame(hot, "a long, b long"), part, 5, 75).collect()
-    assert [{r.a, r.b} for r in found] == [{b for _, b in hot}]
+        shared = set(ngram_join._bands_of(base, bands)) & set(ngram_join._bands_of(other, bands))
+        assert shared
+        exact = [np.concatenate([ngram_join.signatures(s, bands, b) for b in shared]) for s in (base, other)]
+        near = [np.concatenate([ngram_join.neighbourhoods(s, bands, b)[0] for b in shared]) for s in (base, other)]
+        for share in (0.0, 0.3, 0.7):
+            hot = exact[0][rng.random(len(exact[0])) < share]
+            hot_near = near[0][rng.random(len(near[0])) < share / 3]
+            for b in shared:
+                if ngram_join.allowances(base, bands, b, hot, hot_near) >= bands.need(len(base), b):
+                    met = set(exact[0].tolist()) & set(exact[1].tolist()) - set(hot.tolist())
+                    met |= set(near[0].tolist()) & set(near[1].tolist()) - set(hot_near.tolist())
+                    assert met
+                    seen += share > 0
+            assert ngram_join.allowances(base, bands, min(shared), none, none) >= len(ngram_join.segments(base, bands, min(shared))[0])
+    assert seen > 50
+
+
+def test_rest_pairs_keeps_every_similar_pair(spark):
+    """Whatever is common or rare, similar sets meet on the first element they share; pairs of one component don't."""
+    rng = np.random.default_rng(3)
+    pool, sets = rng.integers(0, 1 << 62, 40), []
+    for _ in range(60):
+        own = set(rng.choice(pool, int(rng.integers(5, 38)), replace=False).tolist()) | set(rng.integers(0, 1 << 62, int(rng.integers(0, 5))).tolist())
+        sets.append(own)
+        if rng.random() < 0.5:
+            sets.append(set(list(own)[1:]) | {int(rng.integers(0, 1 << 62))})
+    rows = [(i, len(own), e) for i, own in enumerate(sets) for e in own]
+    held = spark.createDataFrame(rows, "name long, size long, element long")
+    part = spark.createDataFrame([(0, 0), (1, 0)], "id long, component long")
+    found = {(r.a, r.b) for r in ngram_join._rest_pairs(ngram_join._prefixes(held, 75), part, 75).collect()}
+    similar = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])} - {(0, 1)}
+    assert len(similar) > 20 and similar <= found and (0, 1) not in found and len(found) < 60 * 59 / 2
+
+
+def test_clouds_of_near_copies_equal_brute_force(spark):
+    """Texts around common ones at every distance: most signatures are hot, and what is linked must not depend on it."""
+    rng = random.Random(8)
+    rows = []
+    for c in range(3):
+        base = [f"c{c}w{i}" for i in range(90)]
+        for _ in range(60):
+            own = list(base)
+            for _ in range(rng.randint(0, 7)):
+                own[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    passages = [[f"p{p}w{i}" for i in range(40)] for p in range(6)]
+    for _ in range(120):
+        rows.append((len(rows), " ".join(w for p in rng.sample(passages, rng.randint(1, 4)) for w in p)))
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(rows))}
 
 
 def test_parities_bound_the_difference():
