@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultloom.llm import language_id, mixing, ngram_join, packing, substring_dedup
-from faultloom.llm.common import checkpointed, shared_folder
+from faultloom.llm.common import checkpointed, row_key, shared_folder
 
 #: A document goes if no language has this share of it; clean texts in one language have nearly all.
 LEAST_SHARE = 0.35
@@ -28,17 +28,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id stays, of rows that repeat id and text one.
+    """Of each class of near copies one document with the least id stays, of rows that repeat id and text one.
 
-    Documents without a word are classes of their own, and documents without an id stay.
+    Rows are told apart by id and text, so another text under the id of a copy stays. Documents without a word are classes of their
+    own; documents without an id come last in theirs.
     """
     classes = checkpointed(ngram_join.similar_documents(docs))
-    copies = classes.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
-    twins = classes.where("doc_id IS NOT NULL").groupBy("doc_id", "key").count().where("count > 1").select("doc_id").distinct()
-    if twins.isEmpty():
-        return kept
-    return kept.join(twins, "doc_id", "left_anti").unionByName(kept.join(twins, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    worded = classes.where("class IS NOT NULL")
+    first = worded.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("first"))
+    copies = worded.join(first, "class").where("key <> first").select(F.col("key").alias("pipeline_key")).distinct()
+    kept = docs.withColumn("pipeline_key", row_key()).join(copies, "pipeline_key", "left_anti")
+    twins = classes.groupBy(F.col("key").alias("pipeline_key")).count().where("count > 1").select("pipeline_key")
+    if not twins.isEmpty():
+        kept = kept.join(twins, "pipeline_key", "left_anti").unionByName(kept.join(twins, "pipeline_key", "left_semi").dropDuplicates(["pipeline_key"]))
+    return kept.select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
