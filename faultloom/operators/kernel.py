@@ -147,7 +147,10 @@ def operation_pairs(pairs: DataFrame, located: DataFrame) -> DataFrame:
 
 
 #: Words that say nothing about a report's subject.
-STOP_WORDS = ["call", "trace", "kernel", "with", "from", "this", "that", "task", "null"]
+STOP_WORDS = [
+    "address", "alloc", "allocated", "atomic", "cache", "call", "check", "close", "code", "cpu", "error", "file", "freed", "include", "index",
+    "kernel", "memory", "object", "page", "path", "read", "report", "size", "source", "stack", "task", "trace", "value", "write",
+]
 
 
 def keyword_files(reports: DataFrame, paths: DataFrame, most: int = 8, terms: int = 32) -> DataFrame:

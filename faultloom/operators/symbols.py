@@ -78,7 +78,12 @@ def resolve_types(refs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 #: Types of java.lang that need no import.
-JAVA_LANG = ["Object", "String", "Integer", "Long", "Double", "Float", "Boolean", "Byte", "Short", "Character", "Number", "Iterable", "Runnable", "Throwable", "Exception", "RuntimeException", "Class", "CharSequence", "Comparable"]
+JAVA_LANG = [
+    "Object", "String", "StringBuilder", "StringBuffer", "Class", "Throwable", "Exception", "RuntimeException", "Error",
+    "Boolean", "Byte", "Character", "Double", "Float", "Integer", "Long", "Short", "Number", "Void", "Iterable", "Comparable",
+    "CharSequence", "Enum", "Thread", "Runnable", "Cloneable", "AutoCloseable", "AssertionError",
+    "IllegalArgumentException", "IllegalStateException", "NullPointerException", "UnsupportedOperationException",
+]
 
 
 def type_descriptor(erased: Column, resolved: Column) -> Column:

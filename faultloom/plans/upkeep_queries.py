@@ -177,9 +177,9 @@ _RES = """fn1 AS (SELECT case_id, name, min(method_id) AS only_one, count(*) AS
 res AS (SELECT s.case_id, s.symbol, coalesce(al.m, CASE WHEN n = 1 THEN only_one END) AS method_id, coalesce(n, 0) AS candidates FROM syms s LEFT JOIN al ON al.case_id = s.case_id AND al.symbol = s.symbol
     LEFT JOIN fn1 ON fn1.case_id = s.case_id AND fn1.name = regexp_replace(s.symbol, '\\.(isra|part)\\.[0-9]+$', ''))"""
 _LOC = """loc AS (SELECT o.case_id, operation_id, o.file, o.line, count(f.method_id) AS holders, CASE WHEN count(f.method_id) = 1 THEN min(f.method_id) END AS method_id FROM ops o LEFT JOIN fns f ON f.case_id = o.case_id AND f.file = o.file AND start_line <= line AND line <= end_line GROUP BY ALL)"""
-_KEY = """terms AS (SELECT DISTINCT case_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{3,}'), lambda w: NOT list_contains(['call', 'trace', 'kernel', 'with', 'from', 'this', 'that', 'task', 'null'], w))) AS term FROM rep),
+_KEY = """terms AS (SELECT DISTINCT case_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{3,}'), lambda w: NOT list_contains(STOP_WORDS, w))) AS term FROM rep),
 sc AS (SELECT case_id, path, sum(100 + CASE WHEN contains(string_split(path, '/')[-1], term) THEN 25 ELSE 0 END)::BIGINT AS score FROM paths JOIN terms ON contains(path, term) GROUP BY ALL),
-kw AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, len(path), path DESC)::INT AS rank FROM sc QUALIFY rank <= 8)"""
+kw AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, len(path), path DESC)::INT AS rank FROM sc QUALIFY rank <= 8)""".replace("STOP_WORDS", str(kernel.STOP_WORDS))
 _DEF = """dr AS (SELECT w.case_id, w.name, path, defines, CASE WHEN path = near THEN 0 WHEN regexp_extract(path, '^(.*)/', 1) = regexp_extract(near, '^(.*)/', 1) THEN 1 WHEN string_split(path, '/')[1] = string_split(near, '/')[1] THEN 2 WHEN path LIKE 'arch/%' THEN 80 WHEN path LIKE 'drivers/%' THEN 90 ELSE 20 END AS rank FROM lines JOIN want w USING (name)),
 df AS (SELECT case_id, name, CASE WHEN rank < 80 THEN path END AS path, rank FROM dr QUALIFY row_number() OVER (PARTITION BY case_id, name ORDER BY defines DESC, rank, path) = 1)"""
 SQL = {

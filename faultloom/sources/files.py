@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Names of directories that hold build output.
-BUILD_DIRS = ["target", "out", "bin", "dist", "node_modules", "generated"]
+#: Names of directories that hold no sources of their own.
+BUILD_DIRS = [".git", ".gradle", ".idea", ".mvn", "target", "out", "node_modules", "VUL4J"]
 
 
 def read_tree(spark: SparkSession, root: str, glob: str = "*.java") -> DataFrame:

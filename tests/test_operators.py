@@ -195,3 +195,14 @@ def test_plans_stay_native(spark):
 def test_cut_lineage_uses_the_shared_folder(spark):
     lineage.cut_lineage(spark.range(3))
     assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+
+
+def test_constructors_and_skipped_frames(spark):
+    from faultloom.operators import reports
+
+    text = "java.lang.Error: x\n\tat org.apache.tools.ant.Main.run(Main.java:1)\n\tat own.runner.Go.m(Go.java:2)\n\tat a.B$C.C(B.java:7)\n\tat a.D.m(D.java:3)"
+    frames = reports.java_frames(spark.createDataFrame([("c", "r", text)], "case_id string, report_id string, text string"))
+    catalog = spark.createDataFrame([("c", "a.B$C#<init>()V", "a.B$C", "<init>", 5, 9), ("c", "a.D#m()V", "a.D", "m", 1, 4)], "case_id string, method_id string, class_name string, method string, start_line int, end_line int")
+    assert [r.method_id for r in reports.attribute_java(frames, catalog).collect()] == ["a.B$C#<init>()V"]
+    skipped = frames.select("class_name", reports.skipped_frame(frames.class_name, ("own.runner.",)).alias("s")).collect()
+    assert [r.s for r in skipped] == [True, True, False, False]
