@@ -9,7 +9,8 @@ Character references are decoded, white space in a line becomes one space, and l
 
 Rows are extracted one by one, so no key matters; a very long page costs its own length only.
 
-Edge cases: a null or empty page has an empty text; markup that is cut short or not closed ends with the page; a page without
+Edge cases: a null or empty page has an empty text; a quote that is not closed before the next "<" is an ordinary character, so a page is
+read in one pass however broken it is; markup that is cut short or not closed ends with the page; a page without
 markup is one line; repeated rows are extracted each.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul video".split())
 #: Elements that hold others and need an end tag, so they nest.
@@ -56,7 +57,6 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, float]]:
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []
     linked = links = at = 0
-    skip = ""
 
     def flush() -> None:
         nonlocal linked
@@ -69,7 +69,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, float]]:
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if m.start() > at and not skip:
+        if m.start() > at:
             parts.append(page[at : m.start()])
             linked += (m.start() - at) * bool(links)
         at = m.end()
@@ -112,7 +112,7 @@ def main_text(page: str) -> str:
         return ""
     inside = any(a and not b for _, b, a, _ in lines)
     size = [0 if b or (inside and not a) or (link > 0.8 and not (inside and a)) else len(t) for t, b, a, link in lines]
-    sums = [sum(size[i : i + _WINDOW]) for i in range(-_WINDOW + 1, len(size))] if False else [sum(size[max(i, 0) : i + _WINDOW]) for i in range(1 - _WINDOW, len(size))]
+    sums = [sum(size[max(i, 0) : i + _WINDOW]) for i in range(1 - _WINDOW, len(size))]
     surge = min(_SURGE, max(sums) / 2)
     kept: list[str] = []
     begin = None

@@ -16,7 +16,8 @@ rest. So a page with a third of all records spreads over its blocks. The window
 reference and its headers; payloads are joined afterwards, by the record's id, to the revisits alone.
 
 Edge cases: records without a canonical URL or a time are orphans if revisits; of records of one time, the lower record id
-is earlier; an empty table gives an empty result; repeated rows resolve alike; other columns pass through.
+is earlier; an empty table gives an empty result; repeated rows resolve alike;
+a revisit without a record id is an orphan, as it can't be told apart; other columns pass through, but page, status and refers_to are replaced.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ def resolve_revisits(records: DataFrame, block: Column | None = None) -> DataFra
 
     kind: "response" or "revisit"; `block` dates a record's block of capture time, by default its day.
     """
+    # Columns of the records that the result defines itself are replaced.
+    records = records.drop("page", "status", "refers_to")
     page, time = canonical_url(F.col("url")), F.col("captured")
     held = records.withColumns({"page": page, "wv_block": block if block is not None else F.date_trunc("day", time.cast("timestamp"))})
     full = (F.col("kind") == "response") & F.col("page").isNotNull() & time.isNotNull()

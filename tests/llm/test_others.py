@@ -55,10 +55,12 @@ def test_revisits(spark):
         (3, "a.com/x?a=1&b=2", "2024-01-04 10:00:00", "response", "ETag: \"2\"", "body2"), (4, "a.com/x?a=1&b=2", "2024-01-04 10:00:01", "revisit", "ETag: \"1\"", None), (5, "a.com/x?a=1&b=2", "2023-01-04 10:00:01", "revisit", "ETag: \"1\"", None),
         (6, None, "2024-01-05 10:00:00", "revisit", "", None), (7, "a.com/x?a=1&b=2", "2024-02-01 10:00:00", "revisit", "Vary: x", None), (8, "a.com/x?a=1&b=2", None, "revisit", "ETag: \"2\"", None),
     ]
-    df = spark.createDataFrame(rows, "record_id long, url string, captured string, kind string, h string, payload string").withColumns({"captured": F.col("captured").cast("timestamp"), "headers": revisit.header_map(F.col("h")), "status": F.lit("own")}).drop("h", "status")
+    df = spark.createDataFrame(rows, "record_id long, url string, captured string, kind string, h string, payload string").withColumns({"captured": F.col("captured").cast("timestamp"), "headers": revisit.header_map(F.col("h")), "status": F.lit("own"), "page": F.lit(1), "refers_to": F.lit("x"), "k": F.lit("v")}).drop("h")
     out = {r.record_id: r for r in revisit.resolve_revisits(df).collect()}
     assert {k: r.status for k, r in out.items()} == {1: "response", 2: "resolved", 3: "response", 4: "mismatch", 5: "orphan", 6: "orphan", 7: "unverified", 8: "orphan"}
     assert out[2].payload == "body1" and out[2].headers == {"etag": 'W/"1"', "server": "s", "date": "d2"} and out[7].payload == "body2" and out[4].payload is None
+    found = revisit.resolve_revisits(df)
+    assert len(set(found.columns)) == len(found.columns) and all(r.k == "v" for r in out.values())
     assert revisit.resolve_revisits(df.where("1 = 0")).count() == 0
 
 
@@ -75,6 +77,16 @@ def test_main_text(page, text):
     assert html_text.main_text(page or "") == text
 
 
+def test_broken_markup_is_read_in_one_pass():
+    import time
+
+    began = time.process_time()
+    html_text.main_text('<div class="a" ' * 70_000 + '"')
+    html_text.main_text('<div class="a ' * 70_000 + "<!--" * 10_000)
+    assert time.process_time() - began < 20
+    assert html_text.main_text('<p><a href="x >link</a> ' + "word " * 40 + "</p><p title='it>s'>" + "more " * 40) == ("link " + "word " * 40 + "more " * 40).strip()
+
+
 def test_pages_keep_other_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>" + "abc " * 30, "t"), (None, None, None, None)], "page_id long, url string, html string, text string")
     out = {r.page_id: r for r in html_text.extract_text(df).collect()}
