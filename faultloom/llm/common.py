@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -14,11 +15,20 @@ from pyspark.sql import functions as F
 #: A word, as the contracts define it: a run of anything but ASCII white space. bytes.split() cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _A = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session gives Python 1000 rows at a time at most, not 10000, as rows may be long texts."""
+    if int(spark.conf.get(_BATCH, None) or 10_000) > 1000:
+        spark.conf.set(_BATCH, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder, in a session of small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,22 +45,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-#: While a table is written: its shuffle files go at once, and Python gets small batches, as rows may be long texts.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: While a table is written its shuffle files go at once.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table written to the shared folder; the shuffle files of its making go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in _WRITING}
-    for k, v in _WRITING.items():
-        spark.conf.set(k, v)
+    small_batches(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,7 +74,15 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def sliced(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+def give_back() -> None:
+    """Free memory of this Python worker returns to the machine, as one worker serves many stages, and idle ones wait for more."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def sliced(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19) -> Iterator[tuple[int, pa.Array]]:
     """(first row, the column's values) in slices of about `most` bytes."""
     texts = batch.column(batch.schema.get_field_index(column))
     size = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1 + texts.offset)[texts.offset :]) if len(texts) else []
@@ -77,9 +94,10 @@ def sliced(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) ->
             start, held = i + 1, 0
     if start < len(texts):
         yield start, texts.slice(start)
+    give_back()
 
 
-def byte_texts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def byte_texts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as bytes) in slices of about `most` bytes; a null text is empty."""
     for start, texts in sliced(batch, column, most):
         yield start, [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
@@ -97,7 +115,7 @@ _SPACES[[32, 9, 10, 11, 12, 13]] = True
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_A))
 _LOW_BYTES = _BYTES[np.where((np.arange(256) > 64) & (np.arange(256) < 91), np.arange(256) + 32, np.arange(256))]
 #: Bytes that are hashed at once; a longer text is cut between words.
-_STRETCH = 1 << 20
+_STRETCH = 1 << 19
 _LONG = 256
 _POWERS: list[np.ndarray] = []
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, checkpointed, components, groups_for, hashed_words, mixed, route, row_key, table, window_hashes
+from .common import byte_texts, checkpointed, components, give_back, groups_for, hashed_words, mixed, route, row_key, table, window_hashes
 
 _FLUSH = 1 << 18
 _SETS = 60_000
@@ -254,12 +254,15 @@ def _emit(n: int, percent: int, groups: int, most: int, near: bool = False):
                 held, total = {}, 0
         if held:
             yield from flush([x for x, _ in held.values()], list(held), [s for _, s in held.values()])
+        held.clear()
+        give_back()
 
     return run
 
 
 def _meet(percent: int, most: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         sigs = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["sigs"]])
         names = np.concatenate([np.frombuffer(t, np.int64)[np.frombuffer(w, np.uint16)] for t, w in zip(rows["names"], rows["who"], strict=True)])
         sizes = np.concatenate([np.frombuffer(t, np.uint32)[np.frombuffer(w, np.uint16)] for t, w in zip(rows["sizes"], rows["who"], strict=True)]).astype(np.int64)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import sliced, table
 
 #: So many distinct words are kept with their ids in each Python worker; beyond it the store starts anew.
-_STORE = 400_000
+_STORE = 300_000
 
 
 def piece_lengths(n: int, longest: int) -> list[int]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, groups_for, hashed_words, mixed, planes, route, row_key, table, unplanes, window_hashes
+from .common import byte_texts, give_back, groups_for, hashed_words, mixed, planes, route, row_key, table, unplanes, window_hashes
 
 _FLUSH = 1 << 18
 #: Windows go to groups by the least hash of their runs of so many words, which neighbours mostly share.
@@ -130,6 +130,8 @@ def _emit(anchors: bool, length: int, groups: int):
                 held, n = [], 0
         if n:
             yield from _packed(*map(np.concatenate, zip(*held, strict=True)), groups, 5 if anchors else 8)
+        held.clear()
+        give_back()
 
     return run
 
@@ -138,6 +140,7 @@ def _answers(width: int):
     """Of one group's blocks: (key, starts) of the places whose hash more than one block holds, or that were known."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         hashes = [np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) if width == 5 else unplanes(x, "<u8") for x in rows["hashes"]]
         every = np.sort(np.concatenate(hashes))
         again = every[1:][every[1:] == every[:-1]]
