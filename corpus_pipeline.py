@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultloom.llm import language_id, mixing, ngram_join, packing, substring_dedup
-from faultloom.llm.common import checkpointed, row_key, shared_folder
+from faultloom.llm.common import checkpointed, row_key, shared_folder, small_batches
 
 #: A document goes if no language has this share of it; clean texts in one language have nearly all.
 LEAST_SHARE = 0.35
@@ -22,6 +22,7 @@ LEAST_FIT = -1.0
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled texts and rejects documents without a language: those without letters, a mixture without a leading one, or text unlike any."""
+    small_batches(spark)
     model = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.predict(docs, model, ("pipeline_lang", "pipeline_share"))
     return found.where((F.col("pipeline_lang") != "und") & (F.col("pipeline_share") >= LEAST_SHARE) & (F.col("pipeline_lang_fit") >= LEAST_FIT)).select(*docs.columns)
