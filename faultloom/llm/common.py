@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _A = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From here on the session gives Python 1000 rows at a time at most, not 10000, as rows may be long texts."""
+    """From here on the session gives Python 1000 rows and about 4 MB at a time at most, not 10000 rows, as rows may be long texts."""
     if int(spark.conf.get(_BATCH, None) or 10_000) > 1000:
         spark.conf.set(_BATCH, "1000")
+        spark.conf.set(_BATCH_BYTES, str(4 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
