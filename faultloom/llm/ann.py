@@ -8,11 +8,12 @@ reranked by the exact inner product in double precision. `mass` is the least tha
 queries of the sample that the network has not seen.
 
 The index covers every row; the sample, the network (64 x 128 x partitions weights) and the partitions' sizes are all that the driver
-holds. Partitions are dealt out in slices of `slice_rows` rows by a hash of the id, so a vector that a third of all rows equal
-fills many slices and no task; queries visit each slice of their partitions in blocks, and each visit gives at most k rows.
+holds. Partitions are dealt out in slices of `slice_rows` rows by a hash of the row's number, so a vector that a third of all rows equal
+fills many slices and no task; the queries that visit a partition are dealt into blocks of `block_rows`, each of which meets every slice,
+so a task holds one slice and one block however many rows there are, and each visit gives at most k rows.
 
 Edge cases: vectors that are null, of another length than the most, all zero, or hold null or non-finite components take no part, as
-queries or candidates; ties go to the smaller id; with k candidates or fewer all are returned; an empty table gives an empty result.
+queries or candidates; ties go to the smaller id; rows with the same id are queries and candidates of their own; with k candidates or fewer all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -146,45 +147,70 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _visits(router: Router, mass: float, x: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(each row's partition, row and partition of each visit): rows that ask go to their most probable partitions up to the mass."""
+    p = router.probabilities(unit(x))
+    query = np.flatnonzero(asks)
+    order = np.argsort(-p[query], axis=1)
+    ordered = np.take_along_axis(p[query], order, 1)
+    at, rank = np.nonzero(np.cumsum(ordered, 1) - ordered < mass)
+    return p.argmax(1), query[at], order[at, rank]
+
+
+def _tally(model):
+    """How many rows lie in each partition, and how many queries visit it."""
+
+    def run(batches):
+        router, mass, share = model.value
+        lie, visit = (np.zeros(len(router.w[3]), np.int64) for _ in range(2))
+        for batch in batches:
+            if batch.num_rows:
+                home, _, to = _visits(router, mass, _matrix(batch.column(2)), batch.column(1).to_numpy() % share == 0)
+                lie += np.bincount(home, minlength=len(lie))
+                visit += np.bincount(to, minlength=len(lie))
+        some = np.flatnonzero(lie + visit)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(lie[some]), pa.array(visit[some])], ["part", "lie", "visit"])
+
+    return run
+
+
+def _copies(rows: np.ndarray, part: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every row once for each of the numbers below `each`: (row, partition, number)."""
+    return np.repeat(rows, each), np.repeat(part, each), np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+
+
 def _route(model):
     def run(batches):
-        router, mass, slices, share = model.value
+        router, mass, slices, blocks, share = model.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0).to_numpy()
-            p = router.probabilities(unit(_matrix(batch.column(1))))
-            home = p.argmax(1)
-            here = (ids * 2654435761 % (1 << 31) * slices[home]) >> 31
-            rows, part, slot = [np.arange(len(ids))], [home], [here]
-            query = np.flatnonzero(ids % share == 0)
-            order = np.argsort(-p[query], axis=1)
-            ordered = np.take_along_axis(p[query], order, 1)
-            visit = np.cumsum(ordered, 1) - ordered < mass
-            at, rank = np.nonzero(visit)
-            to = order[at, rank]
-            each = slices[to]
-            rows.append(np.repeat(query[at], each))
-            part.append(np.repeat(to, each))
-            slot.append(np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
-            asks = np.repeat([False, True], [len(ids), int(each.sum())])
-            rows, part, slot = np.concatenate(rows), np.concatenate(part), np.concatenate(slot)
+            key = batch.column(0).to_numpy()
+            home, query, to = _visits(router, mass, _matrix(batch.column(2)), batch.column(1).to_numpy() % share == 0)
+            spread = key * 2654435761 % (1 << 31)
+            # A row lies in one slice of its partition, and meets every block of queries there; a query of one block visits every slice.
+            lies, lies_part, lies_block = _copies(np.arange(len(key)), home, blocks[home])
+            asks, asks_part, asks_slot = _copies(query, to, slices[to])
+            slot = np.concatenate([(spread[lies] * slices[lies_part]) >> 31, asks_slot])
+            block = np.concatenate([lies_block, (spread[asks] * blocks[asks_part]) >> 31])
+            rows, part = np.concatenate([lies, asks]), np.concatenate([lies_part, asks_part])
+            ask = np.repeat([False, True], [len(lies), len(asks)])
             for i in range(0, len(rows), 10_000):
                 j = slice(i, i + 10_000)
                 took = batch.take(pa.array(rows[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(part[j].astype(np.int32)), pa.array(slot[j].astype(np.int32)), pa.array(asks[j]), took.column(0), took.column(1)], ["part", "slot", "asks", "vec_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[j].astype(np.int32)) for c in (part, slot, block)), pa.array(ask[j]), *took.columns], ["part", "slot", "block", "asks", "key", "vec_id", "embedding"])
 
     return run
 
 
-def rerank(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
-    """(query, id, score) of the k best of each query among the vectors, its own id aside; ties go to the smaller id."""
+def rerank(query_keys: np.ndarray, queries: np.ndarray, keys: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+    """(query, id, score) of the k best of each query among the vectors, its own row aside; ties go to the smaller id."""
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order].astype(np.float64)
-    for i in range(0, len(query_ids), 64):
-        q, own = queries[i : i + 64].astype(np.float64), query_ids[i : i + 64]
+    keys, ids, vectors = keys[order], ids[order], vectors[order].astype(np.float64)
+    for i in range(0, len(query_keys), 64):
+        q, own = queries[i : i + 64].astype(np.float64), query_keys[i : i + 64]
         s = q @ vectors.T
-        s[own[:, None] == ids[None, :]] = -np.inf
+        s[own[:, None] == keys[None, :]] = -np.inf
         n = min(k, len(ids))
         least = np.partition(s, len(ids) - n, axis=1)[:, len(ids) - n]
         for j in range(len(q)):
@@ -199,16 +225,17 @@ def _search(k: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["asks"].to_numpy()
         if not asks.any() or asks.all():
-            return pd.DataFrame({"query_id": [], "scores": [], "ids": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("key", "query_id", "scores", "ids")})
         x = np.stack(rows["embedding"].to_numpy())
-        ids = rows["vec_id"].to_numpy()
-        found = list(rerank(ids[asks], x[asks], ids[~asks], x[~asks], k))
-        return pd.DataFrame({"query_id": [q for q, _, _ in found], "scores": [s for _, _, s in found], "ids": [i for _, i, _ in found]})
+        keys, ids = rows["key"].to_numpy(), rows["vec_id"].to_numpy()
+        named = dict(zip(keys[asks], ids[asks], strict=True))
+        found = list(rerank(keys[asks], x[asks], keys[~asks], ids[~asks], x[~asks], k))
+        return pd.DataFrame({"key": [q for q, _, _ in found], "query_id": [named[q] for q, _, _ in found], "scores": [s for _, _, s in found], "ids": [i for _, i, _ in found]})
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 20, share: int = 20, recall: float = 0.97, sample: int = 20_000, per_part: int = 2000, slice_rows: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, share: int = 20, recall: float = 0.97, sample: int = 20_000, per_part: int = 2000, slice_rows: int = 20_000, block_rows: int = 20_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose vec_id is divisible by share."""
     good = F.size("embedding") > 0
     for test in (lambda e: e.isNotNull(), lambda e: ~F.isnan(e) & (F.abs(e) != float("inf"))):
@@ -221,20 +248,23 @@ def nearest(vectors: DataFrame, k: int = 20, share: int = 20, recall: float = 0.
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     usable = usable.where(F.size("embedding") == widths[0]["w"])
     rows = widths[0]["count"]
-    # A seeded share of the rows by a hash of the id, at most `sample` of them.
-    picked = usable.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_100_000 * min(1.0, sample / rows)) + 1).limit(sample).toPandas()
+    # The rows with the least hashes of their ids, `sample` at most; the filter only keeps the sort small.
+    by = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000))
+    picked = usable.where(by < int(1_100_000 * min(1.0, sample / rows)) + 1).orderBy(by, "vec_id").limit(sample).toPandas()
     picked = picked.sort_values("vec_id")
     router, mass = train(np.stack(picked["embedding"].to_numpy()).astype(np.float32), rows, k, recall, per_part)
     context = spark.sparkContext
     parts = len(router.w[3])
-    one = np.ones(parts, np.int64)
-    plain = usable.mapInArrow(_route(context.broadcast((router, -1.0, one, 1 << 62))), "part int, slot int, asks boolean, vec_id long, embedding array<float>")
-    sizes = {r["part"]: r["count"] for r in plain.groupBy("part").count().collect()}
-    slices = np.array([-(-sizes.get(p, 0) // slice_rows) or 1 for p in range(parts)], np.int64)
-    dealt = usable.mapInArrow(_route(context.broadcast((router, mass, slices, share))), "part int, slot int, asks boolean, vec_id long, embedding array<float>")
+    # Rows are told apart by a number, as ids may repeat. A row's own copies as candidate and as query leave one task together.
+    numbered = usable.select(F.monotonically_increasing_id().alias("key"), "vec_id", "embedding")
+    counts = numbered.mapInArrow(_tally(context.broadcast((router, mass, share))), "part int, lie long, visit long").groupBy("part").agg(F.sum("lie").alias("lie"), F.sum("visit").alias("visit")).collect()
+    slices, blocks = np.ones(parts, np.int64), np.ones(parts, np.int64)
+    for r in counts:
+        slices[r["part"]], blocks[r["part"]] = max(-(-r["lie"] // slice_rows), 1), max(-(-r["visit"] // block_rows), 1)
+    dealt = numbered.mapInArrow(_route(context.broadcast((router, mass, slices, blocks, share))), "part int, slot int, block int, asks boolean, key long, vec_id long, embedding array<float>")
     # One row for a query's visit to a slice; at most k neighbours of each visit meet at the query.
-    found = dealt.groupBy("part", "slot").applyInPandas(_search(k), "query_id long, scores array<double>, ids array<long>")
-    every = found.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("scores", "ids"))).alias("all"))
+    found = dealt.groupBy("part", "slot", "block").applyInPandas(_search(k), "key long, query_id long, scores array<double>, ids array<long>")
+    every = found.groupBy("key", "query_id").agg(F.flatten(F.collect_list(F.arrays_zip("scores", "ids"))).alias("all"))
     best = F.slice(F.array_sort(F.transform("all", lambda x: F.struct((-x["scores"]).alias("less"), x["ids"].alias("vec_id"), x["scores"].alias("score")))), 1, k)
     ranked = every.select("query_id", F.posexplode(best).alias("pos", "b"))
     return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), "b.vec_id", "b.score")
