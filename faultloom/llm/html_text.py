@@ -31,10 +31,12 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul video".split())
 #: Elements that hold others and need an end tag, so they nest.
 _HOLDER = frozenset("address article aside blockquote body button details dialog div dl fieldset figure footer form head header html main menu nav noscript ol section select span table ul".split())
-_RAW = frozenset("script style template svg math object canvas textarea noscript iframe".split())
+_RAW = frozenset("script style template svg object canvas textarea noscript iframe".split())
 _DROPPED = frozenset("nav footer aside form head button select dialog menu noscript".split())
 _HINT = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banners?|sponsor\w*|promo\w*|side-?bars?|menus?|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|comments?|commentlist|disqus|replies|reply|respond|shar(?:e|ing)|social|related|recommend\w*|newsletter|subscri\w*|footer|masthead|widgets?|paginat\w*|pager|login|sign-?up|toolbar)(?:$|[\s_-])", re.I)
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])", re.I)
+#: A class of this name holds the article, so a class beside it counts as boilerplate only by its whole name.
+_ARTICLE = frozenset("article article-body article-content entry entry-content main-content page-content post post-body post-content story story-body".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 _WINDOW, _SURGE = 3, 86
 
@@ -48,6 +50,8 @@ def _boilerplate(tag: str, attributes: str, within: bool) -> bool:
     if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", "")) or own.get("role", "").lower() in _ROLES:
         return True
     named = f"{own.get('class', '')} {own.get('id', '')}"
+    if _ARTICLE.intersection(named.lower().split()):
+        return bool(_COMMENT.search(named)) or any(_HINT.fullmatch(x) for x in named.split())
     return bool((_COMMENT if tag in ("article", "main", "body", "html") else _HINT).search(named))
 
 

@@ -71,6 +71,9 @@ def test_revisits(spark):
         ("<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><article><h1>Head &eacute;</h1><p><b>One<br>two\n  three<p>Four</article><footer>foot</footer>", "Head é One two three Four"),
         ("<body><div class='sidebar'><p>" + "side " * 60 + "</p></div><main><p>" + "good " * 40 + "</p><div class=\"ad\">Buy</div><p>end.</p><section id=comments><p>I say " + "so " * 50 + "</section></main><script>var t='</p>';</script>", ("good " * 40 + "end.").strip()),
         ("<div><p>" + "word " * 50 + "</p><form><input><p>mail</p></form><!-- <p>no</p> --><p>last &#65;&nbsp;b", ("word " * 50 + "last A b").strip()),
+        ("<div class='entry related-work'><p>" + "long " * 60 + "</p></div><p>outside " + "it " * 40 + "</p>", ("long " * 60 + "outside " + "it " * 40).strip()),
+        ("<div class='post comments-area'><p>" + "long " * 60 + "</p></div><div class='entry sidebar'><p>" + "side " * 60 + "</p></div><p>" + "it " * 60 + "</p>", ("it " * 60).strip()),
+        ("<article><p>" + "text " * 40 + "<math><mi>x</mi></math> " + "text " * 20 + "</p></article>", ("text " * 40 + "x " + "text " * 20).strip()),
     ],
 )
 def test_main_text(page, text):
@@ -119,6 +122,21 @@ def test_nearest_reaches_recall_and_orders_ties(spark):
     assert ann.nearest(df.where("1 = 0")).count() == 0
 
 
+def test_rows_with_one_id_are_rows_of_their_own_and_blocks_lose_none(spark):
+    x = np.random.default_rng(1).standard_normal((400, 8)).astype(np.float32)
+    x[41] = x[40]
+    ids = np.array([i // 2 * 2 if i < 100 else i for i in range(400)])
+    df = spark.createDataFrame([(int(i), [float(v) for v in e]) for i, e in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, k=5, per_part=1000, slice_rows=30, block_rows=3).toPandas()
+    s = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    want = [tuple(sorted(zip(-s[i], ids), key=lambda p: (round(p[0], 9), p[1]))[:5]) for i in np.flatnonzero(ids % 20 == 0)]
+    assert len(got) == 5 * len(want)
+    of = lambda rows: sorted((int(q), tuple(v)) for q, v in rows)
+    # Rows of one id come out under it together, so their answers are compared as one list of neighbours.
+    assert of((q, sorted(g.vec_id)) for q, g in got.groupby("query_id")) == of((q, sorted(int(v) for i, w in zip(ids[ids % 20 == 0], want, strict=True) if i == q for _, v in w)) for q in set(ids[ids % 20 == 0]))
+
+
 def test_balanced_partition_is_balanced():
     rng = np.random.default_rng(0)
     x = ann.unit(rng.standard_normal((400, 8)))
