@@ -7,7 +7,7 @@ longer spells its pair and is skipped. So a word of n bytes takes n log n steps,
 Decoding concatenates the byte strings of the vocabulary; bytes that are no UTF-8 become U+FFFD.
 
 Nothing is shuffled: each row is encoded alone, so a hot source or a group of copies changes nothing, and a lost task is run again
-with the same result. A Python worker keeps the ids of at most `_STORE` distinct short words. A text is worked through in stretches of about
+with the same result. A Python worker keeps the ids of at most twice `_STORE` distinct short words. A text is worked through in stretches of about
 `_STRETCH` characters, whose digests are carried on, so memory beside the text itself is bounded but for a single word longer than that.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; a null doc_id stays null; repeated rows are encoded
@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -31,7 +32,7 @@ from .common import sliced, table
 
 #: How the pre-tokenizer cuts a text into words (a fixed value of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words that a Python worker keeps, none longer than _KEPT characters; beyond it the store starts anew.
+#: Distinct words that a Python worker keeps, in each of two halves, none longer than _KEPT characters.
 _STORE, _KEPT = 200_000, 64
 _STRETCH = 1 << 17
 
@@ -63,27 +64,36 @@ class ByteBpe:
         characters = byte_characters()
         to_byte = {c: b for b, c in enumerate(characters)}
         self.first = [vocabulary[c] for c in characters]
-        self.strings: dict[int, bytes] = {i: bytes(to_byte[c] for c in token) for token, i in vocabulary.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        known = {i: bytes(to_byte[c] for c in token) for token, i in vocabulary.items()}
+        known.update((t["id"], t["content"].encode()) for t in spec["added_tokens"])
+        #: The bytes of each id; ids that the file leaves out have none.
+        self.strings = [known.get(i, b"") for i in range(max(known) + 1)]
+        #: By left id and right id, the rank of their merge as the upper half of an entry of the queue; by rank, the pair and what it becomes.
+        self.ranks: list[dict[int, int]] = [{} for _ in self.strings]
+        self.pairs: list[tuple[int, int, int]] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocabulary[left], vocabulary[right]] = (rank, vocabulary[left + right])
+            self.pairs.append((vocabulary[left], vocabulary[right], vocabulary[left + right]))
+            self.ranks[vocabulary[left]][vocabulary[right]] = rank << 32
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings.update((i, token.encode()) for token, i in self.special.items())
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(WORDS)
         self.edge = regex.compile(r"(?<=\S)(?=\s)")
-        self.store: dict[str, list[int]] = {}
+        self.store = _Words(self)
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one word."""
-        ids = [self.first[b] for b in word]
-        last, merges = len(ids) - 1, self.merges
-        after, before = [*range(1, last + 1), -1], [*range(-1, last)]
-        queue = [(*found, i, ids[i], ids[i + 1]) for i in range(last) if (found := merges.get((ids[i], ids[i + 1])))]
+        ids, ranks, pairs = [self.first[b] for b in word], self.ranks, self.pairs
+        queue = [rank | i for i, (left, right) in enumerate(zip(ids, ids[1:])) if (rank := ranks[left].get(right)) is not None]
+        if not queue:
+            return ids
         heapq.heapify(queue)
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        after[-1] = -1
         while queue:
-            _, joined, i, left, right = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i = entry & 0xFFFFFFFF
+            left, right, joined = pairs[entry >> 32]
             j = after[i]
             # Stale: the symbol went into its left neighbour (-1), or one of the two has grown since.
             if ids[i] != left or j < 0 or ids[j] != right:
@@ -92,23 +102,13 @@ class ByteBpe:
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := merges.get((joined, ids[k])):
-                    heapq.heappush(queue, (*found, i, joined, ids[k]))
+                if (rank := ranks[joined].get(ids[k])) is not None:
+                    heapq.heappush(queue, rank | i)
             h = before[i]
-            if h >= 0 and (found := merges.get((ids[h], joined))):
-                heapq.heappush(queue, (*found, h, ids[h], joined))
+            if h >= 0 and (rank := ranks[ids[h]].get(joined)) is not None:
+                heapq.heappush(queue, rank | h)
         return [i for i in ids if i >= 0]
 
-    def _of(self, word: str) -> list[int]:
-        found = self.store.get(word)
-        if found is None:
-            found = self.merged(word.encode())
-            if len(word) <= _KEPT:
-                if len(self.store) >= _STORE:
-                    self.store.clear()
-                self.store[word] = found
-        return found
-
     def stretches(self, text: str) -> Iterator[list[int]]:
         """Ids of a text, in lists that follow one another. A text may be cut before any white space after another character, as no word goes on there."""
         for part in self.parts.split(text) if self.parts else [text]:
@@ -119,10 +119,7 @@ class ByteBpe:
             while at < len(part):
                 found = self.edge.search(part, at + _STRETCH) if len(part) - at > _STRETCH else None
                 to = found.start() if found else len(part)
-                of, ids = self._of, []
-                for word in self.words.findall(part, at, to):
-                    ids += of(word)
-                yield ids
+                yield list(chain.from_iterable(map(self.store.__getitem__, self.words.findall(part, at, to))))
                 at = to
 
     def encode(self, text: str) -> list[int]:
@@ -133,7 +130,27 @@ class ByteBpe:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; ids that the file does not have are left out."""
-        return b"".join(self.strings.get(i, b"") for i in ids).decode(errors="replace")
+        known = len(self.strings)
+        return self.joined([i for i in ids if 0 <= i < known]).decode(errors="replace")
+
+
+class _Words(dict):
+    """Ids by word. When _STORE words are in it they become the older half, in which a word is still found, and the half before them goes."""
+
+    def __init__(self, bpe: ByteBpe) -> None:
+        super().__init__()
+        self.bpe, self.older = bpe, {}
+
+    def __missing__(self, word: str) -> list[int]:
+        found = self.older.get(word)
+        if found is None:
+            found = self.bpe.merged(word.encode())
+        if len(word) <= _KEPT:
+            if len(self) >= _STORE:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
 
 
 _KNOWN: dict[str, ByteBpe] = {}
@@ -176,6 +193,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
+        decimal = [b"%d" % i for i in range(len(bpe.strings))]
         for batch in batches:
             for at, texts in sliced(batch, "text", 1 << 20):
                 count, of_ids, of_text = [], [], []
@@ -183,7 +201,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     n, spelt, back = 0, hashlib.sha256(), _Lossy()
                     for ids in bpe.stretches(text or ""):
                         if ids:
-                            spelt.update((b"," if n else b"") + ",".join(map(str, ids)).encode())
+                            spelt.update((b"," if n else b"") + b",".join(map(decimal.__getitem__, ids)))
                             back.update(bpe.joined(ids))
                             n += len(ids)
                     count.append(n)
