@@ -33,7 +33,7 @@ from .common import sliced, table
 #: How the pre-tokenizer cuts a text into words (a fixed value of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a Python worker keeps, in each of two halves, none longer than _KEPT characters.
-_STORE, _KEPT = 200_000, 64
+_STORE, _KEPT = 300_000, 64
 _STRETCH = 1 << 17
 
 
@@ -81,12 +81,12 @@ class ByteBpe:
         self.edge = regex.compile(r"(?<=\S)(?=\s)")
         self.store = _Words(self)
 
-    def merged(self, word: bytes) -> list[int]:
+    def merged(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word."""
         ids, ranks, pairs = [self.first[b] for b in word], self.ranks, self.pairs
         queue = [rank | i for i, (left, right) in enumerate(zip(ids, ids[1:])) if (rank := ranks[left].get(right)) is not None]
         if not queue:
-            return ids
+            return tuple(ids)
         heapq.heapify(queue)
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         after[-1] = -1
@@ -107,7 +107,7 @@ class ByteBpe:
             h = before[i]
             if h >= 0 and (rank := ranks[ids[h]].get(joined)) is not None:
                 heapq.heappush(queue, rank | h)
-        return [i for i in ids if i >= 0]
+        return tuple([i for i in ids if i >= 0])
 
     def stretches(self, text: str) -> Iterator[list[int]]:
         """Ids of a text, in lists that follow one another. A text may be cut before any white space after another character, as no word goes on there."""
@@ -141,7 +141,7 @@ class _Words(dict):
         super().__init__()
         self.bpe, self.older = bpe, {}
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         found = self.older.get(word)
         if found is None:
             found = self.bpe.merged(word.encode())
