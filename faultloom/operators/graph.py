@@ -128,51 +128,82 @@ def ranked_callers(calls: DataFrame, owners: DataFrame, anchors: DataFrame, most
     return edges.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most).select("case_id", "target", "caller", "position")
 
 
-def shortest_path(callers: DataFrame, targets: DataFrame, anchors: DataFrame, depth: int = 8, budget: int | None = 120) -> DataFrame:
-    """(case_id, target, path): from an anchor down to each target, breadth first over callers, first found in queue order.
+def shortest_path(callers: DataFrame, targets: DataFrame, anchors: DataFrame, depth: int = 8, budget: int = 120) -> DataFrame:
+    """(case_id, target, path): from an anchor down to each target, breadth first over callers, the first anchor that the queue reaches.
 
-    callers: (case_id, target, caller, position). All targets advance together, one equi-join a round; `budget` bounds the nodes that a
-    target visits.
+    callers: (case_id, target, caller, position), as `ranked_callers` gives them. All targets advance together, one level a round. A node's rank is its turn in its target's
+    queue: the levels before it, then its place by the turn of the caller's callee and the position. Only the first `budget` turns of a target are taken, and nodes
+    `depth` levels away are looked at but not followed; what a node leads to is bounded by `callers` alone.
     """
-    anchor = anchors.select("case_id", F.col("entity_id").alias("node"), F.lit(True).alias("at_anchor")).distinct()
+    anchor = anchors.select("case_id", F.col("entity_id").alias("node")).distinct()
     steps = callers.select("case_id", F.col("target").alias("node"), "caller", "position")
-    front = targets.select("case_id", F.col("entity_id").alias("target"), F.col("entity_id").alias("node"), F.array("entity_id").alias("path"), F.array(F.lit(0)).alias("queue")).distinct()
-    front = cut_lineage(front)
+    front = targets.select("case_id", F.col("entity_id").alias("target"), F.col("entity_id").alias("node"), F.lit(1).alias("rank"), F.array("entity_id").alias("path")).distinct()
+    front = cut_lineage(front.where(F.lit(budget) > 0))
     seen, found = front.select("case_id", "target", "node"), None
-    for _ in range(depth + 1):
-        hit = front.join(anchor, ["case_id", "node"]).groupBy("case_id", "target").agg(F.min_by("path", "queue").alias("path"))
-        found = cut_lineage(hit if found is None else found.unionByName(hit))
-        rest = front.join(found, ["case_id", "target"], "left_anti")
-        # The place in the queue is the list of positions on the way: it orders as the queue does.
-        following = rest.join(steps, ["case_id", "node"]).select("case_id", "target", F.col("caller").alias("node"), F.concat(F.array("caller"), "path").alias("path"), F.concat("queue", F.array("position")).alias("queue"))
-        following = following.groupBy("case_id", "target", "node").agg(F.min_by("path", "queue").alias("path"), F.min("queue").alias("queue"))
-        following = following.join(seen, ["case_id", "target", "node"], "left_anti")
-        if budget is not None:
-            used = seen.groupBy("case_id", "target").agg(F.count("*").alias("used"))
-            place = F.row_number().over(Window.partitionBy("case_id", "target").orderBy("queue"))
-            following = following.join(used, ["case_id", "target"]).where(F.col("used") < budget).withColumn("place", place).where(F.col("place") + F.col("used") <= budget).drop("place", "used")
-        front = cut_lineage(following)
+    own = Window.partitionBy("case_id", "target")
+    for level in range(depth + 1):
+        hit = front.join(anchor, ["case_id", "node"]).groupBy("case_id", "target").agg(F.min_by("path", "rank").alias("path"))
+        found = cut_lineage(hit) if found is None else found.unionByName(cut_lineage(hit))
+        if level == depth:
+            break
+        # The queue goes on behind the last turn of the level; those of equal rank and position are one node.
+        open_to = front.join(found, ["case_id", "target"], "left_anti").withColumn("last", F.max("rank").over(own))
+        reached = open_to.join(steps, ["case_id", "node"]).groupBy("case_id", "target", F.col("caller").alias("node")).agg(F.min_by(F.struct("path", "last"), F.struct("rank", "position")).alias("p"), F.min(F.struct("rank", "position")).alias("turn"))
+        reached = reached.join(seen, ["case_id", "target", "node"], "left_anti")
+        ranked = reached.withColumn("rank", F.col("p.last") + F.row_number().over(own.orderBy("turn"))).where(F.col("rank") <= budget)
+        front = cut_lineage(ranked.select("case_id", "target", "node", "rank", F.concat(F.array("node"), "p.path").alias("path")))
         if front.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(front.select("case_id", "target", "node")))
+        seen = seen.unionByName(front.select("case_id", "target", "node"))
     return found
 
 
-def lineage(types: DataFrame, inheritance: DataFrame, rounds: int = 32) -> DataFrame:
-    """(case_id, type_id, ancestor, depth): ancestors with the type itself at depth 0, each at its least depth; cycles end."""
-    up = inheritance.where("parent IS NOT NULL").select("case_id", F.col("child").alias("ancestor"), "parent").distinct()
-    front = cut_lineage(types.select("case_id", "type_id", F.col("type_id").alias("ancestor")).distinct())
-    out, parts = front, [front.withColumn("depth", F.lit(0))]
-    for depth in range(1, rounds + 1):
-        front = cut_lineage(front.join(up, ["case_id", "ancestor"]).select("case_id", "type_id", F.col("parent").alias("ancestor")).distinct().join(out, ["case_id", "type_id", "ancestor"], "left_anti"))
-        if front.isEmpty():
-            break
-        parts.append(front.withColumn("depth", F.lit(depth)))
-        out = out.unionByName(front)
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+def nearest_anchor_path(callers: DataFrame, targets: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(case_id, target, path): as `shortest_path` without a bound of depth or turns, in rounds that double the length.
+
+    Of each node the nearest anchor within less than `reach` steps is known, and of nodes without one where exactly `reach` steps lead; there the nearest anchor of such a place is
+    theirs too. Ties go to the path whose positions come first, which is the queue's order; a path's parts are then the first of theirs. Walks are
+    longer than any shortest path once `reach` passes the number of nodes.
+    """
+    steps = callers.select("case_id", F.col("target").alias("node"), F.col("caller").alias("to"), F.array("position").alias("order"), F.array("caller").alias("way")).where("node <> to")
+    every = steps.select("case_id", "node").unionByName(steps.select("case_id", F.col("to").alias("node"))).distinct()
+    most = every.groupBy("case_id").count().agg(F.max("count")).first()[0] or 0
+    anchor = anchors.select("case_id", F.col("entity_id").alias("node")).distinct()
+    none = F.array().cast("array<int>")
+    # way: from the node's caller up to the anchor.
+    near = cut_lineage(anchor.select("case_id", "node", none.alias("order"), F.array().cast("array<string>").alias("way")))
+    first = steps.groupBy("case_id", "node", "to").agg(F.min_by("way", "order").alias("way"), F.min("order").alias("order"))
+    walks, reach = cut_lineage(first.join(anchor, ["case_id", "node"], "left_anti")), 1
+    beyond = lambda rows: rows.select("case_id", F.col("node").alias("to"), F.col("order").alias("next_order"), F.col("way").alias("next_way"), *(F.col(c).alias("next_to") for c in rows.columns if c == "to"))
+    joined = [F.concat("order", "next_order").alias("order"), F.concat("way", "next_way").alias("way")]
+    while reach <= most and not walks.isEmpty():
+        hit = walks.join(beyond(near), ["case_id", "to"]).select("case_id", "node", *joined)
+        hit = cut_lineage(hit.groupBy("case_id", "node").agg(F.min_by("way", F.struct(F.size("order"), "order")).alias("way"), F.min(F.struct(F.size("order").alias("n"), "order")).alias("o")).select("case_id", "node", F.col("o.order").alias("order"), "way"))
+        near = near.unionByName(hit)
+        left = walks.join(hit, ["case_id", "node"], "left_anti")
+        longer = left.join(beyond(walks), ["case_id", "to"]).select("case_id", "node", F.col("next_to").alias("to"), *joined)
+        walks = cut_lineage(longer.groupBy("case_id", "node", "to").agg(F.min_by("way", "order").alias("way"), F.min("order").alias("order")))
+        reach *= 2
+    wanted = targets.select("case_id", F.col("entity_id").alias("node")).distinct()
+    return near.join(wanted, ["case_id", "node"], "left_semi").select("case_id", F.col("node").alias("target"), F.concat(F.reverse("way"), F.array("node")).alias("path"))
+
+
+def lineage(types: DataFrame, inheritance: DataFrame) -> DataFrame:
+    """(case_id, type_id, ancestor, depth): ancestors with the type itself at depth 0, each at its least depth; cycles end.
+
+    Each round doubles the depth that is known: what lies at exactly the last depth goes on by all that is known from there, so a chain of n takes log n rounds and
+    each pair is made once.
+    """
+    up = inheritance.where("parent IS NOT NULL AND parent <> child").select("case_id", F.col("child").alias("type_id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+    every = types.select("case_id", "type_id").unionByName(up.select("case_id", "type_id")).distinct()
+    known, reach = cut_lineage(every.select("case_id", "type_id", F.col("type_id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(up)), 1
+    while True:
+        on = known.where("depth > 0").select("case_id", F.col("type_id").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        longer = known.where(F.col("depth") == reach).join(on, ["case_id", "ancestor"]).groupBy("case_id", "type_id", F.col("further").alias("ancestor")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
+        longer = cut_lineage(longer.join(known, ["case_id", "type_id", "ancestor"], "left_anti"))
+        if longer.isEmpty():
+            return known.join(types.select("case_id", "type_id").distinct(), ["case_id", "type_id"], "left_semi")
+        known, reach = known.unionByName(longer), 2 * reach
 
 
 def prune(edges: DataFrame, covered: DataFrame) -> DataFrame:

@@ -120,15 +120,15 @@ def n4_ranked_callers(spark, sf_dir):
 def n5_shortest_paths(spark, sf_dir):
     own = view(spark, sf_dir, _OWNERS)
     callers = graph.ranked_callers(view(spark, sf_dir, _CALLS), own, own.where("p_size = 1"))
-    found = graph.shortest_path(callers, own, own.where("p_size = 1"), budget=None)
-    return found.select("case_id", "target", F.size("path").cast("long").alias("n_nodes"))
+    found = graph.shortest_path(callers, own, own.where("p_size = 1"))
+    return found.select("case_id", "target", F.array_join("path", ">").alias("path"))
 
 
 def n6_executed_paths(spark, sf_dir):
     own, calls = view(spark, sf_dir, _OWNERS), view(spark, sf_dir, _CALLS)
-    callers = graph.ranked_callers(calls, own, own.where("1 = 0"), most=1 << 30)
-    found = graph.shortest_path(callers, own, own.where("p_size = 2"), depth=64, budget=None)
-    return found.select("case_id", "target", F.element_at("path", 1).alias("anchor"), F.size("path").cast("long").alias("n_nodes")).drop("anchor")
+    callers = graph.ranked_callers(calls, own.withColumn("owner", F.lit("")), own.where("1 = 0"), most=1 << 30)
+    found = graph.nearest_anchor_path(callers, own, own.where("p_size = 2"))
+    return found.select("case_id", "target", F.array_join("path", ">").alias("path"))
 
 
 def n7_lineage(spark, sf_dir):
@@ -150,10 +150,32 @@ def n9_adjacency(spark, sf_dir):
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] in "gn" and name[1:2].isdigit()}
 
 _REL = "SELECT DISTINCT case_id, source, kind, target, provenance FROM (" + duck(RELATIONS) + ")"
-_BFS = """
-WITH RECURSIVE c AS (SELECT DISTINCT source, target FROM calls), o AS (SELECT * FROM own),
-b AS (SELECT entity_id AS target, entity_id AS node, 1 AS n FROM o UNION SELECT b.target, c.source, n + 1 FROM b JOIN c ON c.target = b.node WHERE n < {depth} AND b.node NOT IN (SELECT entity_id FROM o WHERE p_size = {size}))
-SELECT 'parts' AS case_id, b.target, min(n)::BIGINT AS n_nodes FROM b JOIN o ON o.entity_id = b.node AND p_size = {size} GROUP BY b.target"""
+def _levels(depth: int, budget: int) -> str:
+    """The queue of each target, level by level, with the turn that each node has in it."""
+    out = "WITH callers AS ({callers}), anchor AS (SELECT entity_id AS node FROM own WHERE p_size = 1), f0 AS MATERIALIZED (SELECT entity_id AS target, entity_id AS node, 1 AS rank, entity_id AS path FROM own), s0 AS (SELECT target, node FROM f0)"
+    for k in range(depth + 1):
+        before = f"SELECT * FROM h{k - 1} UNION ALL" if k else ""
+        out += f""",
+h{k} AS MATERIALIZED ({before} SELECT target, arg_min(path, rank) AS path FROM f{k} JOIN anchor USING (node) GROUP BY target)"""
+        if k < depth:
+            out += f""",
+w{k} AS (SELECT f.target, c.caller AS node, f.rank, c.position, f.path, f.last FROM (SELECT *, max(rank) OVER (PARTITION BY target) AS last FROM f{k} ANTI JOIN h{k} USING (target)) f JOIN callers c ON c.target = f.node QUALIFY row_number() OVER (PARTITION BY f.target, c.caller ORDER BY f.rank, c.position) = 1),
+f{k + 1} AS MATERIALIZED (SELECT target, node, last + row_number() OVER (PARTITION BY target ORDER BY w.rank, position) AS rank, node || '>' || path AS path FROM w{k} w ANTI JOIN s{k} USING (target, node) QUALIFY last + row_number() OVER (PARTITION BY target ORDER BY w.rank, position) <= {budget}),
+s{k + 1} AS MATERIALIZED (SELECT * FROM s{k} UNION ALL SELECT target, node FROM f{k + 1})"""
+    return out + f"\nSELECT 'parts' AS case_id, target, path FROM h{depth}"
+
+
+_RANKED = """SELECT target, caller, position FROM (SELECT c.target, caller, row_number() OVER (PARTITION BY c.target ORDER BY o.p_size = 1 DESC, o.owner = coalesce(t.owner, '') DESC, caller) AS position
+    FROM (SELECT DISTINCT source AS caller, target FROM calls) c LEFT JOIN own o ON o.entity_id = caller LEFT JOIN own t ON t.entity_id = c.target) WHERE position <= 100"""
+#: Any shortest walk to an anchor, and of these the one whose callers come first from the target on.
+_NEAREST = """
+WITH RECURSIVE c AS MATERIALIZED (SELECT target, caller, row_number() OVER (PARTITION BY target ORDER BY caller) AS position FROM (SELECT DISTINCT target, source AS caller FROM calls)), anchor AS MATERIALIZED (SELECT entity_id AS node FROM own WHERE p_size = 2),
+b AS (SELECT entity_id AS target, entity_id AS node, 1 AS n FROM own UNION SELECT b.target, c.caller, n + 1 FROM b JOIN c ON c.target = b.node WHERE b.node NOT IN (SELECT node FROM anchor)),
+far AS MATERIALIZED (SELECT node AS target, node, 0 AS left_over FROM anchor UNION ALL SELECT b.target, NULL, min(n) - 1 FROM b JOIN anchor USING (node) WHERE b.target NOT IN (SELECT node FROM anchor) GROUP BY b.target),
+d AS MATERIALIZED (SELECT target, left_over FROM far),
+next AS MATERIALIZED (SELECT c.target, arg_min(c.caller, c.position) AS caller FROM c JOIN d me ON me.target = c.target JOIN d up ON up.target = c.caller AND up.left_over = me.left_over - 1 WHERE me.left_over > 0 GROUP BY c.target),
+walk AS (SELECT target, target AS node, target AS path FROM d UNION ALL SELECT w.target, n.caller, n.caller || '>' || w.path FROM walk w JOIN next n ON n.target = w.node)
+SELECT 'parts' AS case_id, target, path FROM walk WHERE node IN (SELECT node FROM anchor)"""
 SQL = {
     "g1_duplicate_entities": with_views("SELECT case_id, method_id AS entity_id, count(*) AS copies FROM named GROUP BY ALL HAVING count(*) > 1", named=_NAMED),
     "g2_relations": with_views("SELECT case_id, kind, provenance, count(*) AS edges, count(*) AS ids, 29 AS id_length FROM rel GROUP BY case_id, kind, provenance", rel=_REL),
@@ -198,8 +220,8 @@ SELECT case_id, node, direction, kind, neighbour, neighbour_name, total, count(*
 WITH c AS (SELECT DISTINCT case_id, source AS caller, target FROM calls)
 SELECT * FROM (SELECT c.case_id, c.target, caller, row_number() OVER (PARTITION BY c.case_id, c.target ORDER BY o.p_size = 1 DESC, o.owner = coalesce(t.owner, '') DESC, caller)::INT AS position
     FROM c LEFT JOIN own o ON o.entity_id = caller LEFT JOIN own t ON t.entity_id = c.target) WHERE position <= 100""", calls=_CALLS, own=_OWNERS),
-    "n5_shortest_paths": with_views(_BFS.replace("{depth}", "9").replace("{size}", "1"), calls=_CALLS, own=_OWNERS),
-    "n6_executed_paths": with_views(_BFS.replace("{depth}", "65").replace("{size}", "2"), calls=_CALLS, own=_OWNERS),
+    "n5_shortest_paths": with_views(_levels(8, 120).replace("{callers}", _RANKED), calls=_CALLS, own=_OWNERS),
+    "n6_executed_paths": with_views(_NEAREST, calls=_CALLS, own=_OWNERS),
     "n7_lineage": with_views("""
 WITH RECURSIVE r AS (SELECT DISTINCT case_id, child AS type_id, child AS ancestor, 0 AS depth FROM h UNION SELECT r.case_id, r.type_id, h.parent, depth + 1 FROM r JOIN h ON h.child = r.ancestor WHERE h.parent IS NOT NULL)
 SELECT case_id, type_id, ancestor, min(depth) AS depth FROM r GROUP BY ALL""", h=_HIERARCHY),
