@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .containment import substring_pairs
+
 
 def resolve_symbols(symbols: DataFrame, functions: DataFrame, known: DataFrame) -> DataFrame:
     """(case_id, symbol, method_id, candidates): by alias, else by the name without compiler parts if it is unique."""
@@ -162,7 +164,7 @@ def keyword_files(reports: DataFrame, paths: DataFrame, most: int = 8, terms: in
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z_][a-z0-9_]{3,})")), lambda w: ~w.isin(STOP_WORDS))
     asked = reports.select("case_id", F.explode(F.slice(F.array_distinct(words), 1, terms)).alias("term"))
     parts = paths.select("path", F.posexplode(F.split(F.lower("path"), "/")).alias("pos", "part"), F.size(F.split("path", "/")).alias("n"))
-    hits = parts.select("part").distinct().join(asked.select("term").distinct(), F.contains("part", "term"))
+    hits = substring_pairs(parts.select(F.col("part").alias("text")), asked, []).withColumnRenamed("text", "part")
     found = parts.join(hits, "part").groupBy("path", "term").agg(F.max((F.col("pos") == F.col("n") - 1).cast("int")).alias("last"))
     scored = found.join(asked, "term").groupBy("case_id", "path").agg((100 * F.count("*") + 25 * F.sum("last")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), F.length("path"), F.desc("path")))

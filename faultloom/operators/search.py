@@ -1,7 +1,7 @@
 """Search over entities and texts: substring and prefix search, BM25, paging, budgets.
 
 Tables carry case_id. Postings are rows (case_id, term, doc_id, tf), never lists per term, so a very frequent term stays spread over
-tasks; predicates on terms run over the distinct terms and reach the postings by an equi-join.
+tasks; predicates on terms run over the distinct terms, by the indexes of `containment`, and reach the postings by an equi-join.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens, search_terms
+from .containment import prefix_pairs, substring_pairs
+from .lineage import cut_lineage
 
 
 def search_document(entity_id: Column, name: Column, content: Column) -> Column:
@@ -28,6 +30,15 @@ def document_lengths(docs: DataFrame, tokens: Column) -> DataFrame:
     return own.join(whole, "case_id")
 
 
+def bm25_tables(docs: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """`postings` and `document_lengths` of texts that are cut into tokens once: the counted terms are written, with the length of their document."""
+    own = docs.select("case_id", "doc_id", tokens.alias("tokens")).select("case_id", "doc_id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
+    counted = cut_lineage(own.groupBy("case_id", "doc_id", "length", "term").agg(F.count("*").alias("tf")))
+    sizes = counted.select("case_id", "doc_id", "length").distinct()
+    whole = sizes.groupBy("case_id").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    return counted.where("term IS NOT NULL").select("case_id", "term", "doc_id", "tf"), sizes.join(whole, "case_id")
+
+
 def bm25_topk(index: DataFrame, lengths: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(case_id, query_id, doc_id, score, rank): best first, ties to the smaller id. queries: (case_id, query_id, query, top_k)."""
     terms = queries.where("top_k > 0").select("case_id", "query_id", "top_k", F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("term"))
@@ -50,8 +61,7 @@ def term_search(entities: DataFrame, queries: DataFrame) -> DataFrame:
     doc = search_document(F.col("entity_id"), F.col("name"), F.col("content"))
     runs = entities.select("case_id", "entity_id", F.explode(F.array_distinct(F.regexp_extract_all(doc, F.lit("([a-z0-9_]+)")))).alias("run"))
     asked = queries.select("case_id", "query_id", F.explode(search_terms(F.col("query"))).alias("term"))
-    known, sought = runs.select("case_id", "run").distinct().alias("k"), asked.select("case_id", "term").distinct().alias("s")
-    hits = known.join(sought, (F.col("k.case_id") == F.col("s.case_id")) & F.contains("k.run", "s.term")).select("k.case_id", "run", "term")
+    hits = substring_pairs(runs.select("case_id", F.col("run").alias("text")), asked, ["case_id"]).withColumnRenamed("text", "run")
     found = runs.join(hits, ["case_id", "run"]).select("case_id", "entity_id", "term").distinct()
     scored = found.join(asked, ["case_id", "term"]).groupBy("case_id", "query_id", "entity_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     joined = scored.join(entities.select("case_id", "entity_id", "name", "method_id", "observed"), ["case_id", "entity_id"]).join(queries.select("case_id", "query_id", "query"), ["case_id", "query_id"])
@@ -69,10 +79,9 @@ def prefix_search(entities: DataFrame, queries: DataFrame, k1: float = 1.5, b: f
     doc = search_document(F.col("entity_id"), F.col("name"), F.col("content"))
     tokens = F.regexp_extract_all(doc, F.lit("([a-z0-9_]+)"))
     docs = entities.withColumn("doc_id", F.col("entity_id"))
-    index, lengths = postings(docs, tokens), document_lengths(docs, tokens)
+    index, lengths = cut_lineage(postings(docs, tokens)), document_lengths(docs, tokens)
     asked = queries.select("case_id", "query_id", F.explode(search_terms(F.col("query"))).alias("prefix"))
-    known, sought = index.select("case_id", "term").distinct().alias("k"), asked.select("case_id", "prefix").distinct().alias("s")
-    hits = known.join(sought, (F.col("k.case_id") == F.col("s.case_id")) & F.startswith("k.term", "s.prefix")).select("k.case_id", "term", "prefix")
+    hits = prefix_pairs(index.select("case_id", F.col("term").alias("text")), asked, ["case_id"]).withColumnRenamed("text", "term")
     summed = index.join(hits, ["case_id", "term"]).groupBy("case_id", "prefix", "doc_id").agg(F.sum("tf").alias("tf"))
     df = summed.groupBy("case_id", "prefix").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -28,8 +28,8 @@ def q4_bm25_stats(spark, sf_dir):
 
 
 def q5_bm25_topk(spark, sf_dir):
-    docs, tokens = view(spark, sf_dir, _DOCS), code_tokens(F.col("text"))
-    return search.bm25_topk(search.postings(docs, tokens), search.document_lengths(docs, tokens), view(spark, sf_dir, _BENCH))
+    index, lengths = search.bm25_tables(view(spark, sf_dir, _DOCS), code_tokens(F.col("text")))
+    return search.bm25_topk(index, lengths, view(spark, sf_dir, _BENCH))
 
 
 def q1_term_search(spark, sf_dir):
