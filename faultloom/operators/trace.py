@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 _CALL = ["case_id", "test_id", "thread"]
 
 
@@ -51,9 +53,9 @@ def probe_order(stack: DataFrame) -> DataFrame:
 
 
 def method_numbers(events: DataFrame) -> DataFrame:
-    """(case_id, method_id, number): dense numbers from 0 in order of first sighting; one row a method is ranked."""
+    """(case_id, method_id, number): dense numbers from 0 in order of first sighting; a case's methods are ranked in ranges."""
     first = events.where("kind = 'enter'").groupBy("case_id", "method_id").agg(F.min("seq").alias("seq"))
-    return first.withColumn("number", F.row_number().over(Window.partitionBy("case_id").orderBy("seq", "method_id")) - 1).drop("seq")
+    return numbered(first, ["case_id"], ["seq", "method_id"], "place").select("case_id", "method_id", (F.col("place") - 1).cast("int").alias("number"))
 
 
 def outcomes(runs: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """(case_id, path, change) of files (case_id, path, sha256): added, deleted, changed or unchanged."""
@@ -35,8 +37,7 @@ def refresh(nodes: DataFrame, edges: DataFrame, touched: DataFrame, new_nodes: D
     kept = nodes.join(touched.select("case_id", "file"), ["case_id", "file"], "left_anti")
     top = nodes.groupBy("case_id").agg(F.max("node_id").alias("top"))
     matched = new_nodes.select("case_id", "entity_id", "file").join(gone.select("case_id", "entity_id", "node_id"), ["case_id", "entity_id"], "left")
-    rank = F.row_number().over(Window.partitionBy("case_id").orderBy("entity_id"))
-    fresh = matched.where("node_id IS NULL").withColumn("rank", rank).join(top, "case_id", "left")
+    fresh = numbered(matched.where("node_id IS NULL"), ["case_id"], ["entity_id"], "rank").join(top, "case_id", "left")
     fresh = fresh.select("case_id", "entity_id", "file", (F.coalesce("top", F.lit(0)) + F.col("rank")).alias("node_id"))
     after = kept.select("case_id", "entity_id", "file", "node_id").unionByName(matched.where("node_id IS NOT NULL")).unionByName(fresh)
     lost = gone.select("case_id", "entity_id").join(new_nodes.select("case_id", "entity_id"), ["case_id", "entity_id"], "left_anti")
@@ -64,14 +65,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def round_robin(bugs: DataFrame, done: DataFrame) -> DataFrame:
     """(project, bug_id, position): the i-th open bug of every project in project order, then the next ones.
 
-    bugs: (project, project_pos, bug_id); invalid ids and finished bugs are left out. The queue's global number comes from counts per round.
+    bugs: (project, project_pos, bug_id); invalid ids and finished bugs are left out. Both the turn within a project and the place in the queue are numbered in ranges.
     """
-    valid = bugs.where(F.col("bug_id").rlike("^[0-9]+$")).join(done, ["project", "bug_id"], "left_anti")
-    turn = F.row_number().over(Window.partitionBy("project").orderBy(F.col("bug_id").cast("long"))) - 1
-    held = valid.withColumn("turn", turn)
-    rounds = held.groupBy("turn").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("turn")) - F.col("n")).drop("n")
-    place = F.row_number().over(Window.partitionBy("turn").orderBy("project_pos"))
-    return held.withColumn("place", place).join(rounds, "turn").select("project", "bug_id", "turn", (F.col("before") + F.col("place")).alias("position"))
+    valid = bugs.where(F.col("bug_id").rlike("^[0-9]+$")).join(done, ["project", "bug_id"], "left_anti").withColumn("id", F.col("bug_id").cast("long"))
+    held = numbered(valid, ["project"], ["id"], "place").withColumn("turn", (F.col("place") - 1).cast("int"))
+    return numbered(held, [], ["turn", "project_pos", "project"], "position").select("project", "bug_id", "turn", "position")
 
 
 def tally(queue: DataFrame, results: DataFrame) -> DataFrame:
