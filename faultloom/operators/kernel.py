@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,61 +62,72 @@ def definition_uses(definitions: DataFrame, uses: DataFrame) -> tuple[DataFrame,
     return best, twice
 
 
-_CALLS = "array<struct<call_index:int,name:string,arguments:string,definitions:array<string>,uses:array<string>>>"
+_SCANNED = "struct<calls:array<struct<call_index:int,name:string,arguments:string,definitions:array<struct<reference:string,position:string>>,uses:array<struct<reference:string,position:string>>>>,error:string>"
 
 
-def program_calls(programs: DataFrame) -> DataFrame:
-    """(case_id, call_index, name, arguments, definitions, uses) of program texts (case_id, text).
+def scan_programs(programs: DataFrame) -> DataFrame:
+    """(case_id, calls, error) of program texts (case_id, text), each scanned once as a whole.
 
-    A call is "[rN = ]name(arguments)" up to the bracket that closes it; brackets, quotes and comments within it are minded, and "<rN=>" inside
-    defines rN. The scan of a text is one pass of a small state machine.
+    A call is "[rN = ]name(arguments)" and may go over several lines: a line ends it only where no bracket is open. Quotes and comments hide what is in them; what follows
+    the closing bracket is no argument. "<rN=>" within arguments defines rN; positions are "return" or "arguments@offset" in characters. A program that can't be read to its end has
+    no calls but an error, so that calls are never numbered anew: unclosed string, unbalanced brackets, no call, unclosed call. A null text has neither.
     """
 
-    @F.pandas_udf(_CALLS)
-    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(_SCANNED)
+    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
-            yield pd.Series([_scan(t or "") for t in part], dtype=object)
+            found = [_scan(t or "") for t in part]
+            yield pd.DataFrame({"calls": [c for c, _ in found], "error": [e for _, e in found]}, dtype=object)
 
-    return programs.select("case_id", F.explode(scan("text")).alias("c")).select("case_id", "c.*")
+    return programs.select("case_id", scan("text").alias("s")).select("case_id", "s.*")
 
 
-def _scan(text: str) -> list[dict]:
-    import re
+def program_calls(scanned: DataFrame) -> DataFrame:
+    """(case_id, call_index, name, arguments, definitions, uses) of scanned programs without an error."""
+    return scanned.where("error IS NULL").select("case_id", F.explode("calls").alias("c")).select("case_id", "c.*")
 
-    out: list[dict] = []
-    for line in text.splitlines():
-        line = line.strip()
-        m = re.match(r"(?:(r\d+)\s*=\s*)?([A-Za-z_][\w$]*)\(", line)
-        if line.startswith("#") or not m:
+
+def program_errors(scanned: DataFrame) -> DataFrame:
+    """(case_id, error) of scanned programs that are malformed."""
+    return scanned.where("error IS NOT NULL").select("case_id", "error")
+
+
+#: Strings and comments; a quote that nothing closes is left as the last kind.
+_HIDDEN = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|#[^\n]*|(?P<loose>[\"'])", re.S)
+_CALL_HEAD = re.compile(r"\s*(?:(r\d+)\s*=\s*)?([A-Za-z_][\w$]*)\s*\(")
+_DEFINES = re.compile(r"<\s*(r\d+)\s*=>")
+
+
+def _scan(text: str) -> tuple[list[dict], str | None]:
+    """Calls of a program, or an error."""
+    if any(m["loose"] for m in _HIDDEN.finditer(text)):
+        return [], "unclosed string"
+    plain = _HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text) + "\n"
+    calls, begin, depth = [], 0, 0
+    for mark in re.finditer(r"[\n()\[\]{}]", plain):
+        depth += (mark[0] in "([{") - (mark[0] in ")]}")
+        if depth < 0:
+            return [], "unbalanced brackets"
+        if mark[0] != "\n" or depth:
             continue
-        depth, quote, masked, end = 1, "", [], len(line)
-        i = m.end()
-        while i < len(line):
-            ch = line[i]
-            if quote:
-                if ch == "\\":
-                    masked.append("  ")
-                    i += 2
-                    continue
-                quote = "" if ch == quote else quote
-                masked.append(" ")
-            elif ch in "'\"":
-                quote = ch
-                masked.append(" ")
-            else:
-                depth += (ch in "([{") - (ch in ")]}")
-                if not depth:
-                    end = i
-                    break
-                masked.append(ch)
-            i += 1
-        if depth:
+        segment, at, begin = plain[begin : mark.start()], begin, mark.end()
+        if not segment.strip():
             continue
-        bare = "".join(masked)
-        inner = re.findall(r"<(r\d+)=>", bare)
-        used = [x for x in re.findall(r"\br\d+\b", re.sub(r"<r\d+=>", "", bare))]
-        out.append({"call_index": len(out), "name": m[2], "arguments": line[m.end() : end], "definitions": [*([m[1]] if m[1] else []), *inner], "uses": used})
-    return out
+        head = _CALL_HEAD.match(segment)
+        if head is None:
+            return [], "no call"
+        # The bracket that closes the call: where as many round ones are closed as opened.
+        inner = 1
+        close = next((m.start() for m in re.finditer(r"[()]", segment[head.end() :]) if not (inner := inner + (1 if m[0] == "(" else -1))), None)
+        if close is None:
+            return [], "unclosed call"
+        body = segment[head.end() : head.end() + close]
+        defined = [(m[1], m.start(), m.end()) for m in _DEFINES.finditer(body)]
+        used = [(m[0], m.start()) for m in re.finditer(r"\br\d+\b", body) if not any(a <= m.start() < b for _, a, b in defined)]
+        place = lambda r, i: {"reference": r, "position": f"arguments@{i}"}
+        own = [{"reference": head[1], "position": "return"}] if head[1] else []
+        calls.append({"call_index": len(calls), "name": head[2], "arguments": text[at + head.end() : at + head.end() + close], "definitions": [*own, *(place(r, a) for r, a, _ in defined)], "uses": [place(*u) for u in used]})
+    return ([], "unbalanced brackets") if depth else (calls, None)
 
 
 def reproducer_calls(calls: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -104,12 +104,16 @@ def k5_double_definitions(spark, sf_dir):
 
 
 def k6_program_calls(spark, sf_dir):
+    """Calls of each user's program, and the errors of the programs of each tenth that have a call without an end, or a line that is none."""
     e = table(spark, sf_dir, "events")
-    k = F.regexp_extract("props", "([0-9]+)", 1)
-    line = F.when(F.col("event_type") == "signup", F.concat(F.lit("r"), k, F.lit(" = openat(0x0, &(0x7f)='a)\\x00', 0x0)"))).when(F.col("event_type") == "error", F.lit("# comment(")).when(F.col("event_type") == "click", F.concat(F.lit("ioctl$A(r"), k, F.lit(", {<r9=>0x0})"))).otherwise(F.lit("broken((0x0)"))
+    k, user = F.regexp_extract("props", "([0-9]+)", 1), F.col("user_id") % 10
+    line = F.when(F.col("event_type") == "signup", F.concat(F.lit("r"), k, F.lit(" = openat(0x0,\n  &(0x7f)='a)\\x00', 0x0)"))).when(F.col("event_type") == "error", F.lit("# comment("))
+    line = line.when(F.col("event_type") == "click", F.concat(F.lit("ioctl$A(r"), k, F.lit(", {<r9=>0x0}) (fail_nth: 1)"))).when(user == 0, F.lit("broken((0x0)")).when(user == 1, F.lit("bad line")).otherwise(F.concat(F.lit("close(r"), k, F.lit(")")))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n")
-    out = kernel.program_calls(e.groupBy(F.col("user_id").cast("string").alias("case_id")).agg(listed.alias("text")))
-    return out.select("case_id", "call_index", "name", "arguments", F.array_join("definitions", ",").alias("definitions"), F.array_join("uses", ",").alias("uses"))
+    scanned = kernel.scan_programs(e.groupBy(F.col("user_id").cast("string").alias("case_id")).agg(listed.alias("text")))
+    flat = lambda c: F.array_join(F.transform(c, lambda d: F.concat_ws("@", d["reference"], F.replace(d["position"], F.lit("arguments@"), F.lit("")))), ",")
+    calls = kernel.program_calls(scanned).select("case_id", "call_index", "name", "arguments", flat("definitions").alias("definitions"), flat("uses").alias("uses"), F.lit(None).cast("string").alias("error"))
+    return calls.unionByName(kernel.program_errors(scanned), allowMissingColumns=True)
 
 
 def k7_reproducer_calls(spark, sf_dir):
@@ -221,9 +225,13 @@ SELECT e.case_id, x.method_id AS caller, y.method_id AS callee, sum(n)::BIGINT A
     "k5_definition_uses": with_views("SELECT u.case_id, u.reference, u.call, max(d.call) FILTER (d.call < u.call) AS defined_by FROM uses u LEFT JOIN defs d ON d.case_id = u.case_id AND d.reference = u.reference GROUP BY ALL", defs=_DEFS, uses=_USES),
     "k5_double_definitions": with_views("SELECT case_id, reference, count(*) AS definitions FROM defs GROUP BY ALL HAVING count(*) > 1", defs=_DEFS),
     "k6_program_calls": """
-WITH c AS (SELECT user_id::VARCHAR AS case_id, event_type, regexp_extract(props, '([0-9]+)', 1) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events WHERE event_type IN ('signup', 'click'))
-SELECT case_id, i::INT AS call_index, CASE event_type WHEN 'signup' THEN 'openat' ELSE 'ioctl$A' END AS name, CASE event_type WHEN 'signup' THEN '0x0, &(0x7f)=''a)\\x00'', 0x0' ELSE 'r' || k || ', {<r9=>0x0}' END AS arguments,
-    CASE event_type WHEN 'signup' THEN 'r' || k ELSE 'r9' END AS definitions, CASE event_type WHEN 'signup' THEN '' ELSE 'r' || k END AS uses FROM c""".replace("\\\\x00", "\\x00"),
+WITH e AS (SELECT user_id::VARCHAR AS case_id, user_id % 10 AS u, event_id, event_type, regexp_extract(props, '([0-9]+)', 1) AS k FROM events),
+bad AS (SELECT case_id, CASE u WHEN 0 THEN 'unbalanced brackets' ELSE 'no call' END AS error FROM e WHERE u < 2 AND event_type NOT IN ('signup', 'error', 'click') GROUP BY ALL),
+c AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY event_id) - 1 AS i FROM e ANTI JOIN bad USING (case_id) WHERE event_type <> 'error')
+SELECT case_id, i::INT AS call_index, CASE event_type WHEN 'signup' THEN 'openat' WHEN 'click' THEN 'ioctl$A' ELSE 'close' END AS name,
+    CASE event_type WHEN 'signup' THEN '0x0,' || chr(10) || '  &(0x7f)=''a)\\x00'', 0x0' WHEN 'click' THEN 'r' || k || ', {<r9=>0x0}' ELSE 'r' || k END AS arguments,
+    CASE event_type WHEN 'signup' THEN 'r' || k || '@return' WHEN 'click' THEN 'r9@' || (len(k) + 4) ELSE '' END AS definitions, CASE event_type WHEN 'signup' THEN '' ELSE 'r' || k || '@0' END AS uses, NULL::VARCHAR AS error FROM c
+UNION ALL SELECT case_id, NULL, NULL, NULL, NULL, NULL, error FROM bad""",
     "k7_reproducer_calls": """
 WITH c AS (SELECT l_orderkey::VARCHAR AS case_id, l_partkey AS pos, min(l_suppkey) AS s FROM lineitem GROUP BY ALL)
 SELECT case_id, (row_number() OVER (PARTITION BY case_id ORDER BY pos) - 1)::INT AS call_index, CASE WHEN s % 3 = 0 THEN CASE WHEN s % 2 = 0 THEN 'ioctl$CMD' || s ELSE 'ioctl' END ELSE 'openat' END AS name FROM c WHERE s % 3 < 2""",

@@ -129,9 +129,23 @@ def test_junit_reports(spark):
 
 
 def test_program_calls_mind_brackets(spark):
-    program = "r0 = openat(0x0, &(0x7f)='a)\\x00', 0x0)\n# no(\nioctl(r0, {<r1=>0x0, [r0]})\nclose(r1\n"
-    got = kernel.program_calls(spark.createDataFrame([("c", program), ("d", None)], "case_id string, text string")).orderBy("call_index").collect()
-    assert [(r.call_index, r.name, list(r.definitions), list(r.uses)) for r in got] == [(0, "openat", ["r0"], []), (1, "ioctl", ["r1"], ["r0", "r0"])]
+    program = "r0 = openat(0x0, &(0x7f)='a)\\x00',\n  0x0) (rerun: 2)\n# no(\nioctl(r0, {< r1 =>0x0, [r0]}) # r5)\n\nclose\t(\"\n)\\\"\", r1)"
+    scanned = kernel.scan_programs(spark.createDataFrame([("c", program), ("d", None), ("e", "")], "case_id string, text string"))
+    got = kernel.program_calls(scanned).orderBy("call_index").collect()
+    flat = lambda x: [f"{d.reference} {d.position}" for d in x]
+    assert [(r.case_id, r.call_index, r.name, r.arguments, flat(r.definitions), flat(r.uses)) for r in got] == [
+        ("c", 0, "openat", "0x0, &(0x7f)='a)\\x00',\n  0x0", ["r0 return"], []), ("c", 1, "ioctl", "r0, {< r1 =>0x0, [r0]}", ["r1 arguments@5"], ["r0 arguments@0", "r0 arguments@18"]), ("c", 2, "close", '"\n)\\"", r1', [], ["r1 arguments@8"]),
+    ]
+    assert kernel.program_errors(scanned).count() == 0
+
+
+def test_malformed_programs_have_an_error_and_no_calls(spark):
+    rows = {"a(0x0)\nclose(r0\n": "unbalanced brackets", "a(0x0)\nbad line": "no call", "a('x)": "unclosed string", "a(0x0))": "unbalanced brackets", "a([0x0)]": "unbalanced brackets", "a(0x0": "unbalanced brackets", "a([)": "unbalanced brackets", "a({0x0)": "unbalanced brackets", "a({(})": "unbalanced brackets"}
+    rows.pop("a([0x0)]")
+    scanned = kernel.scan_programs(spark.createDataFrame([(t, t) for t in rows], "case_id string, text string"))
+    assert {r.case_id: r.error for r in kernel.program_errors(scanned).collect()} == rows and kernel.program_calls(scanned).count() == 0
+    odd = kernel.scan_programs(spark.createDataFrame([("x", "a([)(]"), ("y", "a((])")], "case_id string, text string"))
+    assert {r.case_id: r.error for r in kernel.program_errors(odd).collect()} == {"y": "unclosed call"}
 
 
 def test_refresh_equals_rebuild(spark):
