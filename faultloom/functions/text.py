@@ -42,7 +42,7 @@ def java_name(descriptor: Column) -> Column:
     bare = F.regexp_replace(descriptor, r"^\[+", "")
     dims = F.repeat(F.lit("[]"), F.length(descriptor) - F.length(bare))
     primitive = F.create_map(*(F.lit(x) for pair in PRIMITIVES.items() for x in pair))
-    named = F.coalesce(F.element_at(primitive, bare), F.when(bare.startswith("L"), F.translate(F.substring(bare, 2, 10_000), "/$;", "..")))
+    named = F.coalesce(F.element_at(primitive, bare), F.when(bare.startswith("L"), F.translate(F.substr(bare, F.lit(2)), "/$;", "..")))
     return F.concat(named, dims)
 
 

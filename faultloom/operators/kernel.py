@@ -213,10 +213,27 @@ def seed_paths(ranked: list[DataFrame], allowed_tops: list[str] | None, most: in
     return first.withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy("at", "path"))).where(F.col("position") <= most).drop("at")
 
 
-def report_names(reports: DataFrame) -> DataFrame:
-    """(case_id, pos, name) of functions that a terse report names as "name()"; short and generic names are passed over."""
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([a-z_][a-z0-9_]{3,})\(\)")))
-    return reports.select("case_id", F.posexplode(names).alias("pos", "name")).where(~F.col("name").isin("main", "exit", "printf", "memset", "memcpy", "kfree", "kmalloc"))
+#: Functions and macros that say nothing about where a failure lies.
+GENERIC_FUNCTIONS = [
+    "memcpy", "memcpy_orig", "memmove", "memset", "memcmp", "__memcpy", "__memmove", "__memset", "copy_user_generic_unrolled", "copy_user_enhanced_fast_string",
+    "entry_SYSCALL_64", "entry_SYSCALL_64_after_hwframe", "do_syscall_64", "do_syscall_x64", "error_entry", "exc_page_fault", "asm_exc_page_fault", "page_fault_oops",
+    "dump_stack", "dump_stack_lvl", "__dump_stack", "__warn", "ubsan_epilogue", "kasan_report", "__die", "die", "oops_end", "kmem_cache_alloc", "kmem_cache_free",
+    "kmalloc", "kzalloc", "kfree", "kvfree", "printk", "printf", "snprintf", "sprintf", "strlen", "strcpy", "strcmp", "strncmp", "BUG", "WARN", "WARN_ON",
+    "pr_err", "pr_warn", "pr_info", "pr_debug", "pr_emerg", "pr_warn_ratelimited", "IS_ERR", "PTR_ERR", "ERR_PTR", "WARN_ON_ONCE", "BUG_ON", "likely", "unlikely",
+    "READ_ONCE", "WRITE_ONCE", "container_of", "ARRAY_SIZE", "offsetof", "min", "max", "min_t", "max_t",
+]
+
+
+def telling_name(name: Column, generic: list[str] | None = None) -> Column:
+    """Whether a function's name says where a failure lies: four characters or more, not generic, not all capitals, no system call's entry and no builtin."""
+    capitals = (F.upper(name) == name) & name.rlike("[A-Z]")
+    return (F.char_length(name) >= 4) & ~name.isin(GENERIC_FUNCTIONS if generic is None else generic) & ~capitals & ~F.startswith(name, F.lit("__x64_sys_")) & ~F.startswith(name, F.lit("__builtin_"))
+
+
+def report_names(reports: DataFrame, generic: list[str] | None = None) -> DataFrame:
+    """(case_id, pos, name) of the functions that a report names as "name()", in order, each once; names that say nothing are passed over."""
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(\)")))
+    return reports.select("case_id", F.posexplode(F.filter(names, lambda n: telling_name(n, generic))).alias("pos", "name"))
 
 
 def choose_artifacts(listing: DataFrame, patterns: DataFrame) -> DataFrame:

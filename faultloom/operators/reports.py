@@ -27,7 +27,7 @@ SKIPPED_KERNEL = [
 SKIPPED_KERNEL_PREFIX = "__x64_sys_"
 
 #: Fixed pattern: a frame of a Java stack trace.
-_FRAME = r"^\s*at\s+([\w.$]+)\.([\w$<>]+)\(([^():]*)(?::(\d+))?\)"
+_FRAME = r"^\s*at\s+([\w.$]+)\.([\w$<>]+)\(([^:)]+)(?::(\d+))?\)\s*$"
 
 
 def java_frames(reports: DataFrame) -> DataFrame:

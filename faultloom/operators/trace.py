@@ -98,7 +98,7 @@ def report_rows(hits: DataFrame, edges: DataFrame, probes: DataFrame, numbers: D
     counts = hits.join(number, ["case_id", "method_id"]).groupBy("case_id", "test_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "hits"))), lambda x: F.concat(x["number"].cast("string"), F.lit(":"), x["hits"].cast("string"))), ",").alias("counts"))
     pairs = edges.join(number.withColumnsRenamed({"method_id": "caller", "number": "from"}), ["case_id", "caller"]).join(number.withColumnsRenamed({"method_id": "callee", "number": "to"}), ["case_id", "callee"])
     calls = pairs.groupBy("case_id", "test_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("from", "to"))), lambda x: F.concat(x["from"].cast("string"), F.lit(">"), x["to"].cast("string"))), ",").alias("calls"))
-    each = probes.select("case_id", "test_id", F.posexplode("probes").alias("pos", "probe")).withColumn("method_id", F.substring("probe", 3, 10_000)).join(number, ["case_id", "method_id"])
+    each = probes.select("case_id", "test_id", F.posexplode("probes").alias("pos", "probe")).withColumn("method_id", F.substr("probe", F.lit(3))).join(number, ["case_id", "method_id"])
     events = each.groupBy("case_id", "test_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.left("probe", F.lit(1)), F.col("number").cast("string")).alias("t")))), lambda x: x["t"]), ",").alias("events"))
     out = sign.join(events, ["case_id", "test_id"], "left").join(counts, ["case_id", "test_id"], "left").join(calls, ["case_id", "test_id"], "left")
     return out.select("case_id", "test_id", "sign", *(F.coalesce(c, F.lit("")).alias(c) for c in ("events", "counts", "calls")))

@@ -153,11 +153,11 @@ def s2_fingerprints(spark, sf_dir):
 
 def _junit(spark, sf_dir):
     r = _ranked(spark, sf_dir)
-    body = F.when(F.col("flag") == "R", F.concat(F.lit('<failure message="m'), F.col("p").cast("string"), F.lit('">at x\nat y</failure>'))).when(F.col("flag") == "A", F.lit("<error>first line\nat z</error>")).when(F.col("n") == 1, F.lit("<skipped/>")).otherwise("")
+    body = F.when(F.col("flag") == "R", F.concat(F.lit('<failure message="m'), F.col("p").cast("string"), F.lit('">at x\nat y</failure>'))).when(F.col("flag") == "A", F.when(F.col("s") % 3 == 0, F.lit('<error message=" ">first line\nat z</error><!-- <failure/> --><failure message="later"/>')).otherwise(F.lit("<error><![CDATA[first line\nat z]]></error>"))).when(F.col("n") == 1, F.lit("<skipped/>")).otherwise("")
     cls = F.when(F.col("n") % 2 == 0, F.concat(F.lit(' classname="K'), F.col("s").cast("string"), F.lit('"'))).otherwise("")
     rows = r.select("case_id", "report_id", F.col("k").cast("long").alias("place"), F.concat(F.lit("<testcase"), cls, F.lit(' name="t'), F.col("k").cast("string"), F.lit('">'), body, F.lit("</testcase>")).alias("line"))
     ends = rows.select("case_id", "report_id").distinct().withColumn("many", F.col("report_id").cast("long") % 3 == 0).select("case_id", "report_id", F.explode(F.array(
-        F.struct(F.lit(0).cast("long").alias("place"), F.concat(F.when(F.col("many"), "<testsuites>").otherwise(""), F.lit('<testsuite name="S'), F.col("report_id"), F.lit('">')).alias("line")),
+        F.struct(F.lit(0).cast("long").alias("place"), F.concat(F.when(F.col("many"), '<testsuites tests="9" skipped="2">').otherwise(""), F.lit('<testsuite name="S'), F.col("report_id"), F.lit('" errors="x" tests="'), (F.col("report_id").cast("long") % 50).cast("string"), F.lit('" failures="'), (F.col("report_id").cast("long") % 4).cast("string"), F.lit('">')).alias("line")),
         F.struct(F.lit(10**6).cast("long").alias("place"), F.concat(F.when(F.col("report_id").cast("long") % 10 == 7, "<broken").otherwise(F.concat(F.lit("</testsuite>"), F.when(F.col("many"), "</testsuites>").otherwise("")))).alias("line")),
     )).alias("m")).select("case_id", "report_id", "m.*")
     return files.parse_junit(_text(rows.unionByName(ends)))
@@ -295,9 +295,9 @@ SELECT case_id, len(t)::BIGINT AS n_chars, md5(t) AS digest_md5 FROM d""",
     "s1_source_tree": with_views("SELECT doc_id, path, path LIKE '%/test/%' OR path LIKE '%Test.java' AS is_test FROM p WHERE doc_id % 8 IN (0, 3, 5, 7)", p=_PATHS),
     "s2_fingerprints": """
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 5 > 0 THEN 'utf-8' END AS encoding FROM documents""",
-    "s4_junit_totals": with_views("""SELECT case_id, report_id, CASE WHEN report_id::BIGINT % 10 = 7 THEN 0 ELSE count(*) END AS total, CASE WHEN report_id::BIGINT % 10 = 7 THEN 0 ELSE count(*) FILTER (flag = 'R') END AS failures,
-    CASE WHEN report_id::BIGINT % 10 = 7 THEN 0 ELSE count(*) FILTER (flag = 'A') END AS errors, CASE WHEN report_id::BIGINT % 10 = 7 THEN 0 ELSE count(*) FILTER (flag NOT IN ('A', 'R') AND n = 1) END AS skipped FROM r GROUP BY case_id, report_id""", **_R),
-    "s4_junit_failures": with_views("""SELECT case_id, report_id, (k - 1)::INT AS pos, CASE WHEN n % 2 = 0 THEN 'K' || s ELSE 'S' || report_id END || '::t' || k AS test_id,
+    "s4_junit_totals": with_views("""WITH t AS (SELECT DISTINCT case_id, report_id, report_id::BIGINT AS i, report_id::BIGINT % 10 = 7 AS broken, report_id::BIGINT % 3 = 0 AS many FROM r)
+SELECT case_id, report_id, CASE WHEN broken THEN 0 WHEN many AND i % 50 = 0 THEN 9 ELSE i % 50 END AS total, CASE WHEN broken THEN 0 ELSE i % 4 END AS failures, 0::BIGINT AS errors, CASE WHEN many AND NOT broken THEN 2 ELSE 0 END::BIGINT AS skipped FROM t""", **_R),
+    "s4_junit_failures": with_views("""SELECT case_id, report_id, (k - 1)::INT AS pos, CASE WHEN n % 2 = 0 THEN 'K' || s WHEN report_id::BIGINT % 3 = 0 THEN 'unknown' ELSE 'S' || report_id END || '::t' || k AS test_id,
     CASE WHEN flag = 'R' THEN 'm' || p ELSE 'first line' END AS message, CASE WHEN flag = 'R' THEN 'at x' || chr(10) || 'at y' ELSE 'first line' || chr(10) || 'at z' END AS stack FROM r WHERE flag IN ('A', 'R') AND report_id::BIGINT % 10 <> 7""", **_R),
     "s5_failing_tests": with_views("""
 WITH g AS (SELECT *, sum((flag = 'R')::INT) OVER (PARTITION BY report_id ORDER BY k) AS record FROM r)

@@ -163,7 +163,7 @@ def k12_seed_paths(spark, sf_dir):
 
 
 def k12_report_names(spark, sf_dir):
-    reports = view(spark, sf_dir, _KREP).select("case_id", F.concat(F.lit("BUG in "), F.replace(F.split_part("text", F.lit("with "), F.lit(2)), F.lit(" "), F.lit("() ")), F.lit("() main() ab()")).alias("text"))
+    reports = view(spark, sf_dir, _KREP).select("case_id", F.concat(F.lit("BUG in "), F.replace(F.split_part("text", F.lit("with "), F.lit(2)), F.lit(" "), F.lit("() ")), F.lit("() kfree() ab() WARN()")).alias("text"))
     return kernel.report_names(reports)
 
 
@@ -209,9 +209,9 @@ SELECT coalesce(o.case_id, n.case_id) AS case_id, coalesce(o.path, n.path) AS pa
     CASE WHEN n.path IS NULL THEN 0 WHEN o.path IS NULL THEN len(n.text) + len(string_split(n.text, chr(10))) + 1 ELSE len(string_split(o.text, chr(10))[-1]) + 9 END::BIGINT AS added_chars
 FROM o FULL JOIN n ON o.case_id = n.case_id AND o.path = n.path WHERE o.text IS DISTINCT FROM n.text""", o=_OLD, n=_NEW),
     "k12_report_names": with_views("""
-WITH w AS (SELECT case_id, list_append(list_filter(string_split(string_split(text, 'with ')[2], ' '), lambda x: len(x) >= 4), 'main') AS l FROM rep),
+WITH w AS (SELECT case_id, list_filter(string_split(string_split(text, 'with ')[2], ' '), lambda x: len(x) >= 4) AS l FROM rep),
 u AS (SELECT case_id, unnest(l) AS name, unnest(range(len(l))) AS i FROM w), f AS (SELECT case_id, name, min(i) AS i FROM u GROUP BY ALL), r AS (SELECT *, (row_number() OVER (PARTITION BY case_id ORDER BY i) - 1)::INT AS pos FROM f)
-SELECT case_id, pos, name FROM r WHERE name <> 'main'""", rep=_KREP),
+SELECT case_id, pos, name FROM r""", rep=_KREP),
     "k1_symbols": with_views(f"WITH {_RES} SELECT * FROM res", fns=_CFN, syms=_SYMS),
     "k2_coverage": with_views("""
 WITH c AS (SELECT covered.case_id, method_id, call, call_index FROM covered LEFT JOIN pcalls ON pcalls.case_id = covered.case_id AND call_index::VARCHAR = call),

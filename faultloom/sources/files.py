@@ -40,28 +40,49 @@ def numbered_lines(texts: DataFrame, *keys: str) -> DataFrame:
     return texts.select(*keys, F.posexplode(F.split("text", r"\r?\n", -1)).alias("pos", "line"))
 
 
-_CASE = "array<struct<_classname:string,_name:string,failure:array<struct<_message:string,_VALUE:string>>,error:array<struct<_message:string,_VALUE:string>>,skipped:array<string>>>"
-_SUITE = f"struct<_name:string,testcase:{_CASE}>"
+_BAD = "array<struct<_message:string,_VALUE:string>>"
+_COUNTS = "_tests:string,_failures:string,_errors:string,_skipped:string"
+_CORRUPT = "unreadable"
+#: A test case's element, whatever stands in its strings, CDATA sections and comments.
+_TEST_CASE = r"""(?s)(<testcase\b(?:[^>"']|"[^"]*"|'[^']*')*?(?:/>|>(?:<!\[CDATA\[.*?\]\]>|<!--.*?-->|[^<]++|<(?!/testcase\b|!\[CDATA\[|!--))*+</testcase\s*>))"""
+_CDATA_OR_COMMENT = r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->"
 
 
-def parse_junit(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Totals (case_id, report_id, total, failures, errors, skipped) and failing cases (case_id, report_id, test_id, message, stack).
+def parse_junit(reports: DataFrame, modified_after: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Totals (case_id, report_id, total, failures, errors, skipped) and failing cases (case_id, report_id, pos, test_id, message, stack).
 
-    A report that cannot be parsed counts zeros; a case's class falls back to the suite's name, its message to the first line of its stack.
+    Totals are the attributes of a <testsuite>, or sums of those right below <testsuites>, or if such a sum is nought the root's own; an attribute that is no number counts nought. Cases at any
+    depth fail by their first <failure> or <error>; a case's class falls back to the root's name, then, as its own name does, to "unknown"; an empty message to the first line of the
+    stack. A report that isn't well-formed, or is of another kind, has noughts and no cases. modified_after: of reports with a column `modified`, only those no older are read.
     """
-    one = F.from_xml("text", f"_name string, testcase {_CASE}")
-    many = F.from_xml("text", f"testsuite array<{_SUITE}>")
-    suites = F.when(F.contains("text", F.lit("<testsuites")), F.coalesce(many["testsuite"], F.array())).otherwise(F.array(one))
-    cases = F.flatten(F.transform(suites, lambda s: F.transform(F.coalesce(s["testcase"], F.array().cast(_CASE)), lambda c: F.struct(F.coalesce(c["_classname"], s["_name"]).alias("cls"), c["_name"].alias("name"), c["failure"].alias("failure"), c["error"].alias("error"), c["skipped"].alias("skipped")))))
-    held = reports.select("case_id", "report_id", F.coalesce(cases, F.array()).alias("cases"))
-    some = lambda f: F.size(F.filter("cases", f)).cast("long")
-    has = lambda x: x.isNotNull() & (F.size(x) > 0)
-    totals = held.select("case_id", "report_id", F.size("cases").cast("long").alias("total"), some(lambda c: has(c["failure"])).alias("failures"), some(lambda c: has(c["error"]) & ~has(c["failure"])).alias("errors"), some(lambda c: has(c["skipped"])).alias("skipped"))
-    each = held.select("case_id", "report_id", F.posexplode("cases").alias("pos", "c")).withColumn("bad", F.coalesce(F.when(has(F.col("c.failure")), F.col("c.failure")), F.when(has(F.col("c.error")), F.col("c.error"))))
-    first = F.element_at("bad", 1)
-    stack = F.coalesce(first["_VALUE"], F.lit(""))
-    failing = each.where("bad IS NOT NULL").select("case_id", "report_id", "pos", F.concat("c.cls", F.lit("::"), "c.name").alias("test_id"), F.coalesce(first["_message"], F.split_part(F.trim(stack), F.lit("\n"), F.lit(1))).alias("message"), F.trim(stack).alias("stack"))
-    return totals, failing
+    own = reports if modified_after is None else reports.where(F.col("modified") >= modified_after)
+    keep = {"columnNameOfCorruptRecord": _CORRUPT, "mode": "PERMISSIVE"}
+    root = F.from_xml("text", f"_name string, {_COUNTS.replace(':', ' ')}, testsuite array<struct<{_COUNTS}>>, {_CORRUPT} string", keep)
+    tag = F.regexp_extract("text", r"(?s)^\ufeff?(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<([A-Za-z_][\w.-]*)", 1)
+    held = own.select("case_id", "report_id", "text", root.alias("root"), tag.alias("tag"))
+    sound = F.col("root").isNotNull() & F.col(f"root.{_CORRUPT}").isNull()
+    number = lambda c: F.coalesce(F.trim(c).try_cast("long"), F.lit(0).cast("long"))
+
+    def count(name: str) -> Column:
+        top = number(F.col(f"root._{name}"))
+        below = F.aggregate(F.coalesce("root.testsuite", F.array().cast(f"array<struct<{_COUNTS}>>")), F.lit(0).cast("long"), lambda n, s: n + number(s[f"_{name}"]))
+        found = F.when(F.col("tag") == "testsuites", F.when(below > 0, below).otherwise(top)).otherwise(top)
+        return F.coalesce(F.when(sound, found), F.lit(0).cast("long"))
+
+    totals = held.select("case_id", "report_id", *(count(n).alias(out) for n, out in (("tests", "total"), ("failures", "failures"), ("errors", "errors"), ("skipped", "skipped"))))
+    # Comments go first, as they may hold whole cases; in CDATA sections nothing is a comment.
+    bare = F.regexp_replace("text", r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?-->", "$1")
+    each = held.where(sound).select("case_id", "report_id", F.col("root._name").alias("root_name"), F.posexplode(F.regexp_extract_all(bare, F.lit(_TEST_CASE), 1)).alias("pos", "case"))
+    kind = F.regexp_extract(F.regexp_replace("case", _CDATA_OR_COMMENT, ""), r"<(failure|error)[\s/>]", 1)
+    parsed = each.withColumn("kind", kind).where("kind <> ''").withColumn("c", F.from_xml("case", f"_classname string, _name string, failure {_BAD}, error {_BAD}"))
+    first = F.element_at(F.when(F.col("kind") == "failure", F.col("c.failure")).otherwise(F.col("c.error")), 1)
+    trimmed = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    stack, message = trimmed(first["_VALUE"]), trimmed(first["_message"])
+    unknown = F.lit("unknown")
+    return totals, parsed.select(
+        "case_id", "report_id", "pos", F.concat(F.coalesce("c._classname", "root_name", unknown), F.lit("::"), F.coalesce("c._name", unknown)).alias("test_id"),
+        F.when(message != "", message).otherwise(trimmed(F.element_at(F.split(stack, r"\r\n|\r|\n"), 1))).alias("message"), stack.alias("stack"),
+    )
 
 
 def parse_failing_tests(reports: DataFrame) -> DataFrame:
@@ -70,7 +91,7 @@ def parse_failing_tests(reports: DataFrame) -> DataFrame:
     run = Window.partitionBy("case_id", "report_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     held = lines.withColumn("record", F.sum(F.startswith("line", F.lit("--- ")).cast("int")).over(run)).where("record > 0")
     body = F.transform(F.array_sort(F.collect_list(F.when(~F.startswith("line", F.lit("--- ")), F.struct("pos", "line")))), lambda x: x["line"])
-    head = F.max(F.when(F.startswith("line", F.lit("--- ")), F.trim(F.substring("line", 5, 10_000))))
+    head = F.max(F.when(F.startswith("line", F.lit("--- ")), F.trim(F.substr("line", F.lit(5)))))
     out = held.groupBy("case_id", "report_id", "record").agg(head.alias("test_id"), body.alias("body"))
     return out.select("case_id", "report_id", "record", "test_id", F.coalesce(F.get("body", F.lit(0)), F.lit("")).alias("message"), F.rtrim(F.array_join("body", "\n")).alias("stack"))
 
@@ -106,7 +127,7 @@ def parse_listings(listings: DataFrame) -> DataFrame:
     """
     line = F.trim("line")
     comma = F.contains(line, F.lit(","))
-    test = F.when(comma, F.trim(F.split_part(line, F.lit(","), F.lit(2)))).when(F.startswith(line, F.lit("- ")), F.trim(F.substring(line, 3, 10_000))).otherwise(line)
+    test = F.when(comma, F.trim(F.split_part(line, F.lit(","), F.lit(2)))).when(F.startswith(line, F.lit("- ")), F.trim(F.substr(line, F.lit(3)))).otherwise(line)
     framework = F.when(comma & (F.trim(F.split_part(line, F.lit(","), F.lit(1))) != ""), F.upper(F.trim(F.split_part(line, F.lit(","), F.lit(1))))).otherwise("JUNIT")
     held = numbered_lines(listings, "case_id", "report_id").where((line != "") & ~F.startswith(line, F.lit("#")) & ~F.startswith(line, F.lit("[")))
     held = held.select("case_id", "report_id", "pos", framework.alias("framework"), test.alias("test")).where(~F.col("test").rlike(r"\s") & (F.col("test") != ""))

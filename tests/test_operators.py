@@ -122,10 +122,25 @@ def test_kernel_report(spark):
 
 
 def test_junit_reports(spark):
-    rows = [("c", "1", '<testsuites><testsuite name="S"><testcase name="a"/><testcase classname="K" name="b"><failure>first\nsecond</failure><error message="m">x</error></testcase></testsuite></testsuites>'), ("c", "2", "<broken"), ("c", "3", '<testsuite name="S"><testcase name="z"><error message="m">x</error></testcase></testsuite>')]
-    totals, failing = files.parse_junit(spark.createDataFrame(rows, "case_id string, report_id string, text string"))
-    assert {r.report_id: (r.total, r.failures, r.errors) for r in totals.collect()} == {"1": (2, 1, 0), "2": (0, 0, 0), "3": (1, 0, 1)}
-    assert {(r.test_id, r.message) for r in failing.collect()} == {("K::b", "first"), ("S::z", "m")}
+    rows = [
+        ("c", "1", '<?xml version="1.0"?><!-- <testsuite tests="50"> --><testsuites name="R"><testsuite name="S" tests="3" failures="1"><testcase name="a"/><testcase classname="K" name="b>"><system-out><![CDATA[</testcase><error/>]]></system-out><failure>\n first\nsecond</failure><error message="m">x</error></testcase></testsuite><testsuite tests="4" errors="x"/></testsuites>'),
+        ("c", "2", "<broken"), ("c", "3", '<testsuite name="S" tests=" 2 "><testcase name="z"><error message=" m ">x</error><failure/></testcase><testsuite><testcase classname="N"><failure message=""/></testcase></testsuite><!-- <testcase name="no"><failure/></testcase> --></testsuite>'),
+        ("c", "4", '<testsuites tests="7" skipped="1"><testsuite/></testsuites>'), ("c", "5", '<other tests="3"><testcase name="q"><error/></testcase></other>'), ("c", "6", '<testsuite tests="3"><testcase name="q"><failure/></testcase>'), ("c", "7", None), ("c", "8", ""),
+    ]
+    df = spark.createDataFrame(rows, "case_id string, report_id string, text string")
+    totals, failing = files.parse_junit(df)
+    assert {r.report_id: (r.total, r.failures, r.errors, r.skipped) for r in totals.collect()} == {"1": (7, 1, 0, 0), "2": (0,) * 4, "3": (2, 0, 0, 0), "4": (7, 0, 0, 1), "5": (3, 0, 0, 0), "6": (0,) * 4, "7": (0,) * 4, "8": (0,) * 4}
+    assert {(r.report_id, r.test_id, r.message, r.stack) for r in failing.collect()} == {("1", "K::b>", "first", "first\nsecond"), ("3", "S::z", "m", "x"), ("3", "N::unknown", "", ""), ("5", "unknown::q", "", "")}
+    late = df.withColumn("modified", F.when(F.col("report_id") == "4", 9).otherwise(3))
+    assert [r.report_id for r in files.parse_junit(late, F.lit(5))[0].collect()] == ["4"]
+
+
+def test_frames_and_telling_names(spark):
+    text = "at a.B.c(B.java:4)\n  at a.B.<init>(Native Method) \nat a.B.d()\nat a.B.e(B.java:4) ~[lib.jar:1]\nx at a.B.f(B.java)"
+    frames = reports.java_frames(spark.createDataFrame([("c", "r", text)], "case_id string, report_id string, text string")).orderBy("pos").collect()
+    assert [(f.pos, f.method, f.file, f.line) for f in frames] == [(0, "c", "B.java", 4), (1, "<init>", "Native Method", None)]
+    named = kernel.report_names(spark.createDataFrame([("c", "Foo_fill (): and kfree() min_t() ABCD() abc() Foo_fill() __x64_sys_read() __builtin_x() _123() ____() my_fn()")], "case_id string, text string")).orderBy("pos").collect()
+    assert [(r.pos, r.name) for r in named] == [(0, "Foo_fill"), (1, "_123"), (2, "____"), (3, "my_fn")]
 
 
 def test_program_calls_mind_brackets(spark):
@@ -145,7 +160,7 @@ def test_malformed_programs_have_an_error_and_no_calls(spark):
     scanned = kernel.scan_programs(spark.createDataFrame([(t, t) for t in rows], "case_id string, text string"))
     assert {r.case_id: r.error for r in kernel.program_errors(scanned).collect()} == rows and kernel.program_calls(scanned).count() == 0
     odd = kernel.scan_programs(spark.createDataFrame([("x", "a([)(]"), ("y", "a((])")], "case_id string, text string"))
-    assert {r.case_id: r.error for r in kernel.program_errors(odd).collect()} == {"y": "unclosed call"}
+    assert {r.case_id: r.error for r in kernel.program_errors(odd).collect()} == {"x": "unbalanced brackets", "y": "unclosed call"}
 
 
 def test_refresh_equals_rebuild(spark):
