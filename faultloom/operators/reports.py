@@ -134,12 +134,33 @@ def failure_context(failing: DataFrame, tests: DataFrame, crash: DataFrame, fram
     return entities, of.unionByName(at).distinct()
 
 
-def reported_methods(frames: DataFrame, catalog: DataFrame, most_frames: int = 64, most: int = 12) -> DataFrame:
-    """(case_id, report_id, pos, method_id): for each frame the narrowest method of its class, name and file that holds its line; the first `most`."""
-    own = frames.where((F.col("pos") < most_frames) & F.col("line").isNotNull())
-    held = own.join(catalog, ["case_id", "class_name", "method"]).where("start_line <= line AND line <= end_line")
-    best = held.groupBy("case_id", "report_id", "pos").agg(F.min_by("method_id", F.struct(F.col("end_line") - F.col("start_line"), "method_id")).alias("method_id"))
-    return best.withColumn("n", F.row_number().over(Window.partitionBy("case_id", "report_id").orderBy("pos"))).where(F.col("n") <= most).drop("n")
+def reported_methods(frames: DataFrame, catalog: DataFrame, most_frames: int = 64, most: int = 12, most_named: int = 20) -> DataFrame:
+    """(case_id, report_id, pos, method_id, line): the methods that hold a frame's line, by class, name and file.
+
+    Of a report the first `most_frames` frames with a line in a .java file are looked up, in order, until `most` methods are found; those of the frame that reaches it all count. Of
+    a class's methods of one name the first `most_named` by id are looked at, whatever their files.
+    catalog: (case_id, method_id, class_name, method, file, start_line, end_line), file with its folders.
+    """
+    asked = frames.where(F.col("line").isNotNull() & F.endswith("file", F.lit(".java")))
+    asked = asked.withColumn("n", F.row_number().over(Window.partitionBy("case_id", "report_id").orderBy("pos"))).where(F.col("n") <= most_frames).drop("n")
+    named = catalog.withColumn("n", F.row_number().over(Window.partitionBy("case_id", "class_name", "method").orderBy("method_id"))).where(F.col("n") <= most_named)
+    named = named.select("case_id", "class_name", "method", "method_id", F.regexp_extract("file", r"([^/]*)$", 1).alias("file"), "start_line", "end_line")
+    held = asked.join(named, ["case_id", "class_name", "method", "file"]).where("start_line <= line AND line <= end_line").select("case_id", "report_id", "pos", "method_id", "line")
+    before = F.count("*").over(Window.partitionBy("case_id", "report_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1))
+    return held.withColumn("before", before).where(F.col("before") < most).drop("before")
+
+
+def failing_assertions(reported: DataFrame, assertions: DataFrame, bin_width: int = 64) -> DataFrame:
+    """(case_id, report_id, method_id, start_line, end_line, turn): of each reported method the first assertion that a reported line lies in, numbered in order of frames.
+
+    assertions: (case_id, method_id, start_line, end_line) of assertion statements, listed in the bins of lines that they touch.
+    """
+    bins = F.explode(F.sequence(F.floor(F.col("start_line") / bin_width), F.floor(F.col("end_line") / bin_width)))
+    spans = assertions.where("start_line <= end_line").select("case_id", "method_id", "start_line", "end_line", bins.alias("bin"))
+    hit = reported.withColumn("bin", F.floor(F.col("line") / bin_width)).join(spans, ["case_id", "method_id", "bin"]).where("start_line <= line AND line <= end_line")
+    first = hit.groupBy("case_id", "report_id", "method_id").agg(F.min(F.struct("pos", "start_line", "end_line")).alias("f"))
+    turn = F.row_number().over(Window.partitionBy("case_id", "report_id").orderBy("f.pos", "method_id"))
+    return first.select("case_id", "report_id", "method_id", "f.start_line", "f.end_line", turn.alias("turn"))
 
 
 def repair_context(failing: DataFrame, reported: DataFrame, texts: DataFrame, budget: int = 6000, clip: int = 2000, least: int = 800) -> DataFrame:

@@ -16,9 +16,9 @@ SELECT 'c' || cast(l_orderkey % 7 AS string) AS case_id, cast(l_orderkey AS stri
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY n, p, s, e) AS k FROM (" + _LINES + ") AS l"
 #: Parts as a catalog of methods with ranges of lines that overlap.
 _CATALOG = """
-SELECT case_id, method_id || '@c' AS unused, method_id, class_name, method, start_line, end_line FROM (SELECT 'c' || cast(c AS string) AS case_id, 'p.C' || cast(p_partkey % 40 AS string) || '#' || CASE WHEN p_size % 7 = 0 THEN '<init>' ELSE 'm' || cast(p_size % 7 AS string) END
+SELECT case_id, method_id || '@c' AS unused, method_id, class_name, method, file, start_line, end_line FROM (SELECT 'c' || cast(c AS string) AS case_id, 'p.C' || cast(p_partkey % 40 AS string) || '#' || CASE WHEN p_size % 7 = 0 THEN '<init>' ELSE 'm' || cast(p_size % 7 AS string) END
     || '(' || repeat('I', p_size) || ')V' || cast(p_partkey AS string) AS method_id, 'p.C' || cast(p_partkey % 40 AS string) AS class_name, CASE WHEN p_size % 7 = 0 THEN '<init>' ELSE 'm' || cast(p_size % 7 AS string) END AS method,
-    cast(p_partkey % 50 AS int) AS start_line, cast(p_partkey % 50 + p_size AS int) AS end_line FROM {part} CROSS JOIN (SELECT DISTINCT l_orderkey % 7 AS c FROM {lineitem}) AS cs) AS x"""
+    'src/p/C' || cast(p_partkey % 40 AS string) || CASE WHEN p_partkey % 6 = 0 THEN 'x' ELSE '' END || '.java' AS file, cast(p_partkey % 50 AS int) AS start_line, cast(p_partkey % 50 + p_size AS int) AS end_line FROM {part} CROSS JOIN (SELECT DISTINCT l_orderkey % 7 AS c FROM {lineitem}) AS cs) AS x"""
 _FUNCTIONS = """
 SELECT 'c' || cast(c AS string) AS case_id, 'fs/f' || cast(p_partkey % 9 AS string) || '.c#fn' || cast(p_size AS string) || '@' || cast(p_partkey AS string) AS method_id, 'fn' || cast(p_size AS string) AS name, 'fs/f' || cast(p_partkey % 9 AS string) || '.c' AS file
     FROM {part} CROSS JOIN (SELECT DISTINCT l_orderkey % 7 AS c FROM {lineitem}) AS cs WHERE p_size > 10"""
@@ -96,6 +96,14 @@ def f7_reported_methods(spark, sf_dir):
     return reports.reported_methods(reports.java_frames(_java_reports(spark, sf_dir)), view(spark, sf_dir, _CATALOG))
 
 
+#: An assertion for each fourth line of a method, over three lines.
+_ASSERTIONS = "SELECT case_id, method_id, cast(start_line + 4 * n_nationkey AS int) AS start_line, cast(start_line + 4 * n_nationkey + 2 AS int) AS end_line FROM (" + _CATALOG + ") AS c JOIN {nation} ON start_line + 4 * n_nationkey + 2 <= end_line"
+
+
+def f7_failing_assertions(spark, sf_dir):
+    return reports.failing_assertions(f7_reported_methods(spark, sf_dir), view(spark, sf_dir, _ASSERTIONS))
+
+
 def f8_repair_context(spark, sf_dir):
     texts = view(spark, sf_dir, _CATALOG).select("case_id", "method_id", F.concat(F.lit("body "), "method_id").alias("text"))
     out = reports.repair_context(_java_reports(spark, sf_dir), f7_reported_methods(spark, sf_dir), texts, 600, 200, 80)
@@ -250,8 +258,10 @@ _KERNEL = f"""kf AS (SELECT case_id, report_id, n * 1000 + k AS place, {_KFN} AS
 kp AS (SELECT *, (row_number() OVER (PARTITION BY report_id ORDER BY place) - 1)::INT AS pos FROM kf)"""
 _R = dict(r=_RANKED)
 _RC = dict(r=_RANKED, catalog=_CATALOG)
-_REP = """rm AS (SELECT fr.case_id, fr.report_id, pos, arg_min(method_id, (end_line - start_line, method_id)) AS method_id FROM fr JOIN catalog c USING (case_id, class_name, method) WHERE start_line <= line AND line <= end_line GROUP BY ALL),
-rep AS (SELECT * FROM rm QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY pos) <= 12)"""
+_REP = """asked AS (SELECT * FROM fr WHERE line IS NOT NULL QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY pos) <= 64),
+named AS (SELECT * FROM catalog QUALIFY row_number() OVER (PARTITION BY case_id, class_name, method ORDER BY method_id) <= 20),
+rm AS (SELECT a.case_id, report_id, pos, method_id, line FROM asked a JOIN named n ON n.case_id = a.case_id AND n.class_name = a.class_name AND n.method = a.method AND string_split(n.file, '/')[-1] = regexp_extract(a.class_name, '([^.]*)$', 1) || '.java' AND start_line <= line AND line <= end_line),
+rep AS (SELECT * FROM rm QUALIFY count(*) OVER (PARTITION BY report_id ORDER BY pos) - count(*) OVER (PARTITION BY report_id, pos) < 12)"""
 _ENT = """SELECT case_id, kind, count(*) AS entities, count(DISTINCT entity_id) AS ids FROM entities GROUP BY ALL"""
 SQL = {
     "s12_write_tables": with_views(_ENT, entities=ENTITIES),
@@ -265,6 +275,9 @@ SQL = {
 ed AS (SELECT case_id, report_id, 'failure_of' AS kind, 'test:' || max(k) AS target FROM r GROUP BY ALL UNION SELECT case_id, report_id, 'reports_frame', method_id FROM best)
 SELECT ed.case_id, 'report:' || ed.report_id AS source, kind, target, content FROM ed JOIN e USING (case_id, report_id)""", **_RC),
     "f7_reported_methods": with_views(f"WITH {_FR}, {_REP} SELECT * FROM rep", **_RC),
+    "f7_failing_assertions": with_views(f"""WITH {_FR}, {_REP},
+h AS (SELECT r.case_id, r.report_id, r.method_id, min((pos, start_line, end_line)) AS f FROM rep r JOIN assertions a ON a.case_id = r.case_id AND a.method_id = r.method_id AND start_line <= line AND line <= end_line GROUP BY ALL)
+SELECT case_id, report_id, method_id, f[2] AS start_line, f[3] AS end_line, row_number() OVER (PARTITION BY report_id ORDER BY f[1], method_id)::INT AS turn FROM h""", assertions=_ASSERTIONS, **_RC),
     "f8_repair_context": with_views(f"""
 WITH RECURSIVE {_FR}, {_REP}, d AS (SELECT case_id, report_id, method_id, min(pos) AS pos FROM rep GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos DESC, method_id DESC) AS i FROM d),
 t AS (SELECT case_id, report_id, left('java.lang.Error: at nothing' || chr(10) || string_agg(chr(9) || 'at ' || class_name || '.' || method || '(' || regexp_extract(class_name, '([^.]*)$', 1) || '.java' || coalesce(':' || line, '') || ')', chr(10) ORDER BY k), 200) AS head FROM r GROUP BY ALL),

@@ -235,3 +235,19 @@ def test_constructors_and_skipped_frames(spark):
     assert [r.method_id for r in reports.attribute_java(frames, catalog).collect()] == ["a.B$C#<init>()V"]
     skipped = frames.select("class_name", reports.skipped_frame(frames.class_name, ("own.runner.",)).alias("s")).collect()
     assert [r.s for r in skipped] == [True, True, False, False]
+
+
+def test_reported_methods_and_assertions(spark):
+    frames = [("c", "r", i, "a.B", "m", "B.java", line) for i, line in enumerate([5, 50, None, 7, 9])] + [("c", "r", 5, "a.B", "n", "Other.java", 5), ("c", "q", 0, "a.B", "m", "B.java", 6)]
+    catalog = [("c", "m1", "a.B", "m", "src/a/B.java", 1, 10), ("c", "m2", "a.B", "m", "gen/a/B.java", 4, 8), ("c", "m3", "a.B", "m", "src/a/C.java", 1, 99), ("c", "n1", "a.B", "n", "src/a/B.java", 1, 9), ("d", "m1", "a.B", "m", "B.java", 1, 10)]
+    f = spark.createDataFrame(frames, "case_id string, report_id string, pos int, class_name string, method string, file string, line int")
+    c = spark.createDataFrame(catalog, "case_id string, method_id string, class_name string, method string, file string, start_line int, end_line int")
+    got = reports.reported_methods(f, c)
+    rows = lambda df: sorted((r.report_id, r.pos, r.method_id) for r in df.collect())
+    assert rows(got) == [("q", 0, "m1"), ("q", 0, "m2"), ("r", 0, "m1"), ("r", 0, "m2"), ("r", 3, "m1"), ("r", 3, "m2"), ("r", 4, "m1")]
+    assert rows(reports.reported_methods(f, c, most=1)) == [("q", 0, "m1"), ("q", 0, "m2"), ("r", 0, "m1"), ("r", 0, "m2")]
+    assert rows(reports.reported_methods(f, c, most_named=1)) == [("q", 0, "m1"), ("r", 0, "m1"), ("r", 3, "m1"), ("r", 4, "m1")]
+    assert rows(reports.reported_methods(f, c, most_frames=2)) == [("q", 0, "m1"), ("q", 0, "m2"), ("r", 0, "m1"), ("r", 0, "m2")]
+    spans = spark.createDataFrame([("c", "m1", 6, 8), ("c", "m1", 9, 300), ("c", "m2", 5, 5), ("c", "m2", 1, 9), ("c", "n1", 1, 9)], "case_id string, method_id string, start_line int, end_line int")
+    found = {(r.report_id, r.method_id): (r.start_line, r.end_line, r.turn) for r in reports.failing_assertions(got, spans).collect()}
+    assert found == {("q", "m1"): (6, 8, 1), ("q", "m2"): (1, 9, 2), ("r", "m2"): (1, 9, 1), ("r", "m1"): (6, 8, 2)}
