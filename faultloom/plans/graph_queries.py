@@ -36,7 +36,7 @@ def g1_duplicate_entities(spark, sf_dir):
 
 
 def g2_relations(spark, sf_dir):
-    return _graph(spark, sf_dir)[1].groupBy("case_id", "kind", "provenance").agg(F.count("*").alias("edges"), F.countDistinct("edge_id").alias("ids"), F.max(F.length("edge_id")).alias("id_length"))
+    return _graph(spark, sf_dir)[1]
 
 
 def g3_dangling_endpoints(spark, sf_dir):
@@ -178,7 +178,7 @@ walk AS (SELECT target, target AS node, target AS path FROM d UNION ALL SELECT w
 SELECT 'parts' AS case_id, target, path FROM walk WHERE node IN (SELECT node FROM anchor)"""
 SQL = {
     "g1_duplicate_entities": with_views("SELECT case_id, method_id AS entity_id, count(*) AS copies FROM named GROUP BY ALL HAVING count(*) > 1", named=_NAMED),
-    "g2_relations": with_views("SELECT case_id, kind, provenance, count(*) AS edges, count(*) AS ids, 29 AS id_length FROM rel GROUP BY case_id, kind, provenance", rel=_REL),
+    "g2_relations": with_views("""SELECT *, 'edge:' || sha256('{"kind":"' || kind || '","provenance":"' || provenance || '","source":"' || source || '","target":"' || target || '"}')[1:24] AS edge_id FROM rel""", rel=_REL),
     "g3_dangling_endpoints": with_views("""
 WITH r AS (SELECT DISTINCT case_id, source, target, provenance FROM loose),
 x AS (SELECT *, 'source' AS side, source AS endpoint FROM r UNION ALL SELECT *, 'target', target FROM r)

@@ -21,7 +21,7 @@ SELECT case_id, method_id || '@c' AS unused, method_id, class_name, method, file
     'src/p/C' || cast(p_partkey % 40 AS string) || CASE WHEN p_partkey % 6 = 0 THEN 'x' ELSE '' END || '.java' AS file, cast(p_partkey % 50 AS int) AS start_line, cast(p_partkey % 50 + p_size AS int) AS end_line FROM {part} CROSS JOIN (SELECT DISTINCT l_orderkey % 7 AS c FROM {lineitem}) AS cs) AS x"""
 _FUNCTIONS = """
 SELECT 'c' || cast(c AS string) AS case_id, 'fs/f' || cast(p_partkey % 9 AS string) || '.c#fn' || cast(p_size AS string) || '@' || cast(p_partkey AS string) AS method_id, 'fn' || cast(p_size AS string) AS name, 'fs/f' || cast(p_partkey % 9 AS string) || '.c' AS file
-    FROM {part} CROSS JOIN (SELECT DISTINCT l_orderkey % 7 AS c FROM {lineitem}) AS cs WHERE p_size > 10"""
+    FROM {part} CROSS JOIN (SELECT DISTINCT l_orderkey % 7 AS c FROM {lineitem}) AS cs"""
 _BEFORE = "SELECT 'c' || cast(o_custkey AS string) AS case_id, o_orderpriority || '::t' || cast(cast(floor(o_totalprice) AS int) % 8 AS string) AS test_id FROM {orders} WHERE o_orderstatus = 'F' AND o_orderdate < timestamp '1998-07-01 00:00:00'"
 _AFTER = _BEFORE.replace("o_orderdate <", "o_orderdate >=")
 
@@ -155,8 +155,10 @@ def s1_source_tree(spark, sf_dir):
 
 
 def s2_fingerprints(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.encode(F.translate(F.substring("text", 1, 60), "çñ", "cn"), "UTF-16BE")).otherwise(F.encode("text", "UTF-8")).alias("content"))
-    return files.fingerprint(docs).select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("sha256")).alias("sha256"), F.when(F.col("doc_id") % 5 > 0, F.col("encoding")).alias("encoding"))
+    """Every text's bytes; each fifth has one more that no UTF-8 holds."""
+    content = F.encode("text", "UTF-8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(content, F.unhex(F.lit("FF")))).otherwise(content).alias("content"))
+    return files.fingerprint(docs).select("doc_id", "sha256", "encoding", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def _junit(spark, sf_dir):
@@ -307,7 +309,8 @@ WITH d AS (SELECT source || '/' || lang AS case_id, left(string_agg(CASE WHEN le
 SELECT case_id, len(t)::BIGINT AS n_chars, md5(t) AS digest_md5 FROM d""",
     "s1_source_tree": with_views("SELECT doc_id, path, path LIKE '%/test/%' OR path LIKE '%Test.java' AS is_test FROM p WHERE doc_id % 8 IN (0, 3, 5, 7)", p=_PATHS),
     "s2_fingerprints": """
-SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 5 > 0 THEN 'utf-8' END AS encoding FROM documents""",
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN sha256(encode(text) || '\\xFF'::BLOB) ELSE sha256(encode(text)) END AS sha256, CASE WHEN doc_id % 5 > 0 THEN 'utf-8' ELSE 'iso-8859-1' END AS encoding, CASE WHEN doc_id % 5 = 0 THEN octet_length(encode(text)) + 1 ELSE len(text) END::BIGINT AS n_chars FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, NULL, 'iso-8859-1', NULL FROM documents WHERE text IS NULL""",
     "s4_junit_totals": with_views("""WITH t AS (SELECT DISTINCT case_id, report_id, report_id::BIGINT AS i, report_id::BIGINT % 10 = 7 AS broken, report_id::BIGINT % 3 = 0 AS many FROM r)
 SELECT case_id, report_id, CASE WHEN broken THEN 0 WHEN many AND i % 50 = 0 THEN 9 ELSE i % 50 END AS total, CASE WHEN broken THEN 0 ELSE i % 4 END AS failures, 0::BIGINT AS errors, CASE WHEN many AND NOT broken THEN 2 ELSE 0 END::BIGINT AS skipped FROM t""", **_R),
     "s4_junit_failures": with_views("""SELECT case_id, report_id, (k - 1)::INT AS pos, CASE WHEN n % 2 = 0 THEN 'K' || s WHEN report_id::BIGINT % 3 = 0 THEN 'unknown' ELSE 'S' || report_id END || '::t' || k AS test_id,

@@ -93,7 +93,7 @@ def t9_validation(spark, sf_dir):
 
 def _coverage(spark, sf_dir):
     p = _probes(spark, sf_dir)
-    hits = trace.hit_counts(p.where("seq % 4 = 0"))
+    hits = trace.hit_counts(p)
     methods = p.select("case_id", "method_id").distinct()
     asked = p.select("case_id", "test_id").distinct().join(methods, "case_id")
     prefixes = p.groupBy("case_id", "test_id").agg(F.when(F.col("test_id").cast("int") % 2 == 0, F.array(F.lit("p.view"), F.lit("p.click"))).otherwise(F.array(F.lit("p.error"))).alias("prefixes"))
@@ -163,7 +163,7 @@ rep AS (SELECT o.case_id, o.test_id, CASE outcome WHEN 'PASS' THEN '+' ELSE '-'
     FROM o LEFT JOIN ev USING (case_id, test_id) LEFT JOIN ct USING (case_id, test_id) LEFT JOIN ca USING (case_id, test_id))"""
 _COV = """
 m AS (SELECT DISTINCT case_id, method_id FROM probes), te AS (SELECT DISTINCT case_id, test_id FROM probes),
-hh AS (SELECT case_id, test_id, method_id, count(*) AS hits FROM probes WHERE kind = 'enter' AND seq % 4 = 0 GROUP BY ALL),
+hh AS (SELECT case_id, test_id, method_id, count(*) AS hits FROM probes WHERE kind = 'enter' GROUP BY ALL),
 cov AS (SELECT te.case_id, te.test_id, m.method_id, hits, CASE WHEN m.method_id LIKE '%#m5' THEN NULL WHEN hits IS NOT NULL THEN true
     WHEN test_id::INT % 2 = 0 AND (m.method_id LIKE 'p.view%' OR m.method_id LIKE 'p.click%') OR test_id::INT % 2 = 1 AND m.method_id LIKE 'p.error%' THEN false END AS covered
     FROM te JOIN m USING (case_id) LEFT JOIN hh USING (case_id, test_id, method_id))"""

@@ -16,7 +16,7 @@ _BUGS = "SELECT o_orderpriority AS project, cast(substr(o_orderpriority, 1, 1) A
 _USAGE = "SELECT 'c' || cast(conv_id % 20 AS string) AS case_id, role AS agent, CASE WHEN turn % 3 > 0 THEN length(text) END AS input_tokens, CASE WHEN turn % 3 > 0 THEN turn END AS output_tokens FROM {conversations}"
 _CFN = "SELECT p_brand AS case_id, 'fs/' || p_type || '.c#' || replace(p_name, ' ', '_') || '@' || cast(p_partkey AS string) AS method_id, replace(p_name, ' ', '_') || cast(p_size % 20 AS string) AS name, 'fs/' || p_type || '.c' AS file, cast(p_partkey % 900 AS int) AS start_line, cast(p_partkey % 900 + p_size * 3 AS int) AS end_line, p_partkey FROM {part}"
 _SYMS = "SELECT DISTINCT p_brand AS case_id, replace(p_name, ' ', '_') || cast(l_quantity % 20 AS int) || CASE WHEN l_linenumber = 1 THEN '.isra.0' WHEN l_linenumber = 2 THEN '.part.3' ELSE '' END AS symbol FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
-_COVERED = "SELECT p_brand AS case_id, CASE WHEN l_linenumber = 7 THEN 'extra' ELSE cast(l_linenumber * 2 AS string) END AS call, method_id FROM {lineitem} JOIN (" + _CFN + ") AS f ON f.p_partkey = l_partkey JOIN {part} AS q ON q.p_partkey = l_partkey WHERE l_quantity < 4"
+_COVERED = "SELECT p_brand AS case_id, CASE WHEN l_linenumber = 7 THEN 'extra' ELSE cast(l_linenumber * 2 AS string) END AS call, method_id FROM {lineitem} JOIN (" + _CFN + ") AS f ON f.p_partkey = l_partkey JOIN {part} AS q ON q.p_partkey = l_partkey"
 _PCALLS = "SELECT DISTINCT p_brand AS case_id, cast(p_size % 11 AS int) AS call_index FROM {part}"
 _COMPLETE = "SELECT p_brand AS case_id, min(p_partkey) % 3 > 0 AS coverage_complete FROM {part} GROUP BY p_brand"
 _DEFS = "SELECT 'u' || cast(user_id AS string) AS case_id, 'r' || regexp_extract(props, '([0-9]+)', 1) AS reference, event_id AS call FROM {events} WHERE event_type = 'signup'"
