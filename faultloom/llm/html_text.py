@@ -7,7 +7,7 @@ rises above a threshold and dives where it falls to nothing: runs of windows bet
 
 Character references are decoded, white space in a line becomes one space, and lines are joined by one space in page order.
 
-Rows are extracted one by one, so no key matters; a very long page costs its own length only.
+Rows are extracted one by one, so no key matters; a very long page costs its own length only, however its elements nest: what is open is counted, not walked.
 
 Edge cases: a null or empty page has an empty text; a quote that is not closed before the next "<" is an ordinary character, so a page is
 read in one pass however broken it is; markup that is cut short or not closed ends with the page; a page without
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +38,7 @@ _HINT = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banners?|sponsor\w*|promo
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])", re.I)
 #: A class of this name holds the article, so a class beside it counts as boilerplate only by its whole name.
 _ARTICLE = frozenset("article article-body article-content entry entry-content main-content page-content post post-body post-content story story-body".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 _WINDOW, _SURGE = 3, 86
 
@@ -60,16 +62,27 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, float]]:
     out: list[tuple[str, bool, bool, float]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []
-    linked = links = at = 0
+    opened: Counter[str] = Counter()  # elements of the stack by tag
+    spans: list[bool] = []  # whether each open span is boilerplate
+    linked = links = at = boilers = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, any(b for _, b in stack), any(t in ("article", "main") for t, _ in stack), min(linked / len(text), 1.0)))
+            out.append((text, boilers > 0, opened["article"] + opened["main"] > 0, min(linked / len(text), 1.0)))
         parts.clear()
         linked = 0
 
+    def close() -> str:
+        nonlocal boilers
+        tag, boiler = stack.pop()
+        opened[tag] -= 1
+        boilers -= boiler
+        if tag == "span":
+            spans.pop()
+        return tag
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -81,29 +94,34 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, float]]:
         if not tag:
             continue
         if tag in _RAW and not m[1] and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
         if tag in _BLOCK:
             flush()
         if tag == "a":
             links = 0 if m[1] else 1
-        if tag in _HOLDER:
-            if not m[1]:
-                if not m[3].rstrip().endswith("/"):
-                    boiler = _boilerplate(tag, m[3], any(t in ("article", "main") for t, _ in stack))
-                    if boiler and tag == "span":
+        if tag not in _HOLDER:
+            continue
+        if not m[1]:
+            if not m[3].rstrip().endswith("/"):
+                boiler = _boilerplate(tag, m[3], opened["article"] + opened["main"] > 0)
+                if tag == "span":
+                    if boiler:
                         flush()
-                    stack.append((tag, boiler))
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        if tag == "span" and stack[i][1]:
-                            flush()
-                        # A span does not close what it lies in.
-                        if tag != "span" or i == len(stack) - 1:
-                            del stack[i:]
-                        break
+                    spans.append(boiler)
+                stack.append((tag, boiler))
+                opened[tag] += 1
+                boilers += boiler
+        elif tag == "span":
+            if spans and spans[-1]:
+                flush()
+            # A span does not close what it lies in.
+            if stack and stack[-1][0] == "span":
+                close()
+        elif opened[tag]:
+            while close() != tag:
+                pass
     if at < len(page):
         parts.append(page[at:])
     flush()

@@ -185,3 +185,12 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
     assert packed.where("length > 2048 OR offset <> 0").count() == 0 and packed.count() > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "text", "<div><p>t</p>" * 30_000, "<span>" + "<div>" * 30_000 + "</span>" * 30_000 + "x", "<p>a</div>" * 60_000, "<article>" * 50_000 + "</main>" * 50_000 + "end"])
+def test_nested_and_unclosed_elements_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    assert html_text.main_text(page)
+    assert time.process_time() - began < 5
