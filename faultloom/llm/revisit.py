@@ -51,15 +51,21 @@ def header_map(lines: Column) -> Column:
     return F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("key"), F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"].alias("value"))))
 
 
+#: What a record must have.
+_OWN = ("record_id", "url", "captured", "kind", "headers", "payload")
+
+
 def resolve_revisits(records: DataFrame, block: Column | None = None) -> DataFrame:
     """The records (record_id, url, captured, kind, headers: map, payload, …) with page, status, refers_to, merged headers and payload.
 
     kind: "response" or "revisit"; `block` dates a record's block of capture time, by default its day.
     """
-    # Columns of the records that the result defines itself are replaced.
-    records = records.drop("page", "status", "refers_to")
+    # Columns of the records that the result defines itself are replaced; the caller's others lie in a struct, so no name of theirs meets one used here.
+    kept = [c for c in records.columns if c not in ("page", "status", "refers_to")]
+    others = [c for c in kept if c not in _OWN]
     page, time = canonical_url(F.col("url")), F.col("captured")
-    held = records.withColumns({"page": page, "wv_block": block if block is not None else F.date_trunc("day", time.cast("timestamp"))})
+    block = block if block is not None else F.date_trunc("day", time.cast("timestamp"))
+    held = records.select(*_OWN, *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("wv_others")] if others else []), page.alias("page"), block.alias("wv_block"))
     full = (F.col("kind") == "response") & F.col("page").isNotNull() & time.isNotNull()
     own = F.when(full, F.struct(time.alias("captured"), "record_id", F.col("headers").alias("headers")))
     narrow = held.select("record_id", "page", "wv_block", "captured", "kind", "headers", own.alias("own"))
@@ -87,7 +93,7 @@ def resolve_revisits(records: DataFrame, block: Column | None = None) -> DataFra
     found = found.join(bodies, "refers_to", "left").dropDuplicates(["record_id"])
     out = held.drop("wv_block").join(found, "record_id", "left")
     return out.select(
-        *(c for c in records.columns if c not in ("payload", "headers")), "page", F.coalesce("status", F.when(F.col("kind") == "revisit", "orphan").otherwise("response")).alias("status"), "refers_to",
+        *(F.col("wv_others")[c].alias(c) if c in others else F.col(c) for c in kept if c not in ("payload", "headers")), "page", F.coalesce("status", F.when(F.col("kind") == "revisit", "orphan").otherwise("response")).alias("status"), "refers_to",
         F.coalesce("merged", "headers").alias("headers"), F.when(F.col("kind") == "revisit", F.col("wv_payload")).otherwise(F.col("payload")).alias("payload"),
     )
 
