@@ -241,7 +241,9 @@ def nearest(vectors: DataFrame, k: int = 20, share: int = 20, recall: float = 0.
     for test in (lambda e: e.isNotNull(), lambda e: ~F.isnan(e) & (F.abs(e) != float("inf"))):
         good &= F.forall("embedding", test)
     good &= F.exists("embedding", lambda e: e != 0)
-    usable = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(good).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    held = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), held.alias("embedding"))
+    usable = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(good)
     widths = usable.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
     spark = vectors.sparkSession
     if not widths:
@@ -261,7 +263,8 @@ def nearest(vectors: DataFrame, k: int = 20, share: int = 20, recall: float = 0.
     slices, blocks = np.ones(parts, np.int64), np.ones(parts, np.int64)
     for r in counts:
         slices[r["part"]], blocks[r["part"]] = max(-(-r["lie"] // slice_rows), 1), max(-(-r["visit"] // block_rows), 1)
-    dealt = numbered.mapInArrow(_route(context.broadcast((router, mass, slices, blocks, share))), "part int, slot int, block int, asks boolean, key long, vec_id long, embedding array<float>")
+    kind = usable.schema["embedding"].dataType.simpleString()
+    dealt = numbered.mapInArrow(_route(context.broadcast((router, mass, slices, blocks, share))), f"part int, slot int, block int, asks boolean, key long, vec_id long, embedding {kind}")
     # One row for a query's visit to a slice; at most k neighbours of each visit meet at the query.
     found = dealt.groupBy("part", "slot", "block").applyInPandas(_search(k), "key long, query_id long, scores array<double>, ids array<long>")
     every = found.groupBy("key", "query_id").agg(F.flatten(F.collect_list(F.arrays_zip("scores", "ids"))).alias("all"))

@@ -194,3 +194,26 @@ def test_nested_and_unclosed_elements_take_linear_time(page):
     began = time.process_time()
     assert html_text.main_text(page)
     assert time.process_time() - began < 5
+
+
+def test_revisits_keep_columns_of_any_name(spark):
+    rows = [(1, "a.com/x", "2024-01-01 10:00:00", "response", {"etag": "1"}, "body"), (2, "a.com/x", "2024-01-02 10:00:00", "revisit", {"etag": "1"}, None)]
+    df = spark.createDataFrame(rows, "record_id long, url string, captured string, kind string, headers map<string,string>, payload string").withColumn("captured", F.col("captured").cast("timestamp"))
+    names = ["merged", "wv_payload", "wv_block", "wv_others", "own", "inside", "carried", "ref", "a.b", "page", "status", "refers_to"]
+    found = revisit.resolve_revisits(df.withColumns({n: F.lit(n) for n in names})).collect()
+    assert {(r.record_id, r["status"], r.payload) for r in found} == {(1, "response", "body"), (2, "resolved", "body")}
+    assert all(r[n] == n for r in found for n in names[:9])
+
+
+@pytest.mark.parametrize("kind", ["float", "double", "int"])
+def test_vectors_of_any_number_type(spark, kind):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 8)) * (100 if kind == "int" else 1)
+    x = x.astype({"float": np.float32, "double": np.float64, "int": np.int32}[kind])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>").withColumns({"key": F.lit("k"), "part": F.lit("p"), "asks": F.lit("a")})
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df, k=3).collect()}
+    exact = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(exact, -np.inf)
+    for q in (0, 20, 40):
+        best = np.argsort(-exact[q])[:3]
+        assert [got[q, i + 1][0] for i in range(3)] == best.tolist() and all(abs(got[q, i + 1][1] - exact[q, b]) < 1e-9 * max(1, abs(exact[q, b])) for i, b in enumerate(best))
