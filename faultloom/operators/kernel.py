@@ -1,4 +1,4 @@
-"""Kernel evidence: symbols, coverage, resources of programs, operations, and the choice of files to index."""
+"""Kernel evidence: symbols, coverage, resources of programs, operations, and names that say nothing."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .containment import substring_pairs
-
 
 def resolve_symbols(symbols: DataFrame, functions: DataFrame, known: DataFrame) -> DataFrame:
     """(case_id, symbol, method_id, candidates): by alias, else by the name without compiler parts if it is unique."""
@@ -167,52 +165,6 @@ STOP_WORDS = [
 ]
 
 
-def keyword_files(reports: DataFrame, paths: DataFrame, most: int = 8, terms: int = 32) -> DataFrame:
-    """(case_id, path, score, rank): paths that hold a term of the case's report, 100 for each term in the path and 25 more in its last part.
-
-    Terms: the first `terms` distinct words of four letters and more that are no stop words. Order: score, then the shorter path, then the path
-    backwards. A term has no slash, so terms are sought in the distinct parts of paths, which lead to the paths.
-    """
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z_][a-z0-9_]{3,})")), lambda w: ~w.isin(STOP_WORDS))
-    asked = reports.select("case_id", F.explode(F.slice(F.array_distinct(words), 1, terms)).alias("term"))
-    parts = paths.select("path", F.posexplode(F.split(F.lower("path"), "/")).alias("pos", "part"), F.size(F.split("path", "/")).alias("n"))
-    hits = substring_pairs(parts.select(F.col("part").alias("text")), asked, []).withColumnRenamed("text", "part")
-    found = parts.join(hits, "part").groupBy("path", "term").agg(F.max((F.col("pos") == F.col("n") - 1).cast("int")).alias("last"))
-    scored = found.join(asked, "term").groupBy("case_id", "path").agg((100 * F.count("*") + 25 * F.sum("last")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), F.length("path"), F.desc("path")))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= most)
-
-
-def defining_file(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(case_id, name, path, rank): the file that defines each wanted function (case_id, name, near).
-
-    Lines with "name(" count, those that look like definitions first; files rank by nearness: the same 0, its folder 1, its top folder 2, others 20,
-    another architecture 80, other drivers 90; 80 and more is none.
-    """
-    called = lines.select("path", F.regexp_extract("line", r"([A-Za-z_]\w*)\(", 1).alias("name"), (F.col("line").rlike(r"^[A-Za-z_].*\)\s*\{?\s*$") & ~F.col("line").rlike(";")).alias("defines")).where("name <> ''")
-    held = called.join(wanted, "name")
-    folder = lambda c: F.regexp_extract(c, r"^(.*)/", 1)
-    top = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
-    rank = (
-        F.when(F.col("path") == F.col("near"), 0).when(folder("path") == folder("near"), 1).when(top("path") == top("near"), 2)
-        .when(top("path") == "arch", 80).when(top("path") == "drivers", 90).otherwise(20)
-    )
-    best = held.withColumn("rank", rank).groupBy("case_id", "name").agg(F.min_by(F.struct("path", "rank"), F.struct(~F.col("defines"), "rank", "path")).alias("b"))
-    return best.select("case_id", "name", F.when(F.col("b.rank") < 80, F.col("b.path")).alias("path"), F.col("b.rank").alias("rank"))
-
-
-def seed_paths(ranked: list[DataFrame], allowed_tops: list[str] | None, most: int = 40) -> DataFrame:
-    """(case_id, path, position): paths of the sources (case_id, path, pos) in order of source and place, each once, in allowed top folders."""
-    union = None
-    for i, df in enumerate(ranked):
-        part = df.select("case_id", "path", F.lit(i).alias("source"), "pos")
-        union = part if union is None else union.unionByName(part)
-    if allowed_tops is not None:
-        union = union.where(F.split_part("path", F.lit("/"), F.lit(1)).isin(allowed_tops))
-    first = union.groupBy("case_id", "path").agg(F.min(F.struct("source", "pos")).alias("at"))
-    return first.withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy("at", "path"))).where(F.col("position") <= most).drop("at")
-
-
 #: Functions and macros that say nothing about where a failure lies.
 GENERIC_FUNCTIONS = [
     "memcpy", "memcpy_orig", "memmove", "memset", "memcmp", "__memcpy", "__memmove", "__memset", "copy_user_generic_unrolled", "copy_user_enhanced_fast_string",
@@ -234,14 +186,3 @@ def report_names(reports: DataFrame, generic: list[str] | None = None) -> DataFr
     """(case_id, pos, name) of the functions that a report names as "name()", in order, each once; names that say nothing are passed over."""
     names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(\)")))
     return reports.select("case_id", F.posexplode(F.filter(names, lambda n: telling_name(n, generic))).alias("pos", "name"))
-
-
-def choose_artifacts(listing: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(case_id, kind, path, recipe): of each kind the file of the first pattern that exists; reports must not be empty.
-
-    patterns: (kind, priority, name); a file matches by its last part.
-    """
-    held = listing.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1)).join(patterns, "name").where("kind <> 'report' OR size > 0")
-    best = held.groupBy("case_id", "kind").agg(F.min_by("path", F.struct("priority", "path")).alias("path"))
-    recipe = F.when(F.endswith("path", F.lit(".c")), "c").when(F.endswith("path", F.lit(".syz")) | F.endswith("path", F.lit(".prog")), "syz").otherwise("text")
-    return best.withColumn("recipe", recipe)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import kernel, upkeep
@@ -139,53 +138,20 @@ def k9_operation_pairs(spark, sf_dir):
     return kernel.operation_pairs(pairs, kernel.containing_function(ops, view(spark, sf_dir, _CFN)))
 
 
-_KPATHS = "SELECT DISTINCT lower(replace(p_type, ' ', '/')) || '/' || replace(p_name, ' ', '/') || '/' || cast(p_size AS string) || '.c' AS path FROM {part}"
 _KREP = "SELECT 'k' || cast(s_suppkey AS string) AS case_id, 'Call trace with ' || lower(p_name) || ' ' || lower(p_type) AS text FROM {supplier} JOIN {part} ON s_suppkey = p_partkey"
 
 
-def k10_keyword_files(spark, sf_dir):
-    return kernel.keyword_files(view(spark, sf_dir, _KREP), view(spark, sf_dir, _KPATHS))
-
-
-_TOPS = "CASE p_size % 5 WHEN 0 THEN 'fs/ext' WHEN 1 THEN 'fs/nfs' WHEN 2 THEN 'arch/arm' WHEN 3 THEN 'drivers/usb' ELSE 'net/core' END"
-_KLINES = f"SELECT {_TOPS} || '/' || lower(p_type) || '.c' AS path, CASE WHEN p_partkey % 2 = 0 THEN 'static int ' || replace(p_name, ' ', '_') || '(void)' ELSE '    x = ' || replace(p_name, ' ', '_') || '(1);' END AS line, replace(p_name, ' ', '_') AS name, p_partkey % 2 = 0 AS defines FROM {{part}} WHERE p_size % 3 > 0"
-_KWANT = "SELECT DISTINCT 'k' || cast(l_suppkey AS string) AS case_id, replace(p_name, ' ', '_') AS name, CASE WHEN l_suppkey % 2 = 0 THEN 'fs/ext/small.c' ELSE 'net/ipv4/a.c' END AS near FROM {lineitem} JOIN {part} ON p_partkey = l_partkey"
-
-
-def k11_defining_files(spark, sf_dir):
-    return kernel.defining_file(view(spark, sf_dir, _KLINES), view(spark, sf_dir, _KWANT))
-
-
-def k12_seed_paths(spark, sf_dir):
-    words = kernel.keyword_files(view(spark, sf_dir, _KREP), view(spark, sf_dir, _KPATHS)).select("case_id", "path", F.col("rank").alias("pos"))
-    found = kernel.defining_file(view(spark, sf_dir, _KLINES), view(spark, sf_dir, _KWANT)).where("path IS NOT NULL").select("case_id", "path", F.dense_rank().over(Window.partitionBy("case_id").orderBy("name")).alias("pos"))
-    return kernel.seed_paths([found, words], None, 10)
-
-
 def k12_report_names(spark, sf_dir):
     reports = view(spark, sf_dir, _KREP).select("case_id", F.concat(F.lit("BUG in "), F.replace(F.split_part("text", F.lit("with "), F.lit(2)), F.lit(" "), F.lit("() ")), F.lit("() kfree() ab() WARN()")).alias("text"))
     return kernel.report_names(reports)
 
 
-_LISTING = "SELECT 'c' || cast(o_custkey AS string) AS case_id, 'd/' || cast(o_orderkey AS string) || '/' || CASE o_orderkey % 5 WHEN 0 THEN 'repro.syz' WHEN 1 THEN 'repro.c' WHEN 2 THEN 'report.txt' WHEN 3 THEN 'report0' ELSE 'junk' END AS path, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 10 END AS size FROM {orders}"
-_PATTERNS = "SELECT DISTINCT CASE n_nationkey % 4 WHEN 0 THEN 'reproducer' WHEN 1 THEN 'reproducer' ELSE 'report' END AS kind, n_nationkey % 4 AS priority, CASE n_nationkey % 4 WHEN 0 THEN 'repro.syz' WHEN 1 THEN 'repro.c' WHEN 2 THEN 'report.txt' ELSE 'report0' END AS name FROM {nation}"
-
-
-def k13_artifacts(spark, sf_dir):
-    return kernel.choose_artifacts(view(spark, sf_dir, _LISTING), view(spark, sf_dir, _PATTERNS))
-
-
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] in "bik" and name[1:2].isdigit()}
 
 _RES = """fn1 AS (SELECT case_id, name, min(method_id) AS only_one, count(*) AS n FROM fns GROUP BY ALL), al AS (SELECT case_id, name || '.isra.0' AS symbol, max(method_id) AS m FROM fns WHERE start_line % 5 = 0 GROUP BY ALL),
 res AS (SELECT s.case_id, s.symbol, coalesce(al.m, CASE WHEN n = 1 THEN only_one END) AS method_id, coalesce(n, 0) AS candidates FROM syms s LEFT JOIN al ON al.case_id = s.case_id AND al.symbol = s.symbol
     LEFT JOIN fn1 ON fn1.case_id = s.case_id AND fn1.name = regexp_replace(s.symbol, '\\.(isra|part)\\.[0-9]+$', ''))"""
 _LOC = """loc AS (SELECT o.case_id, operation_id, o.file, o.line, count(f.method_id) AS holders, CASE WHEN count(f.method_id) = 1 THEN min(f.method_id) END AS method_id FROM ops o LEFT JOIN fns f ON f.case_id = o.case_id AND f.file = o.file AND start_line <= line AND line <= end_line GROUP BY ALL)"""
-_KEY = """terms AS (SELECT DISTINCT case_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{3,}'), lambda w: NOT list_contains(STOP_WORDS, w))) AS term FROM rep),
-sc AS (SELECT case_id, path, sum(100 + CASE WHEN contains(string_split(path, '/')[-1], term) THEN 25 ELSE 0 END)::BIGINT AS score FROM paths JOIN terms ON contains(path, term) GROUP BY ALL),
-kw AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, len(path), path DESC)::INT AS rank FROM sc QUALIFY rank <= 8)""".replace("STOP_WORDS", str(kernel.STOP_WORDS))
-_DEF = """dr AS (SELECT w.case_id, w.name, path, defines, CASE WHEN path = near THEN 0 WHEN regexp_extract(path, '^(.*)/', 1) = regexp_extract(near, '^(.*)/', 1) THEN 1 WHEN string_split(path, '/')[1] = string_split(near, '/')[1] THEN 2 WHEN path LIKE 'arch/%' THEN 80 WHEN path LIKE 'drivers/%' THEN 90 ELSE 20 END AS rank FROM lines JOIN want w USING (name)),
-df AS (SELECT case_id, name, CASE WHEN rank < 80 THEN path END AS path, rank FROM dr QUALIFY row_number() OVER (PARTITION BY case_id, name ORDER BY defines DESC, rank, path) = 1)"""
 SQL = {
     "b1_round_robin": with_views("""
 WITH v AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY bug_id::BIGINT) - 1 AS turn FROM bugs WHERE bug_id NOT LIKE 'x%' AND o_orderstatus <> 'P')
@@ -240,12 +206,4 @@ SELECT case_id, (row_number() OVER (PARTITION BY case_id ORDER BY pos) - 1)::INT
 SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[greatest(doc_id % 6 - 1, 1):doc_id % 6 + 3], chr(10))) AS snippet_md5 FROM documents""",
     "k9_operation_pairs": with_views(f"""WITH {_LOC}, kn AS (SELECT DISTINCT case_id, file, line, method_id FROM loc WHERE method_id IS NOT NULL)
 SELECT DISTINCT a.case_id, a.file AS from_file, a.line AS from_line, b.file AS to_file, b.line AS to_line, a.method_id FROM kn a JOIN kn b ON a.case_id = b.case_id AND a.file = b.file AND a.method_id = b.method_id AND b.line - a.line BETWEEN 1 AND 29""", ops=_OPS, fns=_CFN),
-    "k10_keyword_files": with_views(f"WITH {_KEY} SELECT * FROM kw", rep=_KREP, paths=_KPATHS),
-    "k11_defining_files": with_views(f"WITH {_DEF} SELECT * FROM df", lines=_KLINES, want=_KWANT),
-    "k12_seed_paths": with_views(f"""WITH {_KEY}, {_DEF}, u AS (SELECT case_id, path, 0 AS source, dense_rank() OVER (PARTITION BY case_id ORDER BY name) AS pos FROM df WHERE path IS NOT NULL UNION ALL SELECT case_id, path, 1, rank FROM kw),
-f AS (SELECT case_id, path, min((source, pos)) AS at_ FROM u GROUP BY ALL)
-SELECT case_id, path, row_number() OVER (PARTITION BY case_id ORDER BY at_, path)::INT AS position FROM f QUALIFY position <= 10""", rep=_KREP, paths=_KPATHS, lines=_KLINES, want=_KWANT),
-    "k13_artifacts": with_views("""
-SELECT case_id, kind, path, CASE WHEN path LIKE '%.c' THEN 'c' WHEN path LIKE '%.syz' THEN 'syz' ELSE 'text' END AS recipe FROM listing JOIN pat ON string_split(path, '/')[-1] = name WHERE kind <> 'report' OR size > 0
-QUALIFY row_number() OVER (PARTITION BY case_id, kind ORDER BY priority, path) = 1""", listing=_LISTING, pat=_PATTERNS),
 }
