@@ -1,9 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page. A line's length is that of its text, and 0 if it lies in a
-navigation, header, footer, sidebar, form, notice, advert or comment element, outside the page's article or main element
-if there is one, or consists of links. Lengths are summed over sliding windows of three lines. The text surges where the sum
-rises above a threshold and dives where it falls to nothing: runs of windows between dives that hold a surge are kept, whole.
+Markup is stripped to lines, one for each block of the page. If the page has an article or main element, its lines are the text, whole, but for
+boilerplate elements in it (navigation, footers, sidebars, forms, notices, adverts, comments; buttons and headers count only outside an article). An
+article that lies in boilerplate, as in a wrapper named "comments-page", wins if it has more text than all that is no boilerplate; hidden elements and comments proper stay out.
+An element that the page opens but never closes ends where an article begins.
+
+Other pages are decided by the distribution: a line's length is that of its text, and 0 in boilerplate or if it consists of links. Lengths are summed over
+sliding windows of three lines. The text surges where the sum rises above a threshold and dives where it falls to nothing: runs of windows between
+dives that hold a surge are kept, whole, and with them the lines that lie in the same element as one of theirs. If all of a page is boilerplate, elements whose name
+says something else too ("alert-level") count as text.
 
 Character references are decoded, white space in a line becomes one space, and lines are joined by one space in page order.
 
@@ -20,6 +25,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,56 +37,85 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul video".split())
 #: Elements that hold others and need an end tag, so they nest.
-_HOLDER = frozenset("address article aside blockquote body button details dialog div dl fieldset figure footer form head header html main menu nav noscript ol section select span table ul".split())
-_RAW = frozenset("script style template svg object canvas textarea noscript iframe".split())
-_DROPPED = frozenset("nav footer aside form head button select dialog menu noscript".split())
+_HOLDER = frozenset("address article aside blockquote body button details dialog div dl fieldset figure footer form head header html main menu nav noscript ol section select span svg table ul".split())
+_RAW = frozenset("script style template object canvas textarea iframe".split())
+_DROPPED = frozenset("nav footer aside form head select dialog menu".split())
+#: Dropped unless they lie in an article.
+_OUTSIDE = frozenset("header button noscript svg".split())
+_WRAPS = "nav header footer aside form menu dialog".split()
+_WRAP = re.compile(rf"<(/?)({'|'.join(_WRAPS)})\b", re.I)
 _HINT = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banners?|sponsor\w*|promo\w*|side-?bars?|menus?|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|comments?|commentlist|disqus|replies|reply|respond|shar(?:e|ing)|social|related|recommend\w*|newsletter|subscri\w*|footer|masthead|widgets?|paginat\w*|pager|login|sign-?up|toolbar)(?:$|[\s_-])", re.I)
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])", re.I)
 #: A class of this name holds the article, so a class beside it counts as boilerplate only by its whole name.
-_ARTICLE = frozenset("article article-body article-content entry entry-content main-content page-content post post-body post-content story story-body".split())
+_ARTICLE = frozenset("article article-body article-content content entry entry-content main main-content page-content post post-body post-content story story-body".split())
+#: Parts of names that say nothing of what an element holds.
+_NEUTRAL = frozenset("area bar block box container item items list section wrap wrapper".split())
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 _WINDOW, _SURGE = 3, 86
 
 
-def _boilerplate(tag: str, attributes: str, within: bool) -> bool:
-    if tag in _DROPPED or tag == "header" and not within:
-        return True
+def _kind(tag: str, attributes: str, within: bool) -> int:
+    """How surely an element is boilerplate: 0 not, 1 by a name that says something else too, 2 by its tag, role or name, 3 beyond what an article in it could change."""
     own = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-    if not own:
-        return False
-    if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", "")) or own.get("role", "").lower() in _ROLES:
-        return True
+    if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
+        return 3
+    if tag in _DROPPED or tag in _OUTSIDE and not within or own.get("role", "").lower() in _ROLES:
+        return 2
     named = f"{own.get('class', '')} {own.get('id', '')}"
-    if _ARTICLE.intersection(named.lower().split()):
-        return bool(_COMMENT.search(named)) or any(_HINT.fullmatch(x) for x in named.split())
-    return bool((_COMMENT if tag in ("article", "main", "body", "html") else _HINT).search(named))
-
-
-def page_lines(page: str) -> list[tuple[str, bool, bool, float]]:
-    """Lines of a page: text, whether it lies in boilerplate, whether in an article or main element, share of its text in links."""
-    out: list[tuple[str, bool, bool, float]] = []
+    tokens = named.lower().split()
+    if _ARTICLE.intersection(tokens):
+        hit = [x for x in tokens if _HINT.fullmatch(x) or _COMMENT.search(x)]
+    else:
+        hit = [x for x in tokens if (_COMMENT if tag in ("article", "main", "body", "html") else _HINT).search(x)]
+    if not hit:
+        return 0
+    sure = [x for x in hit if all(_HINT.fullmatch(part) or part in _NEUTRAL for part in re.split("[_-]", x))]
+    return 3 if any(_COMMENT.search(x) for x in sure) else 2 if sure else 1
+
+
+class Line(NamedTuple):
+    text: str
+    boiler: int  # the surest kind of boilerplate it lies in
+    article: bool  # in an article or main element
+    freed: bool  # in an article or main element within boilerplate, and in no further boilerplate there
+    links: float  # share of its text in links
+    box: int | None  # the innermost element that holds it, body and inline elements aside
+
+
+def page_lines(page: str) -> list[Line]:
+    """Lines of a page, one for each block."""
+    out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []
+    boxes: list[int | None] = [None]  # of the open elements but spans
     opened: Counter[str] = Counter()  # elements of the stack by tag
+    kinds = [0, 0, 0, 0]  # elements of the stack by kind
     spans: list[bool] = []  # whether each open span is boilerplate
-    linked = links = at = boilers = 0
+    unclosed = Counter(m[2].lower() if not m[1] else "/" + m[2].lower() for m in _WRAP.finditer(page))
+    free: tuple[int, int] | None = None  # of an article in boilerplate: depth of the stack and boilerplate around it
+    linked = links = at = made = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, boilers > 0, opened["article"] + opened["main"] > 0, min(linked / len(text), 1.0)))
+            boiler = 3 if kinds[3] else 2 if kinds[2] else 1 if kinds[1] else 0
+            out.append(Line(text, boiler, opened["article"] + opened["main"] > 0, free is not None and sum(kinds[1:]) == free[1], min(linked / len(text), 1.0), boxes[-1]))
         parts.clear()
         linked = 0
 
     def close() -> str:
-        nonlocal boilers
-        tag, boiler = stack.pop()
+        nonlocal free
+        tag, kind = stack.pop()
         opened[tag] -= 1
-        boilers -= boiler
+        kinds[kind] -= 1
         if tag == "span":
             spans.pop()
+        else:
+            boxes.pop()
+        if free and len(stack) < free[0]:
+            free = None
         return tag
 
     for m in _TOKEN.finditer(page):
@@ -105,14 +140,26 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, float]]:
             continue
         if not m[1]:
             if not m[3].rstrip().endswith("/"):
-                boiler = _boilerplate(tag, m[3], opened["article"] + opened["main"] > 0)
+                if tag in ("article", "main"):
+                    # What the page never closes ends where the article begins.
+                    for wrap in _WRAPS:
+                        while opened[wrap] and unclosed[wrap] > unclosed["/" + wrap]:
+                            unclosed[wrap] -= 1
+                            while close() != wrap:
+                                pass
+                kind = _kind(tag, m[3], opened["article"] + opened["main"] > 0)
                 if tag == "span":
-                    if boiler:
+                    if kind:
                         flush()
-                    spans.append(boiler)
-                stack.append((tag, boiler))
+                    spans.append(kind > 0)
+                else:
+                    made += 1
+                    boxes.append(None if tag in ("body", "html") else made)
+                stack.append((tag, kind))
                 opened[tag] += 1
-                boilers += boiler
+                kinds[kind] += 1
+                if tag in ("article", "main") and not kind and free is None and not kinds[3] and kinds[1] + kinds[2]:
+                    free = (len(stack), kinds[1] + kinds[2])
         elif tag == "span":
             if spans and spans[-1]:
                 flush()
@@ -130,23 +177,27 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, float]]:
 
 def main_text(page: str) -> str:
     lines = page_lines(page)
-    if not lines:
+    if any(x.article and not x.boiler for x in lines):
+        return " ".join(x.text for x in lines if x.article and not x.boiler)
+    plain = [0 if x.boiler or x.links > 0.8 else len(x.text) for x in lines]
+    if sum(len(x.text) for x in lines if x.freed) > sum(plain):
+        return " ".join(x.text for x in lines if x.freed)
+    size = plain if any(plain) else [len(x.text) if x.boiler == 1 and x.links <= 0.8 else 0 for x in lines]
+    if not any(size):
         return ""
-    inside = any(a and not b for _, b, a, _ in lines)
-    size = [0 if b or (inside and not a) or (link > 0.8 and not (inside and a)) else len(t) for t, b, a, link in lines]
     sums = [sum(size[max(i, 0) : i + _WINDOW]) for i in range(1 - _WINDOW, len(size))]
     surge = min(_SURGE, max(sums) / 2)
-    kept: list[str] = []
+    kept: set[int] = set()
     begin = None
     for i, s in enumerate([*sums, 0]):
         if s and begin is None:
             begin = i
         elif not s and begin is not None:
             if max(sums[begin:i]) >= surge:
-                lo, hi = max(begin + 1 - _WINDOW, 0), min(i + 1 - _WINDOW + _WINDOW - 1, len(size))
-                kept += [lines[j][0] for j in range(lo, hi) if size[j]]
+                kept.update(j for j in range(max(begin + 1 - _WINDOW, 0), min(i, len(size))) if size[j])
             begin = None
-    return " ".join(kept)
+    boxes = {lines[j].box for j in kept} - {None}
+    return " ".join(x.text for j, x in enumerate(lines) if j in kept or size[j] and x.box in boxes)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
 """Chat, revisits, pages, vectors and the pipeline."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +219,36 @@ def test_vectors_of_any_number_type(spark, kind):
     for q in (0, 20, 40):
         best = np.argsort(-exact[q])[:3]
         assert [got[q, i + 1][0] for i in range(3)] == best.tolist() and all(abs(got[q, i + 1][1] - exact[q, b]) < 1e-9 * max(1, abs(exact[q, b])) for i, b in enumerate(best))
+
+
+W = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="related-articles content"><p>{W}</p></div>', W),
+        (f'<div class="comments-page"><article><p>{W}</p></article></div><p>short</p>', W),
+        (f'<div id="content"><div class="alert-level"><p>{W}</p></div></div>', W),
+        (f"<nav><ul><li>a<li>b</ul><article><p>{W}</p></article>", W),
+        (f"<nav><article>card</article></nav><article><p>{W}</p></article>", W),
+        (f"<article><p>{W}</p><aside><p>a</p><p>b</p><p>c</p><p>d</p></aside><p>The end came.</p></article>", f"{W} The end came."),
+        (f'<div id="content"><p>{W}</p><ul class="menu"><li>a<li>b<li>c<li>d</ul><p>Fin.</p></div><div>Copyright</div>', f"{W} Fin."),
+        (f"<article>{W}<noscript>n</noscript><svg><text>s</text></svg><button>t</button></article><button>no</button>", f"{W} n s t"),
+        (f'<p>{W}</p><div id="comments"><article>{W} {W}</article></div>', W),
+        (f'<p>{W}</p><div style="display:none"><article>{W} {W}</article></div>', W),
+        (f'<p>{W}</p><section class="related"><article>teaser</article></section>', W),
+        ('<div class="cookie-notice">We use cookies</div>', ""),
+        (f'<form><main>{W}<form>f</form> z</main></form>', f"{W} z"),
+        (f'<article>{W}<div class="comment-list"><article>c</article></div></article>', W),
+    ],
+)
+def test_articles_in_wrappers_and_short_runs_stay(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<div><p>t</p>" * 30_000, "<nav><article>" * 50_000 + W, "<nav>" * 50_000 + "<article>" * 50_000, "<span class=ad>" * 80_000])
+def test_nested_markup_takes_linear_time(page):
+    begun = time.monotonic()
+    html_text.main_text(page)
+    assert time.monotonic() - begun < 5
