@@ -10,11 +10,13 @@ How it is dealt out: patterns are summed map-side, and only their sums reach the
 `most_patterns` patterns is refused, as the flow is for a designed mix of named sources. Selection never
 sorts a pattern in one task. A pattern gives `whole` copies of all its documents and one more copy of those whose
 place in the seeded order lies below a threshold; the place falls into one of 4096 buckets, the sums of the
-buckets find the one that the threshold is in, and only that bucket (1 / 4096 of its pattern) is sorted.
+buckets find the one that the threshold is in, and only that bucket (1 / 4096 of its pattern) is sorted. What the threshold leaves open, because
+the next document is too long for it, goes to later documents that fit, by a further threshold among those, `turns` of them in all.
 
 Edge cases: a null text counts no words and is never taken; a null source is a source of its own, last in
 order; sources without words get the target 0; an empty table gives an empty result; repeated rows with
-the same id are ranked together and each counted.
+the same id have one place and are taken all or none, as are documents without an id; documents without sources are never taken; very long texts only
+count more words. The documents' own columns travel in a struct, so no name clashes.
 """
 
 from __future__ import annotations
@@ -24,8 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, table
 
-_BUCKETS = 4096
-
 
 def water_targets(sizes: list[float], weights: list[float], share: float, most: float) -> list[float]:
     """Targets by weight that sum to share * all sizes, none above most * its size, the excess reshared by weight."""
@@ -92,52 +92,76 @@ def seeded_place(doc_id, seed: int):
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, size, sources, targets: dict[str | None, float], copies: int = 2, seed: int = 0, most_patterns: int = 10_000) -> DataFrame:
-    """The documents with mix_size (words of one copy) and taken (words that the mix takes, repeats counted).
-
-    size: the words of a document; sources: an array of the sources that hold it; targets: words wanted of each
-    source. No document is taken more than `copies` times.
-    """
-    held = docs.withColumns({"mix_size": size, "mix_pattern": F.array_sort(F.array_distinct(sources)), "mix_place": seeded_place(F.col("doc_id"), seed)})
-    held = held.withColumn("mix_bucket", F.shiftright("mix_place", 48).cast("int"))
-    sums = held.groupBy("mix_pattern").agg(F.sum("mix_size").alias("n")).limit(most_patterns + 1).collect()
+def _next_cut(narrow: DataFrame, asked: list[tuple[list, int, float, float]]) -> list:
+    """For each pattern asked, how far its documents of a later place than `after` and of at most `most` words go into `rest` words: the place up to which, and their words."""
+    spark = narrow.sparkSession
+    pattern = narrow.schema["pattern"].dataType.simpleString()
+    wanted = F.broadcast(spark.createDataFrame(asked, f"pattern {pattern}, after long, most double, rest double"))
+    open_to = narrow.join(wanted, "pattern").where("place > after AND size <= most").withColumn("bucket", F.shiftright("place", 48).cast("int"))
+    # Sums of at most 4096 buckets a pattern; the window runs over those sums only.
+    buckets = open_to.groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("n"))
+    before = buckets.withColumn("before", F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("n"))
+    over = F.col("before") + F.col("n") > F.col("rest")
+    # Sums only grow, so the least bucket that goes over and the least sum before one belong together.
+    split = before.groupBy("pattern").agg(F.sum("n").alias("total"), F.min(F.when(over, F.col("bucket"))).alias("bucket"), F.min(F.when(over, F.col("before"))).alias("before"))
+    # Only the bucket of the threshold is sorted.
+    near = open_to.join(F.broadcast(split.where("bucket IS NOT NULL").select("pattern", "bucket", "before")), ["pattern", "bucket"])
+    fits = near.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("pattern").orderBy("place"))).where("upto <= rest")
+    last = fits.groupBy("pattern").agg(F.max("place").alias("place"), F.max("upto").alias("upto"))
+    whole = F.col("bucket").isNull()
+    place = F.when(whole, F.lit(2**60)).otherwise(F.coalesce("place", F.shiftleft(F.col("bucket").cast("long"), 48) - 1))
+    used = F.when(whole, F.col("total")).otherwise(F.coalesce("upto", "before"))
+    return split.join(last, "pattern", "left").select("pattern", place.alias("place"), used.alias("used")).collect()
+
+
+def _routed(docs: DataFrame, size, sources, targets: dict[str | None, float], copies: int, seed: int, most_patterns: int, turns: int) -> DataFrame:
+    """(row, size, pattern, taken): the documents' own columns in a struct, so that none can clash."""
+    none = F.array().cast(docs.select(sources.alias("s")).schema["s"].dataType)
+    parts = {"size": F.coalesce(size, F.lit(0)).cast("long"), "pattern": F.coalesce(F.array_sort(F.array_distinct(sources)), none), "place": seeded_place(F.col("doc_id"), seed)}
+    own = [c.alias(k) for k, c in parts.items()]
+    narrow = checkpointed(docs.select(*own))
+    sums = narrow.groupBy("pattern").agg(F.sum("size").alias("n")).limit(most_patterns + 1).collect()
     if len(sums) > most_patterns:
         raise ValueError(f"more than {most_patterns} membership patterns")
     names = list(targets)
     index = {name: i for i, name in enumerate(names)}
-    patterns = [(tuple(index[x] for x in r["mix_pattern"] if x in index), int(r["n"] or 0)) for r in sums]
+    patterns = [(tuple(index[x] for x in r["pattern"] if x in index), int(r["n"])) for r in sums]
     flow = route_capacity(patterns, [targets[x] for x in names], copies)
-    want = []
+    whole, rest, cuts = {}, {}, {}
     for r, (_, n), row in zip(sums, patterns, flow, strict=True):
-        total = sum(row)
-        whole = min(int(total / n + 1e-12), copies) if n else 0
-        want.append((r["mix_pattern"], whole, round(float(total - whole * n), 6)))
-    spark = docs.sparkSession
-    element = held.schema["mix_pattern"].dataType.elementType.simpleString()
-    plan = F.broadcast(spark.createDataFrame(want, f"mix_pattern array<{element}>, mix_whole int, mix_rest double"))
+        key, total = tuple(r["pattern"]), float(sum(row))
+        whole[key] = min(int(total / n + 1e-12), copies) if n else 0
+        rest[key], cuts[key] = round(total - whole[key] * n, 6), []
+    after, most = dict.fromkeys(rest, -1), dict.fromkeys(rest, float(2**62))
+    for _ in range(turns):
+        asked = [(list(k), after[k], most[k], v) for k, v in rest.items() if v >= 1]
+        found = _next_cut(narrow, asked) if asked else []
+        for r in found:
+            key = tuple(r["pattern"])
+            cuts[key].append((r["place"], most[key]))
+            rest[key] = round(rest[key] - r["used"], 6)
+            after[key], most[key] = r["place"], rest[key]
+    plan = docs.sparkSession.createDataFrame([(list(k), whole[k], cuts[k]) for k in cuts], f"pattern {narrow.schema['pattern'].dataType.simpleString()}, whole int, cuts array<struct<place:long,most:double>>")
+    joined = docs.select(F.struct("*").alias("row"), *own).join(F.broadcast(plan), "pattern")
+    more = F.exists("cuts", lambda c: (F.col("place") <= c["place"]) & (F.col("size") <= c["most"])).cast("int")
+    return joined.select("row", "size", "pattern", (F.least(F.col("whole") + more, F.lit(copies)) * F.col("size")).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, size, sources, targets: dict[str | None, float], copies: int = 2, seed: int = 0, most_patterns: int = 10_000, turns: int = 4) -> DataFrame:
+    """The documents with mix_size (words of one copy) and taken (words that the mix takes, repeats counted), in place of columns of these names.
 
-    # Sums of at most 4096 buckets a pattern; the window runs over those sums only.
-    buckets = held.groupBy("mix_pattern", "mix_bucket").agg(F.sum("mix_size").alias("n"))
-    upto = Window.partitionBy("mix_pattern").orderBy("mix_bucket")
-    before = buckets.withColumn("mix_before", F.sum("n").over(upto) - F.col("n")).join(plan, "mix_pattern")
-    split = before.where("mix_before <= mix_rest AND mix_before + n > mix_rest").groupBy("mix_pattern").agg(F.min_by("mix_bucket", "mix_before").alias("mix_at"), F.min("mix_before").alias("mix_before"))
-    cuts = F.broadcast(plan.join(split, plan["mix_pattern"].eqNullSafe(split["mix_pattern"]), "left").select(plan["mix_pattern"], "mix_whole", "mix_rest", "mix_at", "mix_before"))
-    joined = held.join(cuts, "mix_pattern")
-    joined = joined.withColumn("mix_near", F.coalesce(F.col("mix_bucket") == F.col("mix_at"), F.lit(False)))
-    # Only the bucket of the threshold is sorted: its documents are ranked apart, and the rest passes by.
-    rank = Window.partitionBy("mix_pattern").orderBy("mix_place", "doc_id")
-    near = joined.where("mix_near").withColumn("mix_upto", F.col("mix_before") + F.sum("mix_size").over(rank))
-    more = F.when(F.col("mix_upto") <= F.col("mix_rest"), 1).otherwise(0)
-    far = joined.where("NOT mix_near").withColumn("mix_upto", F.lit(None).cast("double"))
-    below = F.when(F.col("mix_at").isNull() | (F.col("mix_bucket") < F.col("mix_at")), F.when(F.col("mix_rest") > 0, 1).otherwise(0)).otherwise(0)
-    both = near.withColumn("mix_more", more).unionByName(far.withColumn("mix_more", below))
-    taken = (F.least(F.col("mix_whole") + F.col("mix_more"), F.lit(copies)) * F.col("mix_size")).cast("long")
-    return both.withColumn("taken", taken).drop("mix_whole", "mix_rest", "mix_at", "mix_before", "mix_near", "mix_upto", "mix_more", "mix_bucket", "mix_place")
-
-
-def source_weights(docs: DataFrame, size, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> tuple[dict[str | None, int], dict[str | None, float]]:
-    """Sizes and targets of the sources in order of code points, null last, weighed in turn."""
-    sums = docs.groupBy("source").agg(F.sum(size).alias("n")).collect()
+    size: the words of a document; sources: an array of the sources that hold it; targets: words wanted of each
+    source. No document is taken more than `copies` times.
+    """
+    out = _routed(docs, size, sources, targets, copies, seed, most_patterns, turns)
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("mix_size", "taken")), F.col("size").alias("mix_size"), "taken")
+
+
+def source_weights(docs: DataFrame, size, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, most_sources: int = 10_000) -> tuple[dict[str | None, int], dict[str | None, float]]:
+    """Sizes and targets of the sources in order of code points, null last, weighed in turn; a table of more than `most_sources` is refused."""
+    sums = docs.groupBy("source").agg(F.sum(size).alias("n")).limit(most_sources + 1).collect()
+    if len(sums) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     order = sorted(sums, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [int(r["n"] or 0) for r in order]
     targets = water_targets(sizes, [weights[i % len(weights)] for i in range(len(order))], share, most)
@@ -149,13 +173,14 @@ def words_in(text):
 
 
 def mixed_documents(docs: DataFrame, size, seed: int = 0) -> DataFrame:
-    """The documents with mix_size, source_size, target and taken, mixed by source under the default weights."""
-    docs = docs.drop("source_size", "target", "taken")
+    """The documents with mix_size, source_size, target and taken (in place of columns of these names), mixed by source under the default weights."""
     sizes, targets = source_weights(docs, size)
-    out = mix(docs, size, F.array("source"), targets, copies=2, seed=seed)
-    # One row a source, as many as the flow's patterns, which `mix` has bounded.
-    known = F.broadcast(docs.sparkSession.createDataFrame([(k, n, targets[k]) for k, n in sizes.items()], "mix_source string, source_size long, target double"))
-    return out.join(known, out["source"].eqNullSafe(known["mix_source"])).drop("mix_source", "mix_pattern")
+    out = _routed(docs, size, F.array("source"), targets, 2, seed, 10_000, 4)
+    # One row a source, as many as the flow's patterns, which are bounded.
+    known = F.broadcast(docs.sparkSession.createDataFrame([(k, n, targets[k]) for k, n in sizes.items()], "known string, source_size long, target double"))
+    held = out.join(known, F.col("row")["source"].eqNullSafe(F.col("known")))
+    new = ("mix_size", "source_size", "target", "taken")
+    return held.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in new), F.col("size").alias("mix_size"), "source_size", "target", "taken")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +189,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(sized, F.col("size")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+
+def _turn(i: int) -> str:
+    """SQL of one more threshold: of the documents that are not taken yet and fit, the first in order that fit together."""
+    return f"""q{i} AS (SELECT *, NOT fits AND size <= gap AS open, sum(CASE WHEN NOT fits AND size <= gap THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place) AS upto FROM p{i}),
+p{i + 1} AS (SELECT * EXCLUDE (open, upto, gap, fits), fits OR open AND upto <= gap AS fits, round(gap - coalesce(max(CASE WHEN open AND upto <= gap THEN upto END) OVER (PARTITION BY source), 0), 6) AS gap FROM q{i})"""
+
+
+_TURNS = ",\n".join(_turn(i) for i in range(4))
 SQL = {
     "op2_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -173,8 +206,7 @@ r AS (SELECT *, sum(2 * n) OVER (ORDER BY 2 * n / w) - 2 * n AS before, sum(w) O
     1.5 * (SELECT sum(n) FROM s) AS total FROM s),
 level AS (SELECT arg_min({'left': total - before, 'weight': weight}, 2 * n / w) AS l FROM r WHERE 2 * n * weight > (total - before) * w),
 t AS (SELECT source, n, least(2 * n, coalesce(l.left * w / l.weight, 2 * n)) AS target FROM s, level),
-p AS (SELECT d.*, n, target, least(floor(target / greatest(n, 1)), 2) AS whole,
-    sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, round(target, 6) AS target,
-    CAST(size * least(2, whole + CASE WHEN upto <= round(target - whole * n, 6) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p""",
+p0 AS (SELECT d.*, n, target, least(floor(target / greatest(n, 1)), 2) AS whole, round(target - least(floor(target / greatest(n, 1)), 2) * n, 6) AS gap, false AS fits FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+""" + _TURNS + """
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, round(target, 6) AS target, CAST(size * least(2, whole + CASE WHEN fits THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p4""",
 }

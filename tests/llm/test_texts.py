@@ -262,6 +262,30 @@ def test_windows_are_dealt_out_evenly():
     assert rows.ask.map(len).sum() == 0 and rows.known_key.map(len).sum() == 8 * 2 * n and rows.known_key.map(len).max() < 4 * 8 * 2 * n / 31
 
 
+def test_mixing_fills_up_and_takes_any_column(spark):
+    """Against the rule itself: documents in order of place, each taken if it still fits; columns with the operator's own names pass through."""
+    names = "mix_whole mix_at mix_pattern mix_source mix_place mix_bucket row pattern place whole cuts known n rest".split()
+    sizes = [5000, 40, 1, 300, 77, 77, 9, 2500, 60, 13] * 12
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0], s, *names) for i, s in enumerate(sizes)], ["doc_id", "source", "size", *names]).repartition(5)
+    out = mixing.mixed_documents(df, F.col("size"), seed=4).collect()
+    place = {r.doc_id: r.p for r in df.select("doc_id", mixing.seeded_place(F.col("doc_id"), 4).alias("p")).collect()}
+    assert len(out) == len(sizes) and all(r[n] == n for r in out for n in names)
+    for source in "ab":
+        own = sorted((r for r in out if r.source == source), key=lambda r: place[r.doc_id])
+        whole = min(int(own[0].target / own[0].source_size), 2)
+        left, short = own[0].target - whole * own[0].source_size, []
+        for r in own:
+            fits = r["size"] <= left
+            left -= r["size"] * fits
+            short.append(r.taken != min(whole + fits, 2) * r["size"])
+        assert own[0].target - sum(r.taken for r in own) <= left + 60 and (left > 1 or not any(short))
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.005 * own[0].target
+    with pytest.raises(ValueError, match="sources"):
+        mixing.source_weights(df, F.col("size"), most_sources=1)
+    untold = mixing.mix(df, F.col("size"), F.when(F.col("doc_id") > 3, F.array("source")), {"a": 100.0, "b": 50.0}).collect()
+    assert sum(r.taken for r in untold) <= 150 and all(r.taken == 0 for r in untold if r.doc_id <= 3)
+
+
 def test_mixing_meets_targets(docs):
     size = mixing.words_in(F.col("text"))
     out = mixing.mixed_documents(docs, size, seed=1).collect()
