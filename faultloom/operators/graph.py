@@ -234,3 +234,25 @@ def method_records(entities: DataFrame, texts: DataFrame, known: DataFrame) -> D
     """(case_id, method_id, class_name, name, file, line, end_line, source) of the aliased functions."""
     own = known.where("NOT ambiguous").join(entities.drop("method_id"), ["case_id", "entity_id"]).join(texts, ["case_id", "entity_id"], "left")
     return own.select("case_id", "method_id", F.split_part("method_id", F.lit("#"), F.lit(1)).alias("class_name"), "name", "file", "line", "end_line", F.col("text").alias("source"))
+
+
+def test_records(tests: DataFrame, texts: DataFrame, reports: DataFrame) -> DataFrame:
+    """(case_id, test_id, source_entity_id, source, failure_text) of failing tests, with the source of their method if it is known and their report's text or "".
+
+    tests: (case_id, test_id, source_entity_id); texts: (case_id, entity_id, text); reports: entities (case_id, entity_id, content), of ids "report:<test_id>".
+    """
+    source = texts.select("case_id", F.col("entity_id").alias("source_entity_id"), F.col("text").alias("source"))
+    told = reports.where(F.startswith("entity_id", F.lit("report:"))).select("case_id", F.substring("entity_id", 8, 2**31 - 1).alias("test_id"), F.col("content").alias("failure_text"))
+    out = tests.join(source, ["case_id", "source_entity_id"], "left").join(told, ["case_id", "test_id"], "left")
+    return out.select("case_id", "test_id", "source_entity_id", "source", F.coalesce("failure_text", F.lit("")).alias("failure_text"))
+
+
+def record_entities(methods: DataFrame, tests: DataFrame) -> DataFrame:
+    """(case_id, entity_id, kind, name, method_id, file, line, end_line, content): the inverse, entities of plain records; nothing is known of what ran.
+
+    methods: (case_id, method_id, name, file, line, end_line, source), a missing name is the method's part of the id; tests: (case_id, failure_text), one a case.
+    """
+    name = F.coalesce(F.nullif("name", F.lit("")), F.regexp_extract("method_id", r"([^#]*)$", 1))
+    own = methods.select("case_id", F.concat(F.lit("func:"), "method_id").alias("entity_id"), F.lit("function").alias("kind"), name.alias("name"), "method_id", "file", "line", "end_line", F.col("source").alias("content"))
+    told = tests.select("case_id", F.lit("report").alias("entity_id"), F.lit("crash_report").alias("kind"), F.lit("crash report").alias("name"), F.coalesce("failure_text", F.lit("")).alias("content"))
+    return own.unionByName(told, allowMissingColumns=True)

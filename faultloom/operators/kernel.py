@@ -51,6 +51,20 @@ def provenance_problems(manifests: DataFrame) -> DataFrame:
     return manifests.select("case_id", problem.alias("problem"))
 
 
+def imported_matches_problems(imports: DataFrame, digests: DataFrame, roots: DataFrame, indexed: DataFrame, version: int = 1) -> DataFrame:
+    """(case_id, import_id, problem, file): why imported matches can't be taken, null if they can.
+
+    imports: (case_id, import_id, schema_version, source_root); digests: (case_id, import_id, file, sha256) of the files they were made from; roots: (case_id, indexed_root);
+    indexed: (case_id, file, sha256). In this order: another schema, another source root (where one is indexed), the first file that is indexed with other content.
+    """
+    other = digests.alias("d").join(indexed.select("case_id", "file", F.col("sha256").alias("now")), ["case_id", "file"]).where("now <> d.sha256 OR d.sha256 IS NULL AND now IS NOT NULL")
+    first = other.groupBy("case_id", "import_id").agg(F.min("file").alias("changed"))
+    held = imports.join(roots, "case_id", "left").join(first, ["case_id", "import_id"], "left")
+    moved = F.col("indexed_root").isNotNull() & ~F.col("source_root").eqNullSafe(F.col("indexed_root"))
+    problem = F.when(~F.col("schema_version").eqNullSafe(F.lit(version)), "other schema").when(moved, "other source root").when(F.col("changed").isNotNull(), "other content")
+    return held.select("case_id", "import_id", problem.alias("problem"), F.when(problem == "other content", F.col("changed")).alias("file"))
+
+
 def definition_uses(definitions: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (case_id, reference, call, defined_by) of uses to the definition by an earlier call, null if there is none; references defined twice."""
     twice = definitions.groupBy("case_id", "reference").agg(F.count("*").alias("definitions")).where("definitions > 1")

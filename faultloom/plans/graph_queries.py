@@ -25,6 +25,9 @@ UNION ALL SELECT 'parts', cast(p_partkey AS string), CASE WHEN p_partkey > 2 THE
 _CALLS = "SELECT case_id, child AS source, 'calls_candidate' AS kind, parent AS target, '' AS provenance FROM (" + _HIERARCHY + ") AS h WHERE parent IS NOT NULL"
 _OWNERS = "SELECT 'parts' AS case_id, cast(p_partkey AS string) AS entity_id, p_brand AS owner, p_size FROM {part}"
 
+_TESTS = "SELECT 'o' AS case_id, 'T::m' || cast(o_orderkey AS string) AS test_id, CASE WHEN o_custkey % 4 > 0 THEN 'test_method:' || cast(o_custkey AS string) END AS source_entity_id FROM {orders}"
+_TOLD = "SELECT 'o' AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'report:' ELSE 'note:' END || 'T::m' || cast(o_orderkey AS string) AS entity_id, o_orderpriority AS content FROM {orders}"
+
 
 def _graph(spark, sf_dir):
     return view(spark, sf_dir, ENTITIES), graph.build_relations(view(spark, sf_dir, RELATIONS))
@@ -102,6 +105,19 @@ def g13_method_records(spark, sf_dir):
     return graph.method_records(e, texts, graph.aliases(e))
 
 
+def g13_test_records(spark, sf_dir):
+    """Documents are sources, orders failing tests; orders of even keys have a report."""
+    texts = view(spark, sf_dir, "SELECT 'o' AS case_id, 'test_method:' || cast(doc_id AS string) AS entity_id, text FROM {documents}")
+    out = graph.test_records(view(spark, sf_dir, _TESTS), texts, view(spark, sf_dir, _TOLD))
+    return out.withColumn("source", F.md5("source"))
+
+
+def g13_record_entities(spark, sf_dir):
+    methods = view(spark, sf_dir, "SELECT case_id, method_id, CASE WHEN line % 20 = 0 THEN name END AS name, file, line, end_line, content AS source FROM (" + ENTITIES + ") AS e WHERE kind = 'function'")
+    tests = view(spark, sf_dir, "SELECT cast(o_orderkey AS string) AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS failure_text FROM {orders}")
+    return graph.record_entities(methods, tests)
+
+
 def n1_relation_counts(spark, sf_dir):
     return graph.relation_counts(_graph(spark, sf_dir)[1])
 
@@ -211,6 +227,12 @@ FROM entities LEFT JOIN (SELECT case_id, count(*) AS n FROM rel GROUP BY case_id
     "g13_method_records": with_views("""
 SELECT case_id, method_id, string_split(method_id, '#')[1] AS class_name, name, file, line, end_line, 'body of ' || name AS source FROM entities WHERE kind = 'function'
 QUALIFY count(*) OVER (PARTITION BY case_id, method_id) = 1""", entities=ENTITIES),
+    "g13_test_records": """
+SELECT 'o' AS case_id, 'T::m' || o_orderkey AS test_id, CASE WHEN o_custkey % 4 > 0 THEN 'test_method:' || o_custkey END AS source_entity_id, md5(text) AS source, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS failure_text
+FROM orders LEFT JOIN documents ON doc_id = o_custkey AND o_custkey % 4 > 0""",
+    "g13_record_entities": with_views("""
+SELECT case_id, 'func:' || method_id AS entity_id, 'function' AS kind, CASE WHEN line % 20 = 0 THEN name ELSE string_split(method_id, '#')[-1] END AS name, method_id, file, line, end_line, content FROM entities WHERE kind = 'function'
+UNION ALL SELECT o_orderkey::VARCHAR, 'report', 'crash_report', 'crash report', NULL, NULL, NULL, NULL, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END FROM orders""", entities=ENTITIES),
     "n1_relation_counts": with_views("SELECT case_id, node, kind, direction, count(*) AS n FROM (SELECT case_id, kind, source AS node, 'out' AS direction FROM rel UNION ALL SELECT case_id, kind, target, 'in' FROM rel) GROUP BY case_id, node, kind, direction", rel=_REL),
     "n2_neighbours": with_views("""
 WITH s AS (SELECT case_id, kind, 'out' AS direction, source AS node, target AS neighbour FROM rel UNION ALL SELECT case_id, kind, 'in', target, source FROM rel),

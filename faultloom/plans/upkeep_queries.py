@@ -22,6 +22,10 @@ _DEFS = "SELECT 'u' || cast(user_id AS string) AS case_id, 'r' || regexp_extract
 _USES = "SELECT 'u' || cast(user_id AS string) AS case_id, 'r' || regexp_extract(props, '([0-9]+)', 1) AS reference, event_id AS call FROM {events} WHERE event_type <> 'error'"
 _OPS = "SELECT p_brand AS case_id, 'op' || cast(p_partkey AS string) AS operation_id, 'fs/' || p_type || '.c' AS file, cast(p_partkey % 1100 AS int) AS line FROM {part}"
 
+_MADE_FROM = "SELECT DISTINCT cast(s_nationkey AS string) AS case_id, cast(s_suppkey AS string) AS import_id, 'f' || cast(l_partkey AS string) AS file, CASE WHEN l_partkey % 40 = s_suppkey % 40 THEN 'new' ELSE 'old' END AS sha256 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey"
+_ROOTS = "SELECT cast(n_nationkey AS string) AS case_id, CASE WHEN n_nationkey % 3 > 0 THEN '/src/true' END AS indexed_root FROM {nation}"
+_INDEXED = "SELECT cast(n_nationkey AS string) AS case_id, 'f' || cast(p_partkey AS string) AS file, 'old' AS sha256 FROM {part} JOIN {nation} ON p_partkey % 25 <> n_nationkey AND p_size % 5 = n_nationkey % 5"
+
 
 def b1_round_robin(spark, sf_dir):
     bugs = view(spark, sf_dir, _BUGS)
@@ -94,6 +98,12 @@ def k4_provenance(spark, sf_dir):
     return kernel.provenance_problems(o.select(F.col("o_orderkey").cast("string").alias("case_id"), full.alias("commit"), F.when(F.col("o_custkey") % 3 == 0, F.lit("ffff")).otherwise(F.left(full, F.lit(12))).alias("executed_commit"), full.alias("sha"), F.when(F.col("o_custkey") % 4 == 0, "other").otherwise(full).alias("executed_sha"), (F.col("o_custkey") % 5 > 0).alias("has_manifest")))
 
 
+def k4_imported_matches(spark, sf_dir):
+    """Suppliers are imports of matches into the cases of their nation, parts the files that they were made from."""
+    imports = view(spark, sf_dir, "SELECT cast(s_nationkey AS string) AS case_id, cast(s_suppkey AS string) AS import_id, CASE WHEN s_suppkey % 17 = 0 THEN 2 ELSE 1 END AS schema_version, '/src/' || cast(s_suppkey % 5 > 0 AS string) AS source_root FROM {supplier}")
+    return kernel.imported_matches_problems(imports, view(spark, sf_dir, _MADE_FROM), view(spark, sf_dir, _ROOTS), view(spark, sf_dir, _INDEXED))
+
+
 def k5_definition_uses(spark, sf_dir):
     return kernel.definition_uses(view(spark, sf_dir, _DEFS), view(spark, sf_dir, _USES))[0]
 
@@ -188,6 +198,10 @@ FROM fns f LEFT JOIN o USING (case_id, method_id) LEFT JOIN comp USING (case_id)
     "k3_observed_edges": with_views(f"""WITH {_RES}, e AS (SELECT a.case_id, a.symbol AS caller, b.symbol AS callee, CASE WHEN len(b.symbol) % 2 = 0 THEN len(a.symbol) ELSE 1 END AS n FROM syms a JOIN syms b ON a.case_id = b.case_id AND a.symbol[:5] = b.symbol[:5])
 SELECT e.case_id, x.method_id AS caller, y.method_id AS callee, sum(n)::BIGINT AS count FROM e JOIN res x ON x.case_id = e.case_id AND x.symbol = caller AND x.method_id IS NOT NULL JOIN res y ON y.case_id = e.case_id AND y.symbol = callee AND y.method_id IS NOT NULL GROUP BY ALL""", fns=_CFN, syms=_SYMS),
     "k4_provenance": "SELECT o_orderkey::VARCHAR AS case_id, CASE WHEN o_custkey % 5 = 0 THEN 'manifest missing' WHEN o_custkey % 3 = 0 THEN 'other commit' WHEN o_custkey % 4 = 0 THEN 'other reproducer' END AS problem FROM orders",
+    "k4_imported_matches": """
+WITH x AS (SELECT s_suppkey, min('f' || l_partkey) AS file FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE l_partkey % 40 = s_suppkey % 40 AND p_partkey % 25 <> s_nationkey AND p_size % 5 = s_nationkey % 5 GROUP BY s_suppkey),
+p AS (SELECT s_nationkey::VARCHAR AS case_id, s_suppkey::VARCHAR AS import_id, CASE WHEN s_suppkey % 17 = 0 THEN 'other schema' WHEN s_nationkey % 3 > 0 AND s_suppkey % 5 = 0 THEN 'other source root' WHEN file IS NOT NULL THEN 'other content' END AS problem, file FROM supplier LEFT JOIN x USING (s_suppkey))
+SELECT case_id, import_id, problem, CASE WHEN problem = 'other content' THEN file END AS file FROM p""",
     "k5_definition_uses": with_views("SELECT u.case_id, u.reference, u.call, max(d.call) FILTER (d.call < u.call) AS defined_by FROM uses u LEFT JOIN defs d ON d.case_id = u.case_id AND d.reference = u.reference GROUP BY ALL", defs=_DEFS, uses=_USES),
     "k5_double_definitions": with_views("SELECT case_id, reference, count(*) AS definitions FROM defs GROUP BY ALL HAVING count(*) > 1", defs=_DEFS),
     "k6_program_calls": """
