@@ -3,7 +3,7 @@
 On a sample of at most `sample` vectors the graph of nearest neighbours is cut into balanced partitions (grown along the
 graph, then refined by moves to the partition most neighbours are in, under a bound of its size). A small network with one hidden
 layer learns, from a vector, the shares of its neighbours among the partitions. Every row is indexed under its most
-probable partition. A query goes to its most probable partitions until their probabilities sum to `mass`, and what lies there is
+probable partition. A query goes to its most probable partitions until their probabilities sum to `mass` and they hold k other rows, and what lies there is
 reranked by the exact inner product in double precision. `mass` is the least that reaches the wanted recall on
 queries of the sample that the network has not seen.
 
@@ -117,10 +117,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def train(x: np.ndarray, rows: int, k: int, recall: float, per_part: int, seed: int = 0) -> tuple[Router, float]:
     """The router and the mass that reaches the recall on every tenth vector of the sample, which it has not seen."""
-    parts = int(np.clip(rows // per_part, 1, max(len(x) // 50, 1)))
+    # Small tables are cut too, into up to 8 partitions of 120 rows and more.
+    parts = int(np.clip(max(rows // per_part, min(rows // 120, 8)), 1, max(len(x) // 50, 1)))
     test, own = x[::10], np.delete(x, np.s_[::10], axis=0) if len(x) >= 20 else x
     near = min(k, len(own) - 1)
     router = Router(x.shape[1], 128, parts, seed)
+    router.least, router.lies = k + 1, np.full(parts, len(x))
     if parts == 1 or near < 1:
         return router, 1.0
     graph = neighbour_graph(unit(own), near)
@@ -130,6 +132,8 @@ def train(x: np.ndarray, rows: int, k: int, recall: float, per_part: int, seed:
     target[np.arange(len(own)), part] += 0.25
     router.fit(unit(own), target, max(8, min(40, 400_000 // len(own))), seed)
     home = router.probabilities(unit(own)).argmax(1)
+    # Rows of the sample are indexed like all others, so a partition holds these at least.
+    router.lies = np.bincount(router.probabilities(unit(x)).argmax(1), minlength=parts)
     test = test[:1000]
     s = test.astype(np.float64) @ own.astype(np.float64).T
     best = np.argpartition(-s, near - 1, axis=1)[:, :near]
@@ -148,12 +152,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _visits(router: Router, mass: float, x: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(each row's partition, row and partition of each visit): rows that ask go to their most probable partitions up to the mass."""
+    """(each row's partition, row and partition of each visit): rows that ask go to their most probable partitions up to the mass, and on until these hold k others."""
     p = router.probabilities(unit(x))
     query = np.flatnonzero(asks)
     order = np.argsort(-p[query], axis=1)
     ordered = np.take_along_axis(p[query], order, 1)
-    at, rank = np.nonzero(np.cumsum(ordered, 1) - ordered < mass)
+    lies = router.lies[order]
+    at, rank = np.nonzero((np.cumsum(ordered, 1) - ordered < mass) | (np.cumsum(lies, 1) - lies < router.least))
     return p.argmax(1), query[at], order[at, rank]
 
 

@@ -1,5 +1,6 @@
 """Chat, revisits, pages, vectors and the pipeline."""
 
+import os
 import time
 
 import numpy as np
@@ -252,3 +253,26 @@ def test_nested_markup_takes_linear_time(page):
     begun = time.monotonic()
     html_text.main_text(page)
     assert time.monotonic() - begun < 5
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_small_tables_are_partitioned_and_reach_the_recall(spark, sf, monkeypatch):
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(path)
+    made, train = [], ann.train
+    monkeypatch.setattr(ann, "train", lambda *a: made.append(train(*a)) or made[-1])
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    rows = {r.vec_id: r.embedding for r in df.collect() if r.embedding is not None and any(r.embedding) and np.isfinite(np.array(r.embedding, float)).all()}
+    ids, x = np.array(list(rows)), np.array(list(rows.values()), float)
+    hits = total = 0
+    for q in (i for i in rows if i % 20 == 0):
+        s = x @ np.array(rows[q], float)
+        best = [i for i in ids[np.lexsort((ids, -s))] if i != q][:20]
+        assert sorted(r for r, _ in got[q]) == list(range(1, len(best) + 1))
+        hits += len(set(best) & {i for _, i in got[q]})
+        total += len(best)
+    assert len(made[0][0].lies) == min(max(len(ids) // 120, 1), 8) and hits >= 0.9 * total
