@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, checkpointed, components, give_back, groups_for, hashed_words, mixed, route, row_key, table, window_hashes
+from .common import byte_texts, checkpointed, components, dropped, give_back, groups_for, hashed_words, mixed, route, row_key, table, window_hashes
 
 _FLUSH = 1 << 18
 _SETS = 60_000
@@ -305,10 +305,10 @@ def _verify(percent: int):
 def _some(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of sets, one for each name, that pairs (a, b) name."""
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
-    if wanted.count() <= _SENT:
-        # 8 bytes each, counted just before; a longer list meets the sets in a shuffle.
-        wanted = F.broadcast(wanted)
-    return checkpointed(sets.join(wanted, "name"))
+    # 8 bytes each, counted just before; a longer list meets the sets in a shuffle.
+    out = checkpointed(sets.join(F.broadcast(wanted) if wanted.count() <= _SENT else wanted, "name"))
+    dropped(wanted)
+    return out
 
 
 def _near_pairs(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -321,20 +321,21 @@ def _near_pairs(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         fold = lambda c: F.when(F.size(c) > half, F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))  # noqa: B023, E731
         apart = F.aggregate(F.zip_with(fold("bits_a"), fold("bits_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         near = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= F.floor((F.col("size_a") + F.col("size_b")) * (100 - percent) / (100 + percent)))
-        pairs = checkpointed(near.select("a", "b"))
+        before, pairs = pairs, checkpointed(near.select("a", "b"))
+        dropped(own, *([before] if column == "wide" else []))
     return pairs
 
 
 def _links(texts: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of names whose sets are similar enough, counted exactly."""
     wanted = _some(sets.select("name", "key"), pairs)
-    if wanted.count() <= _SENT:
-        # 16 bytes each, counted just before; a longer list meets the texts in a shuffle.
-        wanted = F.broadcast(wanted)
-    own = texts.join(wanted, "key").select("key", "name", "text").mapInArrow(_set_rows(n), "name long, own binary")
+    # 16 bytes each, counted just before; a longer list meets the texts in a shuffle.
+    own = texts.join(F.broadcast(wanted) if wanted.count() <= _SENT else wanted, "key").select("key", "name", "text").mapInArrow(_set_rows(n), "name long, own binary")
     one = pairs.join(own.withColumnsRenamed({"name": "a", "own": "x"}), "a")
     both = one.join(own.withColumnsRenamed({"name": "b", "own": "y"}), "b").select("a", "b", "x", "y")
-    return checkpointed(both.mapInArrow(_verify(percent), "a long, b long"))
+    out = checkpointed(both.mapInArrow(_verify(percent), "a long, b long"))
+    dropped(wanted)
+    return out
 
 
 def _placed(rows: DataFrame, part: DataFrame, column: str) -> DataFrame:
@@ -363,7 +364,9 @@ def _linked(texts: DataFrame, sets: DataFrame, pairs: DataFrame, links: DataFram
             links = links.unionByName(found)
             part = components(links)
         if step < steps - 1:
-            near = checkpointed(_apart(near, part))
+            before, near = near, checkpointed(_apart(near, part))
+            dropped(before)
+    dropped(near)
     return links, part
 
 
