@@ -40,12 +40,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, checkpointed, components, dropped, give_back, groups_for, hashed_words, mixed, route, row_key, table, window_hashes
+from .common import SENT, byte_texts, checkpointed, components, dropped, give_back, groups_for, hashed_words, mixed, route, row_key, sent, table, window_hashes
 
 _FLUSH = 1 << 18
 _SETS = 60_000
-#: The longest list of keys that is broadcast.
-_SENT = 1_000_000
 _BLOCK = "part int, sigs binary, who binary, names binary, sizes binary, out binary"
 _STATS = "doc_id long, key long, n_shingles long, name long, spare0 int, spare1 int, small array<long>, wide array<long>"
 _OUT = "hot boolean, a long, b long"
@@ -304,9 +302,12 @@ def _verify(percent: int):
 
 def _some(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of sets, one for each name, that pairs (a, b) name."""
-    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
-    # 8 bytes each, counted just before; a longer list meets the sets in a shuffle.
-    out = checkpointed(sets.join(F.broadcast(wanted) if wanted.count() <= _SENT else wanted, "name"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("name"))
+    if 2 * pairs.count() <= SENT:
+        # Repeated names do no harm here, so a short list needs no shuffle.
+        return checkpointed(sets.join(F.broadcast(wanted), "name", "left_semi"))
+    wanted = checkpointed(wanted.distinct())
+    out = checkpointed(sets.join(sent(wanted), "name"))
     dropped(wanted)
     return out
 
@@ -330,7 +331,7 @@ def _links(texts: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent:
     """The pairs (a, b) of names whose sets are similar enough, counted exactly."""
     wanted = _some(sets.select("name", "key"), pairs)
     # 16 bytes each, counted just before; a longer list meets the texts in a shuffle.
-    own = texts.join(F.broadcast(wanted) if wanted.count() <= _SENT else wanted, "key").select("key", "name", "text").mapInArrow(_set_rows(n), "name long, own binary")
+    own = texts.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "key").select("key", "name", "text").mapInArrow(_set_rows(n), "name long, own binary")
     one = pairs.join(own.withColumnsRenamed({"name": "a", "own": "x"}), "a")
     both = one.join(own.withColumnsRenamed({"name": "b", "own": "y"}), "b").select("a", "b", "x", "y")
     out = checkpointed(both.mapInArrow(_verify(percent), "a long, b long"))
@@ -349,25 +350,26 @@ def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
     return _placed(one, part, "b").where("part_a <> component").select("a", "b")
 
 
-def _linked(texts: DataFrame, sets: DataFrame, pairs: DataFrame, links: DataFrame, part: DataFrame, n: int, percent: int, steps: int = 2) -> tuple[DataFrame, DataFrame]:
-    """The links with further ones that connect what any of the pairs connects, and the components (id, component) of them.
+def _linked(texts: DataFrame, sets: DataFrame, pairs: DataFrame, part: DataFrame, n: int, percent: int, steps: int = 2) -> DataFrame:
+    """The components (id, component) with links added that connect what any of the pairs connects.
 
     Sets are large and pairs many, so in the first of two steps each set is only counted against the least of its partners; then only
-    the pairs that lie in different components still matter.
+    the pairs that lie in different components still matter. Components before stand for all links that made them.
     """
     near = _near_pairs(sets, pairs, percent)
     for step in range(steps):
         if near.isEmpty():
             break
-        found = _links(texts, sets, near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if step < steps - 1 else near, n, percent)
+        some = checkpointed(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")) if step < steps - 1 else near
+        found = _links(texts, sets, some, n, percent)
         if not found.isEmpty():
-            links = links.unionByName(found)
-            part = components(links)
+            part = sent(components(found.unionByName(part.select(F.col("id").alias("a"), F.col("component").alias("b")))))
+        dropped(found)
         if step < steps - 1:
             before, near = near, checkpointed(_apart(near, part))
-            dropped(before)
+            dropped(before, some)
     dropped(near)
-    return links, part
+    return part
 
 
 def _unclear(hot: DataFrame, part: DataFrame) -> DataFrame:
@@ -444,14 +446,13 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, most: int
     # One row for each set.
     sets = checkpointed(stats.where("name IS NOT NULL").dropDuplicates(["name"]))
     groups = groups_for(sets, F.col("n_shingles"), 1_200_000)
-    links = sets.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
-    part = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    part = sets.select(F.col("name").alias("id"), F.col("name").alias("component")).limit(0)
 
     def linked(some: DataFrame, near: bool, groups: int) -> DataFrame:
         """Links what meets by signatures; (a: signature, b: name) of the hot ones."""
-        nonlocal links, part
+        nonlocal part
         met = checkpointed(some.mapInArrow(_emit(n, percent, groups, most, near), _BLOCK).groupBy("part").applyInPandas(_meet(percent, most), _OUT).distinct())
-        links, part = _linked(texts, sets, met.where("NOT hot").select("a", "b"), links, part, n, percent)
+        part = _linked(texts, sets, met.where("NOT hot").select("a", "b"), part, n, percent)
         return met.where("hot").select("a", "b")
 
     unclear = _unclear(linked(texts, False, groups), part)
@@ -462,14 +463,14 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, most: int
     weight = some.select(F.sum(2 + F.coalesce(F.size("hot"), F.lit(0)))).first()[0] or 0
     if weight:
         # 8 bytes each, counted just before; a longer list meets the texts in a shuffle. One row for each set.
-        some = F.broadcast(some) if weight <= 2 * _SENT else some
+        some = F.broadcast(some) if weight <= 2 * SENT else some
         short = checkpointed(texts.join(some, "key").select("name", "text", "hot").dropDuplicates(["name"]))
         near = linked(short, True, groups_for(short, F.octet_length("text"), 4 << 20))
         near = near.groupBy(F.col("b").alias("name")).agg(F.collect_list("a").alias("hot_near"))
         held = checkpointed(short.join(near, "name", "left").mapInArrow(_short(n, percent), "name long, size long, element long"))
         prefixes = _prefixes(held, percent)
         for pairs in (lambda: _bridges(_unclear(prefixes.select(F.col("element").alias("a"), F.col("name").alias("b")), part)), lambda: _rest_pairs(prefixes, part, percent)):
-            links, part = _linked(texts, sets, pairs(), links, part, n, percent, 1)
+            part = _linked(texts, sets, pairs(), part, n, percent, 1)
     # Classes, not rows, meet here: the least id of each name, then of each component.
     least = stats.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"))
     known = _placed(least, part, "name")
