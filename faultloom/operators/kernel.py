@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
+from .spans import over_lines
+
 
 def resolve_symbols(symbols: DataFrame, functions: DataFrame, known: DataFrame) -> DataFrame:
     """(case_id, symbol, method_id, candidates): by alias, else by the name without compiler parts if it is unique."""
@@ -149,14 +152,18 @@ def reproducer_calls(calls: DataFrame, allowed: DataFrame) -> DataFrame:
     return kept.select("case_id", (F.row_number().over(Window.partitionBy("case_id").orderBy("pos")) - 1).alias("call_index"), named.alias("name"))
 
 
-def containing_function(operations: DataFrame, functions: DataFrame, bin_width: int = 256) -> DataFrame:
-    """Operations (case_id, operation_id, file, line) with method_id where exactly one function holds the line, and the number that do."""
-    bins = F.explode(F.sequence(F.floor(F.col("start_line") / bin_width), F.floor(F.col("end_line") / bin_width)))
-    spans = functions.select("case_id", "file", "method_id", "start_line", "end_line", bins.alias("bin"))
-    held = operations.withColumn("bin", F.floor(F.col("line") / bin_width)).join(spans, ["case_id", "file", "bin"], "left")
-    inside = F.coalesce((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")), F.lit(False))
-    out = held.groupBy("case_id", "operation_id", "file", "line").agg(F.count_if(inside).alias("holders"), F.min(F.when(inside, F.col("method_id"))).alias("one"))
-    return out.select("case_id", "operation_id", "file", "line", "holders", F.when(F.col("holders") == 1, F.col("one")).alias("method_id"))
+def containing_function(operations: DataFrame, functions: DataFrame) -> DataFrame:
+    """Operations (case_id, operation_id, file, line) with method_id where exactly one function holds the line, and the number that do.
+
+    Functions (case_id, file, method_id, start_line, end_line) are numbered, so that a block of lines keeps their count and one number.
+    """
+    own = functions.select("case_id", "file", "method_id", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
+    own = cut_lineage(own.withColumn("one", F.monotonically_increasing_id()))
+    part, total = [F.count("*").alias("n"), F.min("one").alias("one")], [F.sum("n").alias("holders"), F.min("one").alias("one")]
+    held = over_lines(operations, own.drop("method_id"), ["case_id", "file"], part, total)
+    held = held.withColumn("one", F.when(F.col("holders") == 1, F.col("one"))).join(own.select("one", "method_id"), "one", "left")
+    out = operations.select("case_id", "operation_id", "file", "line").distinct().join(held, ["case_id", "file", "line"], "left")
+    return out.select("case_id", "operation_id", "file", "line", F.coalesce("holders", F.lit(0)).alias("holders"), "method_id")
 
 
 def snippet(text: Column, line: Column, around: int = 2) -> Column:
