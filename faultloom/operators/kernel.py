@@ -174,7 +174,8 @@ def snippet(text: Column, line: Column, around: int = 2) -> Column:
 
 def operation_pairs(pairs: DataFrame, located: DataFrame) -> DataFrame:
     """Pairs (case_id, from_file, from_line, to_file, to_line) both of whose sites are known and lie in one function."""
-    end = lambda side: located.where("method_id IS NOT NULL").select("case_id", F.col("file").alias(f"{side}_file"), F.col("line").alias(f"{side}_line"), F.col("method_id").alias(f"{side}_method")).distinct()
+    known = cut_lineage(located.where("method_id IS NOT NULL").select("case_id", "file", "line", "method_id").distinct())
+    end = lambda side: known.select("case_id", F.col("file").alias(f"{side}_file"), F.col("line").alias(f"{side}_line"), F.col("method_id").alias(f"{side}_method"))
     held = pairs.join(end("from"), ["case_id", "from_file", "from_line"]).join(end("to"), ["case_id", "to_file", "to_line"])
     return held.where("from_method = to_method").select("case_id", "from_file", "from_line", "to_file", "to_line", F.col("from_method").alias("method_id")).distinct()
 
