@@ -94,8 +94,9 @@ def k3_observed_edges(spark, sf_dir):
 
 def k4_provenance(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
+    # The other commit has a digit that no digest has, so that no commit begins with it.
     full = F.md5(F.col("o_orderkey").cast("string"))
-    return kernel.provenance_problems(o.select(F.col("o_orderkey").cast("string").alias("case_id"), full.alias("commit"), F.when(F.col("o_custkey") % 3 == 0, F.lit("ffff")).otherwise(F.left(full, F.lit(12))).alias("executed_commit"), full.alias("sha"), F.when(F.col("o_custkey") % 4 == 0, "other").otherwise(full).alias("executed_sha"), (F.col("o_custkey") % 5 > 0).alias("has_manifest")))
+    return kernel.provenance_problems(o.select(F.col("o_orderkey").cast("string").alias("case_id"), full.alias("commit"), F.when(F.col("o_custkey") % 3 == 0, F.lit("zzzz")).otherwise(F.left(full, F.lit(12))).alias("executed_commit"), full.alias("sha"), F.when(F.col("o_custkey") % 4 == 0, "other").otherwise(full).alias("executed_sha"), (F.col("o_custkey") % 5 > 0).alias("has_manifest")))
 
 
 def k4_imported_matches(spark, sf_dir):
