@@ -77,6 +77,8 @@ def definition_uses(definitions: DataFrame, uses: DataFrame) -> tuple[DataFrame,
     return best, twice
 
 
+#: Characters of program texts that a worker scans before it gives out their calls.
+_PIECE = 200_000
 _SCANNED = "struct<calls:array<struct<call_index:int,name:string,arguments:string,definitions:array<struct<reference:string,position:string>>,uses:array<struct<reference:string,position:string>>>>,error:string>"
 
 
@@ -90,13 +92,27 @@ def scan_programs(programs: DataFrame) -> DataFrame:
 
     @F.pandas_udf(_SCANNED)
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        # Calls take many times their text's memory, so a batch is given out in pieces.
         for part in texts:
-            found = [_scan(t or "") for t in part]
-            yield pd.DataFrame({"calls": [c for c, _ in found], "error": [e for _, e in found]}, dtype=object)
+            for begin, end in _pieces(part, _PIECE):
+                found = [_scan(t or "") for t in part.iloc[begin:end]]
+                yield pd.DataFrame({"calls": [c for c, _ in found], "error": [e for _, e in found]}, dtype=object)
 
     return programs.select("case_id", scan("text").alias("s")).select("case_id", "s.*")
 
 
+def _pieces(texts: pd.Series, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts that end with the first text to bring them to `most` characters; an empty series is one run."""
+    begin, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "") + 1
+        if held >= most:
+            yield begin, i + 1
+            begin, held = i + 1, 0
+    if begin < len(texts) or not len(texts):
+        yield begin, len(texts)
+
+
 def program_calls(scanned: DataFrame) -> DataFrame:
     """(case_id, call_index, name, arguments, definitions, uses) of scanned programs without an error."""
     return scanned.where("error IS NULL").select("case_id", F.explode("calls").alias("c")).select("case_id", "c.*")
