@@ -8,8 +8,8 @@ import pytest
 from faultloom.operators import graph, kernel, reports, symbols
 
 
-def most_rows(spark, run):
-    """The rows that a query gives, and the most that any step of it or of its tables makes."""
+def most_rows(spark, run, metric="number of output rows"):
+    """The rows that a query gives, and the most that any step of it or of its tables makes, or has of another metric."""
     store = spark._jsparkSession.sharedState().statusStore()
     done = store.executionsCount()
     rows = [tuple(r) for r in run().collect()]
@@ -22,7 +22,7 @@ def most_rows(spark, run):
             metrics = nodes.apply(k).metrics()
             for m in range(metrics.size()):
                 value = known.get(metrics.apply(m).accumulatorId())
-                if metrics.apply(m).name() == "number of output rows" and value.isDefined():
+                if metrics.apply(m).name() == metric and value.isDefined():
                     most = max(most, int(re.sub(r"\D", "", value.get()) or 0))
     return rows, most
 
@@ -152,3 +152,108 @@ def test_programs_are_scanned_in_pieces(spark, monkeypatch):
     rows = [(str(i), t) for i, t in enumerate(texts)]
     got = {r.case_id: (r.calls and len(r.calls), r.error) for r in kernel.scan_programs(spark.createDataFrame(rows, "case_id string, text string").coalesce(1)).collect()}
     assert got["6"] == (40, None) and got["0"] == (1, None) and got["8"] == (1, None) and len(got) == 9
+
+
+def hierarchy(spark, dice, n=40):
+    """Types in a chain with side branches, methods of few names and signatures, lineage; and plain ancestors with depths."""
+    parent = {i: i - 1 if dice.random() < 0.7 else dice.randint(0, i - 1) for i in range(1, n)}
+    up = {}
+    for i in range(n):
+        at, depth = i, 0
+        while at is not None:
+            up[f"t{i}", f"t{at}"] = depth
+            at, depth = parent.get(at), depth + 1
+    types = [("c", f"t{i}", f"p{i % 2}", i % 5 == 4) for i in range(n)]
+    methods = [("c", f"m{k:03}", f"t{dice.randint(0, n - 1)}", dice.choice("ab"), k % 17 == 0, dice.choice(["public", "public", "private", "package", None]), k % 5 == 0, ["x"] * dice.randint(0, 2), k % 6 == 0) for k in range(90)]
+    load = spark.createDataFrame
+    return types, methods, up, (
+        load([("c", *k, d) for k, d in up.items()], "case_id string, type_id string, ancestor string, depth int"),
+        load(methods, "case_id string, method_id string, owner_type string, name string, constructor boolean, visibility string, static boolean, parameter_types array<string>, varargs boolean"),
+        load(types, "case_id string, type_id string, package string, is_interface boolean"),
+    )
+
+
+def plain_lookup(types, methods, up, owner, name, arity, constructor):
+    package, interface = {t: p for _, t, p, _ in types}, {t: i for _, t, _, i in types}
+    best = {}
+    for _, m, at, n, con, vis, static, params, varargs in methods:
+        depth = up.get((owner, at))
+        if depth is None or n != name or con != constructor or not (len(params) == arity or varargs and arity >= len(params) - 1):
+            continue
+        if depth and (con or vis in ("private", None) or vis == "package" and package[at] != package[owner]):
+            continue
+        sig = ",".join(params)
+        best[sig] = min(best.get(sig, (True, 10**9, "z", "z")), (interface[at], depth, at, m))
+    return {m for *_, m in best.values()}
+
+
+def test_lookup_asks_once_for_equal_sites(spark):
+    dice = random.Random(6)
+    types, methods, up, (lineage, of, kinds) = hierarchy(spark, dice)
+    sites = [(f"s{i}", dice.choice(["t30", "t39", "t5"]), dice.choice("ab"), dice.randint(0, 2), dice.random() < 0.1) for i in range(3000)]
+    df = spark.createDataFrame([("c", *s) for s in sites], "case_id string, site_id string, owner_type string, name string, arity int, is_constructor boolean")
+    got, most = most_rows(spark, lambda: symbols.lookup(df, lineage, of, kinds).select("site_id", "method_id"))
+    want = [(s, m) for s, *ask in sites for m in plain_lookup(types, methods, up, *ask)]
+    assert sorted(got) == sorted(want) and len(want) > 1000
+    assert most <= max(len(want), 6000)
+
+
+def test_dispatch_targets_are_not_dealt_again(spark):
+    dice = random.Random(7)
+    types, methods, up, (lineage, of, kinds) = hierarchy(spark, dice)
+    sites = [(f"s{i}", dice.choice(["t0", "t1", "t2", "t9"]), dice.choice("ab"), dice.randint(0, 2), False, f"k{i % 7}") for i in range(2000)]
+    df = spark.createDataFrame([("c", *s) for s in sites], "case_id string, site_id string, owner_type string, name string, arity int, is_constructor boolean, caller_id string")
+    found = symbols.cut_lineage(symbols.lookup(df, lineage, of, kinds))
+    detail = {m[1]: m for m in methods}
+    targets = {}
+    for r in found.collect():
+        _, _, at, name, _, vis, static, params, _ = detail[r.method_id]
+        own = targets.setdefault(r.site_id, set())
+        own.add(r.method_id)
+        if not static and vis not in ("private", None):
+            own |= {m[1] for m in methods if up.get((m[2], at), 0) > 0 and m[3] == name and m[7] == params and not m[6] and not m[4]}
+    want = {(s, m) for s, own in targets.items() for m in own}
+    got, dealt = most_rows(spark, lambda: symbols.dispatch(found, of, lineage).select("site_id", "method_id"), "shuffle records written")
+    assert len(got) == len(set(got)) and set(got) == want and dealt < len(want) - 500
+    # Two chosen methods of one signature may share overrides.
+    got = [tuple(r) for r in symbols.dispatch(found.withColumn("site_id", found.caller_id) if "caller_id" in found.columns else found.selectExpr("case_id", "'s' AS site_id", "declared_in", "name", "signature", "method_id", "static", "visibility"), of, lineage).select("method_id").collect()]
+    assert len(got) == len(set(got)) and {m for m, in got} == {m for _, m in want}
+    got, most = most_rows(spark, lambda: symbols.dispatch_statistics(df, found, of, lineage))
+    edges = {(caller, m) for s, *_, caller in sites for m in targets.get(s, ())}
+    assert got == [("c", 2000, len(targets), 2000 - len(targets), len(want), len(edges))] and most < len(want)
+    assert got == [tuple(r) for r in symbols.call_statistics(df, symbols.dispatch(found, of, lineage)).collect()]
+
+
+def test_overloads_stay_where_they_meet_their_arguments(spark, capsys):
+    dice = random.Random(8)
+    up = {("a", "a"), ("b", "b"), ("b", "a"), ("e", "e"), ("e", "b"), ("e", "a")} | {(f"u{i}", "a") for i in range(300)}
+    lineage = spark.createDataFrame([("c", t, s, int(t != s)) for t, s in up], "case_id string, type_id string, ancestor string, depth int")
+    found = [("c", f"s{i}", f"m{i}-{k}", dice.choices("abe", k=dice.randint(0, 2))) for i in range(400) for k in range(dice.randint(1, 3))]
+    arguments = [("c", f"s{i}", k, dice.choice(["a", "b", "e", None])) for i in range(400) for k in range(dice.randint(0, 3))]
+    of = spark.createDataFrame(found, "case_id string, site_id string, method_id string, parameter_types array<string>")
+    df = spark.createDataFrame(arguments, "case_id string, site_id string, pos int, type string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = [tuple(r) for r in symbols.best_overloads(of, df, lineage).select("site_id", "method_id", "score").collect()]
+        symbols.best_overloads(of, df, lineage).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = capsys.readouterr().out.count("Exchange hashpartitioning")
+    given, several = {(s, k): t for _, s, k, t in arguments}, {}
+    for _, s, m, params in found:
+        several.setdefault(s, []).append((m, sum(2 if given[s, k] == p else 1 if (given[s, k], p) in up else 0 for k, p in enumerate(params) if (s, k) in given)))
+    want = []
+    for s, own in several.items():
+        own = own if len(own) > 1 else [(own[0][0], 0)]
+        want += [(s, m, x) for m, x in own if x == max(y for _, y in own)]
+    assert sorted(got) == sorted(want) and dealt <= 6
+
+
+def test_unqualified_calls_ask_once_for_equal_sites(spark):
+    methods = spark.createDataFrame([("c", f"a.T{i}", f"m{i % 3}", i % 2 == 0) for i in range(30)], "case_id string, owner_type string, name string, static boolean")
+    lineage = spark.createDataFrame([("c", "a.T1", f"a.T{i}", i) for i in range(1, 30, 3)] + [("c", "a.T1.N", "a.T1.N", 0)], "case_id string, type_id string, ancestor string, depth int")
+    rows = [("c", f"s{i}", "a.T1.N", f"m{i % 3 if i < 90 else 1}", [f"a.T{i % 6}.*", "a.T4.m1", "a.T8.m2"]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "case_id string, site_id string, owner_type string, name string, static_imports array<string>")
+    got, most = most_rows(spark, lambda: symbols.unqualified(df, methods, lineage).select("site_id", "owner_type", "depth"))
+    want = [(f"s{i}", "a.T1", 1) for i in range(3000) if i % 3 == 1 or i >= 90] + [(f"s{i}", {0: "a.T0", 2: "a.T2", 5: "a.T8"}[i % 6], -1) for i in range(90) if i % 6 in (0, 2, 5)]
+    assert sorted(got) == sorted(want) and most < 4000
