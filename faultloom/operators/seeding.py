@@ -68,27 +68,37 @@ def keyword_terms(programs: DataFrame, reports: DataFrame, most: int = 32) -> Da
     return texts.select("case_id", F.posexplode(F.slice(F.array_distinct(fit), 1, most)).alias("pos", "term"))
 
 
-def keyword_files(terms: DataFrame, lines: DataFrame, most: int = 40) -> DataFrame:
-    """(case_id, path, score, rank): the best files (.c, .h) whose text holds a term of the case (case_id, term), letters' case aside.
-
-    Score: 100 for each term in the path and 25 more in its last part. Order: score, then the shorter path, then the path backwards. Terms are sought in the
-    distinct words of the tree. Files with a score are joined by the terms in their paths; of those without, a case's best are among the best of each of its terms, which are found once.
-    """
-    asked = cut_lineage(terms.select("case_id", "term").distinct())
+def _files_of_sets(terms: DataFrame, lines: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(case_id, set_no) of each case's set of terms, and (set_no, files) with the best files of each set: an array of (rank, path, score). Cases of equal terms have equal files."""
+    sets = cut_lineage(terms.groupBy("case_id").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+    known = cut_lineage(sets.select("terms").distinct().withColumn("set_no", F.monotonically_increasing_id()))
+    asked = known.select("set_no", F.explode("terms").alias("term"))
     files = lines.where(F.col("path").rlike(r"\.[ch]$") & ~F.split_part("path", F.lit("/"), F.lit(1)).isin(UNSEEDED))
     words = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9_]+)")))).alias("text")).distinct()
     mentioned = cut_lineage(words.join(substring_pairs(words, asked, []), "text").select("path", "term").distinct())
 
     parts = mentioned.select("path").distinct().select("path", F.posexplode(F.split(F.lower("path"), "/")).alias("at", "text"), F.size(F.split("path", "/")).alias("n"))
     named = parts.join(substring_pairs(parts, asked, []), "text").groupBy("path", "term").agg(F.max((F.col("at") == F.col("n") - 1).cast("int")).alias("last"))
-    scored = named.join(asked, "term").groupBy("case_id", "path").agg((100 * F.count("*") + 25 * F.sum("last")).alias("score"))
-    told = scored.join(asked, "case_id").join(mentioned, ["path", "term"], "left_semi").select("case_id", "path", "score").distinct()
+    scored = named.join(asked, "term").groupBy("set_no", "path").agg((100 * F.count("*") + 25 * F.sum("last")).alias("score"))
+    told = scored.join(asked, "set_no").join(mentioned, ["path", "term"], "left_semi").select("set_no", "path", "score").distinct()
 
     shortest = Window.partitionBy("term").orderBy(F.length("path"), F.desc("path"))
-    plain = mentioned.withColumn("r", F.row_number().over(shortest)).where(F.col("r") <= most).join(asked, "term").select("case_id", "path").distinct()
-    both = told.unionByName(plain.join(told, ["case_id", "path"], "left_anti").withColumn("score", F.lit(0).cast("long")))
-    rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), F.length("path"), F.desc("path")))
-    return both.withColumn("rank", rank).where(F.col("rank") <= most)
+    plain = mentioned.withColumn("r", F.row_number().over(shortest)).where(F.col("r") <= most).join(asked, "term").select("set_no", "path").distinct()
+    both = told.unionByName(plain.join(told, ["set_no", "path"], "left_anti").withColumn("score", F.lit(0).cast("long")))
+    rank = F.row_number().over(Window.partitionBy("set_no").orderBy(F.desc("score"), F.length("path"), F.desc("path")))
+    best = both.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("set_no").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "score"))).alias("files"))
+    return sets.join(known, "terms").select("case_id", "set_no"), cut_lineage(best)
+
+
+def keyword_files(terms: DataFrame, lines: DataFrame, most: int = 40) -> DataFrame:
+    """(case_id, path, score, rank): the best files (.c, .h) whose text holds a term of the case (case_id, term), letters' case aside.
+
+    Score: 100 for each term in the path and 25 more in its last part. Order: score, then the shorter path, then the path backwards. Terms are sought in the
+    distinct words of the tree, files for the distinct sets of terms that cases have. Files with a score are joined by the terms in their paths; of those without, a set's best are among the best
+    of each of its terms, which are found once.
+    """
+    cases, best = _files_of_sets(terms, lines, most)
+    return cases.join(best, "set_no").select("case_id", F.explode("files").alias("f")).select("case_id", "f.path", "f.score", "f.rank")
 
 
 def function_hits(lines: DataFrame, names: DataFrame) -> DataFrame:

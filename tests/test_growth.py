@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from faultloom.operators import graph, kernel, reports, symbols
+from faultloom.operators import graph, kernel, reports, seeding, symbols
 
 
 def most_rows(spark, run, metric="number of output rows"):
@@ -257,3 +257,57 @@ def test_unqualified_calls_ask_once_for_equal_sites(spark):
     got, most = most_rows(spark, lambda: symbols.unqualified(df, methods, lineage).select("site_id", "owner_type", "depth"))
     want = [(f"s{i}", "a.T1", 1) for i in range(3000) if i % 3 == 1 or i >= 90] + [(f"s{i}", {0: "a.T0", 2: "a.T2", 5: "a.T8"}[i % 6], -1) for i in range(90) if i % 6 in (0, 2, 5)]
     assert sorted(got) == sorted(want) and most < 4000
+
+
+def test_cases_of_equal_terms_share_their_files(spark):
+    lines = spark.createDataFrame([(f"fs/alpha_{i}.c", "alpha beta") for i in range(200)] + [("lib/b.h", "betamax")], "path string, line string")
+    terms = [("c%03d" % i, t) for i in range(600) for t in (["alpha"] if i % 2 else ["beta", "alpha"])]
+    df = spark.createDataFrame(terms, "case_id string, term string")
+    got, most = most_rows(spark, lambda: seeding.keyword_files(df, lines, 5))
+    paths = sorted((f"fs/alpha_{i}.c" for i in range(200)), key=lambda p: (-len(p), p), reverse=True)[:5]
+    assert sorted(got) == sorted(("c%03d" % i, p, 125, k + 1) for i in range(600) for k, p in enumerate(paths))
+    assert most <= 3000
+
+
+def test_near_files_meet_wanted_names_within_the_case(spark):
+    dice = random.Random(9)
+    path = lambda k: f"{['fs/a', 'fs/b', 'net', 'arch/x86/m', 'arch/arm/m', 'drivers/u'][k % 6]}/f{k}.c"
+    lines = sorted({(path(k), f"int name_{dice.randint(0, 59) if k else j % 60}(void)") for k in range(30) for j in range(60 if k in (0, 12) else 3)})
+    wanted = sorted({(f"c{i}", f"name_{dice.randint(0, 64)}") for i in range(200) for _ in range(2)})
+    near = sorted({(f"c{i}", path(dice.randint(0, 40))) for i in range(190) for _ in range(3)})
+    load = spark.createDataFrame
+    got, most = most_rows(spark, lambda: seeding.defining_file(load(lines, "path string, line string"), load(wanted, "case_id string, name string"), load(near, "case_id string, path string")))
+
+    def rank(p, own):
+        arch = {q.split("/")[1] for q in own if q.startswith("arch/")}
+        folder, top = {q.rsplit("/", 1)[0] for q in own}, {q.split("/")[0] for q in own}
+        if p in own or p.rsplit("/", 1)[0] in folder:
+            return int(p not in own)
+        if p.startswith("arch/") and arch and p.split("/")[1] not in arch:
+            return 80
+        return 2 if p.split("/")[0] in top else 90 if p.startswith("drivers/") else 20
+
+    want = []
+    for c, name in wanted:
+        own = {p for d, p in near if c == d}
+        best = min(((rank(p, own), p) for p, t in lines if f" {name}(" in t), default=None)
+        want += [(c, name, best[1] if best[0] < 80 else None, best[0])] if best else []
+    assert sorted(got, key=repr) == sorted(want, key=repr) and {r for *_, r in want} >= {0, 1, 2, 20}
+    assert most < 1800
+
+
+def test_full_cases_take_no_more_files(spark):
+    load = spark.createDataFrame
+    lines = [(f"fs/f{i:02}.c", f"int alpha_{i % 30}(void)") for i in range(60)] + [("fs/lone.c", "int omega_run(void)")]
+    calls = load([("fs/f00.c", k, f"alpha_{k % 30}") for k in range(29)] + [("fs/lone.c", 1, "alpha_7")], "path string, pos long, name string")
+    cases = [f"c{i}" for i in range(100)]
+    frames = load([(c, 1, "start", "fs/f00.c") for c in cases] + [("d", 1, "start", "fs/lone.c")], "case_id string, pos long, function string, file string")
+    reports = load([(c, "") for c in [*cases, "d"]], "case_id string, text string")
+    programs = load([(c, "alpha()") for c in cases], "case_id string, text string")
+    got, most = most_rows(spark, lambda: seeding.seed_paths(frames, reports, programs, load(lines, "path string, line string"), calls, 10))
+    of = {}
+    for c, p, k in got:
+        of.setdefault(c, []).append((k, p))
+    full = ["fs/f00.c", *sorted((f"fs/f{i:02}.c" for i in range(1, 60)), reverse=True)[:9]]
+    assert all([p for _, p in sorted(of[c])] == full for c in cases) and sorted(of["d"]) == [(1, "fs/lone.c"), (2, "fs/f07.c")]
+    assert most < 1800
