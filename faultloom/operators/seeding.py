@@ -154,11 +154,22 @@ def defining_file(lines: DataFrame, wanted: DataFrame, near: DataFrame) -> DataF
     """
     entry = F.startswith("name", F.lit("__x64_sys_")) | F.startswith("name", F.lit("__builtin_"))
     sought = wanted.where(~F.col("name").isin(GENERIC_FUNCTIONS) & ~entry & (F.col("name") != "")).select("case_id", "name").distinct()
-    by_case = near.groupBy("case_id").agg(F.collect_set(_place(F.col("path"))).alias("near"))
-    held = _candidates(sought, function_hits(lines, sought), near).join(by_case, "case_id", "left")
-    none = F.array().cast(by_case.schema["near"].dataType)
-    rank = _nearness(_place(F.col("path")), F.coalesce("near", none))
-    best = held.groupBy("case_id", "name").agg(F.min(F.struct(rank.alias("rank"), "path")).alias("b"))
+    by_case = near.groupBy("case_id").agg(F.collect_set("path").alias("near"))
+    hits = function_hits(lines, sought)
+    # A near file that has the name wins; of others in one folder only the first can, so each name keeps these, once for all cases.
+    first = hits.groupBy("name", F.regexp_extract("path", r"^(.*)/", 1).alias("folder")).agg(F.min("path").alias("path"))
+    first = cut_lineage(first.groupBy("name").agg(F.collect_list(_place(F.col("path"))).alias("c")))
+    held = sought.join(by_case, "case_id", "left").select("case_id", "name", F.explode_outer("near").alias("path"))
+    held = held.join(hits.withColumn("has", F.lit(True)), ["name", "path"], "left")
+    held = held.groupBy("case_id", "name").agg(F.min(F.when(F.col("has"), F.col("path"))).alias("own"), F.collect_list("path").alias("near")).join(first, "name")
+    # As _nearness, with what the near files lie in put together once a name.
+    within = F.transform("near", _place)
+    held = held.select("case_id", "name", "own", "c", *(F.array_distinct(F.array_compact(F.transform(within, lambda n: n[part]))).alias(part) for part in ("folder", "top", "arch")))  # noqa: B023
+    has = lambda part, c: F.coalesce(F.array_contains(part, c[part]), F.lit(False))
+    foreign = lambda c: c["arch"].isNotNull() & (F.size("arch") > 0) & ~has("arch", c)
+    rank = lambda c: F.when(has("folder", c), 1).when(foreign(c), 80).when(has("top", c), 2).when(F.coalesce(c["top"] == "drivers", F.lit(False)), 90).otherwise(20)
+    nearest = F.array_min(F.transform("c", lambda c: F.struct(rank(c).alias("rank"), c["path"].alias("path"))))
+    best = held.select("case_id", "name", F.coalesce(F.when(F.col("own").isNotNull(), F.struct(F.lit(0).alias("rank"), F.col("own").alias("path"))), nearest).alias("b"))
     return best.select("case_id", "name", F.when(F.col("b.rank") < 80, F.col("b.path")).alias("path"), F.col("b.rank").alias("rank"))
 
 
