@@ -199,27 +199,30 @@ def seed_paths(frames: DataFrame, reports: DataFrame, programs: DataFrame, lines
 
     sure = frames.select("case_id", F.lit(0).alias("source"), "pos", F.col("file").alias("path")).unionByName(places.withColumn("source", F.lit(1)))
     sure = sure.where("path IS NOT NULL").join(tops, "case_id").where(_seedable(F.col("path"), F.col("tops")))
-    words = keyword_files(keyword_terms(programs, reports), lines, most).select("case_id", F.lit(2).alias("source"), F.col("rank").cast("long").alias("pos"), "path")
-    union = sure.select("case_id", "source", F.col("pos").cast("long").alias("pos"), "path").unionByName(words)
-    placed = union.groupBy("case_id", "path").agg(F.min(F.struct("source", "pos")).alias("at"))
-    order = F.row_number().over(Window.partitionBy("case_id").orderBy("at", "path"))
-    begun = cut_lineage(placed.withColumn("position", order).where((F.col("at.source") < 2) | (F.col("position") <= most)))
-
-    start = telling.join(tops, "case_id").where(F.endswith("file", F.lit(".c")) & F.array_contains("tops", _top(F.col("file"))))
-    start = start.groupBy("case_id").agg(F.min_by("file", "pos").alias("path")).join(begun, ["case_id", "path"], "left_semi")
+    sure = sure.groupBy("case_id", "path").agg(F.min(F.struct("source", F.col("pos").cast("long").alias("pos"))).alias("at"))
+    sure = sure.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "path"))), lambda s: s["path"]).alias("sure"))
+    sets, best = _files_of_sets(keyword_terms(programs, reports), lines, most)
+    none = F.array().cast("array<string>")
+    words = F.coalesce(F.transform("files", lambda f: f["path"]), none)
+    held = tops.join(sure, "case_id", "left").join(sets, "case_id", "left").join(best, "set_no", "left").select("case_id", "tops", F.coalesce("sure", none).alias("sure"), words.alias("words"))
+    more = F.slice(F.array_except("words", "sure"), F.lit(1), F.greatest(F.lit(most) - F.size("sure"), F.lit(0)))
+    begun = cut_lineage(held.select("case_id", "tops", F.concat("sure", more).alias("seeds")).where(F.size("seeds") > 0))
+
+    # A case that is full takes no more, so only others go on.
+    room = cut_lineage(begun.where(F.size("seeds") < most))
+    start = telling.join(room, "case_id").where(F.endswith("file", F.lit(".c")) & F.array_contains("tops", _top(F.col("file"))))
+    start = start.groupBy("case_id").agg(F.min_by("file", "pos").alias("path")).join(room.select("case_id", F.explode("seeds").alias("path")), ["case_id", "path"], "left_semi")
     called = cut_lineage(start.join(calls, "path").where(telling_name(F.col("name"))).groupBy("case_id", "name").agg(F.min("pos").alias("pos")))
     hits = function_hits(lines, called)
-    open_to = _candidates(called.select("case_id", "name"), hits, begun).groupBy("case_id", "name").agg(F.collect_list(_place(F.col("path"))).alias("c"))
+    open_to = _candidates(called.select("case_id", "name"), hits, room.select("case_id", F.explode("seeds").alias("path"))).groupBy("case_id", "name").agg(F.collect_list(_place(F.col("path"))).alias("c"))
     turns = called.join(open_to, ["case_id", "name"]).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "c"))).alias("turns"))
 
-    seeds = begun.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("position", _place(F.col("path")).alias("p")))).alias("s"))
-    seeds = seeds.select("case_id", F.transform("s", lambda s: s["p"]).alias("seeds")).join(tops, "case_id").join(turns, "case_id", "left")
-
     def hop(held: Column, turn: Column) -> Column:
         best = F.array(_nearest(turn["c"], held))
         fit = F.filter(best, lambda b: (F.size(held) < most) & (b["rank"] < 80) & ~F.exists(held, lambda h: h["path"] == b["path"]) & _seedable(b["path"], F.col("tops")))
         return F.concat(held, F.transform(fit, lambda b: _place(b["path"])))
 
-    grown = F.when(F.col("turns").isNull(), F.col("seeds")).otherwise(F.aggregate("turns", F.col("seeds"), hop))
-    out = seeds.select("case_id", F.posexplode(grown).alias("position", "p"))
-    return out.select("case_id", "p.path", (F.col("position") + 1).alias("position"))
+    grown = F.aggregate("turns", F.transform("seeds", _place), hop, lambda held: F.transform(held, lambda h: h["path"]))
+    grown = room.join(turns, "case_id", "left").select("case_id", F.when(F.col("turns").isNull(), F.col("seeds")).otherwise(grown).alias("seeds"))
+    out = begun.where(F.size("seeds") >= most).select("case_id", "seeds").unionByName(grown).select("case_id", F.posexplode("seeds").alias("position", "path"))
+    return out.select("case_id", "path", (F.col("position") + 1).alias("position"))
