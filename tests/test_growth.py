@@ -6,6 +6,7 @@ import re
 import pytest
 
 from faultloom.operators import graph, kernel, reports, seeding, symbols
+from faultloom.operators import lineage as lineage_tables
 
 
 def most_rows(spark, run, metric="number of output rows"):
@@ -203,7 +204,7 @@ def test_dispatch_targets_are_not_dealt_again(spark):
     types, methods, up, (lineage, of, kinds) = hierarchy(spark, dice)
     sites = [(f"s{i}", dice.choice(["t0", "t1", "t2", "t9"]), dice.choice("ab"), dice.randint(0, 2), False, f"k{i % 7}") for i in range(2000)]
     df = spark.createDataFrame([("c", *s) for s in sites], "case_id string, site_id string, owner_type string, name string, arity int, is_constructor boolean, caller_id string")
-    found = symbols.cut_lineage(symbols.lookup(df, lineage, of, kinds))
+    found = lineage_tables.cut_lineage(symbols.lookup(df, lineage, of, kinds))
     detail = {m[1]: m for m in methods}
     targets = {}
     for r in found.collect():
@@ -213,7 +214,11 @@ def test_dispatch_targets_are_not_dealt_again(spark):
         if not static and vis not in ("private", None):
             own |= {m[1] for m in methods if up.get((m[2], at), 0) > 0 and m[3] == name and m[7] == params and not m[6] and not m[4]}
     want = {(s, m) for s, own in targets.items() for m in own}
-    got, dealt = most_rows(spark, lambda: symbols.dispatch(found, of, lineage).select("site_id", "method_id"), "shuffle records written")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got, dealt = most_rows(spark, lambda: symbols.dispatch(found, of, lineage).select("site_id", "method_id"), "shuffle records written")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(got) == len(set(got)) and set(got) == want and dealt < len(want) - 500
     # Two chosen methods of one signature may share overrides.
     got = [tuple(r) for r in symbols.dispatch(found.withColumn("site_id", found.caller_id) if "caller_id" in found.columns else found.selectExpr("case_id", "'s' AS site_id", "declared_in", "name", "signature", "method_id", "static", "visibility"), of, lineage).select("method_id").collect()]
